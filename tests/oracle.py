@@ -62,8 +62,8 @@ def compare(df, connection, sql) -> tuple[bool, str]:
     differ = {n: (kinds[n], duck[n]) for n in names if expected.get(kinds[n], "?") != duck[n]}
     note = f" types {differ}" if differ else ""
     if spark_rows != rows:
-        only_spark = [r for r in spark_rows if r not in set(rows)][:2]
-        only_duck = [r for r in rows if r not in set(spark_rows)][:2]
+        only_spark = sorted(set(spark_rows) - set(rows))[:2]
+        only_duck = sorted(set(rows) - set(spark_rows))[:2]
         return False, f"{len(spark_rows)} vs {len(rows)} rows\n   spark {only_spark}\n   duck  {only_duck}{note}"
     return True, f"{len(rows)} rows{note}"
 
