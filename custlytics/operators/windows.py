@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, WindowSpec, functions as F
 
 from custlytics.operators.ordered import MAX_GROUP_ROWS, ordered_columns, sort_column
 
@@ -105,15 +105,16 @@ def daily_metrics(transactions: DataFrame) -> DataFrame:
     )
 
 
-# The daily table has one row per calendar day, at most 3.7 million for all days a date can hold, however
-# many transactions there are. So its windows need no partitioning.
-_BY_DAY = Window.orderBy("transaction_date")
+def _by_day() -> WindowSpec:
+    """The daily table has one row per calendar day, at most 3.7 million for all days a date can hold,
+    however many transactions there are. So its windows need no partitioning."""
+    return Window.orderBy("transaction_date")
 
 
 def moving_averages(daily: DataFrame, days: int = 7) -> DataFrame:
     """Means over the last ``days`` rows (fewer at the start) and growth over the previous row in percent."""
-    recent = _BY_DAY.rowsBetween(-(days - 1), Window.currentRow)
-    previous = F.lag("daily_revenue").over(_BY_DAY)
+    recent = _by_day().rowsBetween(-(days - 1), Window.currentRow)
+    previous = F.lag("daily_revenue").over(_by_day())
     return daily.withColumns(
         {
             f"revenue_{days}day_ma": F.avg("daily_revenue").over(recent),
@@ -124,7 +125,7 @@ def moving_averages(daily: DataFrame, days: int = 7) -> DataFrame:
 
 
 def cumulative(daily: DataFrame) -> DataFrame:
-    so_far = _BY_DAY.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = _by_day().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return daily.withColumns(
         {
             "cumulative_revenue": F.sum("daily_revenue").over(so_far),
