@@ -98,3 +98,30 @@ ARTIFACTS_DUAL_TRACK = (
     "07_review_report_test.json",
     "08_corrected_code_test.py",
 )
+
+# Where JSON may stand in a model response: a json block, any block, the outermost braces.
+RESPONSE_JSON_PATTERN = r"(?s)```json\s*(.*?)\s*```|```\s*(.*?)\s*```|(\{.*\})"
+
+# Text put before an import of an own module.
+IMPORT_WARNING = """# MIGRATION TOOL WARNING: Manual check required for the following custom import.
+# Please ensure the module '{module}' is available in the {platform} environment
+# and its internal logic is compatible.
+{statement}"""
+
+# Text that stands in for a function that has to be converted by hand.
+MANUAL_STUB = """
+# ##############################################################################
+# ### MIGRATION SKIPPED: MANUAL INTERVENTION REQUIRED                          ###
+# ##############################################################################
+#
+# REASON: {reason}
+#
+# The following PySpark function could not be automatically migrated.
+# Please review the code and manually convert it to its {platform} equivalent.
+#
+# --- ORIGINAL PYSPARK CODE ---
+#
+'''
+{source}
+'''
+"""

@@ -216,10 +216,7 @@ def _chosen(spark, names):
     return spark.createDataFrame([(n,) for n in names], "feature string")
 
 
-@query(
-    _anova_sql()
-    + ""","""
-)
+@query(_anova_sql() + "select feature from scores order by score desc limit 3")
 def select_univariate(spark, sf_dir):
     filled = cleaning.impute(customers(spark, sf_dir), CANDIDATES, "median")
     labelled = features.with_label_above_median(filled, "purchase_amount")

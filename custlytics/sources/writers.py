@@ -30,5 +30,10 @@ def save_bucketed(df: DataFrame, table: str, key: str, buckets: int, *, mode: st
 
 
 def save_artifacts(artifacts: DataFrame, path: str, *, mode: str = "overwrite") -> None:
-    """Write artifact rows (``function_name``, ``file_name``, ``content``), one folder per function name."""
-    artifacts.write.mode(mode).partitionBy("function_name").parquet(path)
+    """Write artifact rows (``function_name``, ``file_name``, ``content``), one folder per kind of file.
+
+    Files are ordered by function name, so reading one function touches few row groups. A folder per
+    function would mean millions of tiny files.
+    """
+    ordered = artifacts.repartitionByRange("function_name").sortWithinPartitions("file_name", "function_name")
+    ordered.write.mode(mode).partitionBy("file_name").parquet(path)

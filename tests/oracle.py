@@ -76,7 +76,8 @@ def main() -> int:
     spark = create_spark_session(
         "oracle",
         master="local[8]",
-        settings={"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"},
+        settings={"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
+                  "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"},
     )
     spark.sparkContext.setLogLevel("ERROR")
     connection = connect(sf_dir)
