@@ -202,7 +202,7 @@ def parse_recipes(sources: DataFrame, order: str, json: str) -> DataFrame:
 
 def read_recipes(spark: SparkSession, path: str) -> DataFrame:
     """Recipe files, in the order of their names."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     return parse_recipes(files, "file", "value")
 
 
