@@ -31,14 +31,14 @@ def global_stats(spark, sf_dir):
 @query(
     C_SQL
     + """
-select region, count(*) as customer_count, round(avg(age), 6) as avg_age, round(avg(income), 4) as avg_income,
+select region, count(*) as customer_count, round(avg(age), 6) as avg_age, round(avg(income), 7) as avg_income,
        round(stddev(income), 4) as income_std, quantile_disc(credit_score, 0.5) as median_credit_score
 from customers group by region"""
 )
 def region_stats(spark, sf_dir):
     stats = aggregates.region_stats(customers(spark, sf_dir))
     return stats.select(
-        "region", "customer_count", rounded("avg_age", 6), rounded("avg_income"), rounded("income_std"),
+        "region", "customer_count", rounded("avg_age", 6), rounded("avg_income", 7), rounded("income_std"),
         "median_credit_score",
     )
 
@@ -125,16 +125,16 @@ def crosstab(spark, sf_dir):
 @query(
     C_SQL
     + """
-select region, round(avg(income), 2) as income_mean, round(median(income), 2) as income_median,
-       round(stddev(income), 2) as income_std, round(min(income), 2) as income_min, round(max(income), 2) as income_max,
-       round(avg(credit_score), 2) as credit_score_mean, round(stddev(credit_score), 2) as credit_score_std,
-       count(credit_score) as credit_score_count, round(sum(purchase_amount), 2) as purchase_amount_sum,
-       round(avg(purchase_amount), 2) as purchase_amount_mean, round(median(purchase_amount), 2) as purchase_amount_median,
-       round(avg(age), 2) as age_mean, min(age) as age_min, max(age) as age_max
+select region, round(avg(income), 7) as income_mean, round(median(income), 7) as income_median,
+       round(stddev(income), 7) as income_std, round(min(income), 7) as income_min, round(max(income), 7) as income_max,
+       round(avg(credit_score), 7) as credit_score_mean, round(stddev(credit_score), 7) as credit_score_std,
+       count(credit_score) as credit_score_count, round(sum(purchase_amount), 7) as purchase_amount_sum,
+       round(avg(purchase_amount), 7) as purchase_amount_mean, round(median(purchase_amount), 7) as purchase_amount_median,
+       round(avg(age), 7) as age_mean, min(age) as age_min, max(age) as age_max
 from customers group by region"""
 )
 def region_multi_agg(spark, sf_dir):
-    return aggregates.region_multi_aggregate(customers(spark, sf_dir))
+    return aggregates.region_multi_aggregate(customers(spark, sf_dir), digits=7)
 
 
 @query(

@@ -45,14 +45,14 @@ def enriched_customers(spark, sf_dir):
     FEED_SQL
     + CLEAN_SQL
     + """
-select age_group, customer_tier, count(customer_id) as customer_count, round(avg(total_spent), 4) as avg_spending,
+select age_group, customer_tier, count(customer_id) as customer_count, round(avg(total_spent), 7) as avg_spending,
        round(sum(total_transaction_amount), 4) as total_revenue
 from enriched group by age_group, customer_tier"""
 )
 def customer_insights(spark, sf_dir):
     insights = customer.customer_insights(enriched_customers(spark, sf_dir))
     return insights.select(
-        "age_group", "customer_tier", "customer_count", rounded("avg_spending"), rounded("total_revenue")
+        "age_group", "customer_tier", "customer_count", rounded("avg_spending", 7), rounded("total_revenue")
     )
 
 
