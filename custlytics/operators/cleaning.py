@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from custlytics.functions import fixed_values as fixed, labels
 from custlytics.functions.dates import days_since
@@ -22,15 +22,14 @@ def categorical_columns(df: DataFrame) -> list[str]:
 def deduplicate(df: DataFrame, keys: Sequence[str], first_by: Sequence[Column] = ()) -> DataFrame:
     """One row per key: the one that sorts first by ``first_by``, then by all other columns.
 
-    This is an aggregate, so copies are dropped before the shuffle and a key with very many copies
-    costs no more than any other.
+    Every task cuts its copies of a key to one before the shuffle, so a key with very many copies costs
+    no more than any other.
     """
-    others = [c for c in df.columns if c not in keys]
+    others = [F.col(c).asc_nulls_first() for c in df.columns if c not in keys]
     if not others:
         return df.distinct()
-    rank = F.struct(*first_by, *[F.col(c) for c in others])
-    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*others), rank).alias("_row"))
-    return picked.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
+    copies = Window.partitionBy(*keys).orderBy(*first_by, *others)
+    return df.withColumn("_copy", F.row_number().over(copies)).filter(F.col("_copy") == 1).drop("_copy")
 
 
 def clean_customers(

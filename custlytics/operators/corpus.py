@@ -5,7 +5,7 @@ from __future__ import annotations
 import ast
 import re
 import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 import pandas as pd
@@ -13,12 +13,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 
 from custlytics.functions import fixed_values as fixed
 from custlytics.operators.ordered import MAX_GROUP_ROWS, ordered_columns
+from custlytics.operators.windows import top_within
 from custlytics.session import checkpointed
 
 # --- functions and imports -------------------------------------------------------------------------
 
-FUNCTION_COLUMNS = "script_id long, position int, function_name string, start_line int, end_line int, source string"
-IMPORT_COLUMNS = "script_id long, position int, statement string, module string, kind string"
+FUNCTION_TYPE = "array<struct<function_name string, start_line int, end_line int, source string>>"
+IMPORT_TYPE = "array<struct<statement string, module string, kind string>>"
 CUSTOM_PREFIXES = ("utils", "libs", "common", "config")
 
 
@@ -29,76 +30,84 @@ def _parsed(content: str) -> ast.Module | None:
         return None
 
 
-def _functions_of(content: str) -> list[tuple]:
+def _functions_of(content: str) -> list[dict]:
     lines = content.split("\n")
     tree = _parsed(content)
     if tree is None:
-        return [(0, None, 1, len(lines), content)]
-    found = [node for node in ast.walk(tree) if isinstance(node, ast.FunctionDef)]
+        return [{"function_name": None, "start_line": 1, "end_line": len(lines), "source": content}]
     return [
-        (place, node.name, node.lineno, node.end_lineno, "\n".join(lines[node.lineno - 1 : node.end_lineno]))
-        for place, node in enumerate(found)
+        {
+            "function_name": node.name,
+            "start_line": node.lineno,
+            "end_line": node.end_lineno,
+            "source": "\n".join(lines[node.lineno - 1 : node.end_lineno]),
+        }
+        for node in ast.walk(tree)
+        if isinstance(node, ast.FunctionDef)
     ]
 
 
-def extract_functions(scripts: DataFrame) -> DataFrame:
-    """One row per function of each script, outer functions first, decorators left out.
+def functions_in(content: Column) -> Column:
+    """All functions of a script, outer ones first, decorators left out.
 
-    A script that does not parse gives one nameless row with its whole text. ``scripts`` has ``script_id``
-    and ``content``.
+    A script that does not parse gives one nameless entry with its whole text.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [
-                (script_id, *function)
-                for script_id, content in zip(batch["script_id"], batch["content"], strict=True)
-                for function in _functions_of(content)
-            ]
-            yield pd.DataFrame(
-                rows, columns=["script_id", "position", "function_name", "start_line", "end_line", "source"]
-            )
+    @F.pandas_udf(FUNCTION_TYPE)
+    def run(contents: pd.Series) -> pd.Series:
+        return contents.map(_functions_of, na_action="ignore")
 
-    return scripts.select("script_id", "content").mapInPandas(run, FUNCTION_COLUMNS)
+    return run(content)
 
 
-def _imports_of(content: str, custom: Sequence[str]) -> list[tuple]:
-    tree = _parsed(content)
-    if tree is None:
-        return []
-    rows = []
-    for node in ast.walk(tree):
-        if isinstance(node, ast.Import):
-            modules = [alias.name for alias in node.names]
-        elif isinstance(node, ast.ImportFrom):
-            modules = ["." * node.level + (node.module or "")]
-        else:
-            continue
-        for module in modules:
-            top = module.split(".")[0]
-            if not top or top in custom:
-                kind = "custom_modules"
-            elif top in sys.stdlib_module_names:
-                kind = "standard_libs"
-            else:
-                kind = "third_party"
-            rows.append((len(rows), ast.unparse(node), module, kind))
-    return rows
+def extract_functions(scripts: DataFrame) -> DataFrame:
+    """One row per function. ``scripts`` has ``script_id`` and ``content``."""
+    found = scripts.select("script_id", F.posexplode(functions_in(F.col("content"))).alias("position", "_function"))
+    return found.select("script_id", "position", "_function.*")
+
+
+def _modules(node: ast.stmt) -> list[str]:
+    if isinstance(node, ast.Import):
+        return [alias.name for alias in node.names]
+    return ["." * node.level + (node.module or "")]
+
+
+def _kind(module: str, custom: Sequence[str]) -> str:
+    top = module.split(".")[0]
+    if not top or top in custom:
+        return "custom_modules"
+    return "standard_libs" if top in sys.stdlib_module_names else "third_party"
+
+
+def imports_in(content: Column, custom: Sequence[str] = CUSTOM_PREFIXES) -> Column:
+    """All imported modules of a script: the statement, the module and whether it is standard, third-party or own."""
+
+    def lines(text: str) -> list[dict]:
+        tree = _parsed(text)
+        return [
+            {"statement": ast.unparse(node), "module": module, "kind": _kind(module, custom)}
+            for node in (ast.walk(tree) if tree else ())
+            if isinstance(node, (ast.Import, ast.ImportFrom))
+            for module in _modules(node)
+        ]
+
+    @F.pandas_udf(IMPORT_TYPE)
+    def run(contents: pd.Series) -> pd.Series:
+        return contents.map(lines, na_action="ignore")
+
+    return run(content)
 
 
 def import_inventory(scripts: DataFrame, custom: Sequence[str] = CUSTOM_PREFIXES) -> DataFrame:
-    """One row per imported module: the statement, the module and whether it is standard, third-party or own."""
+    """One row per imported module of each script."""
+    found = scripts.select("script_id", F.posexplode(imports_in(F.col("content"), custom)).alias("position", "_import"))
+    return found.select("script_id", "position", "_import.*")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [
-                (script_id, *line)
-                for script_id, content in zip(batch["script_id"], batch["content"], strict=True)
-                for line in _imports_of(content, custom)
-            ]
-            yield pd.DataFrame(rows, columns=["script_id", "position", "statement", "module", "kind"])
 
-    return scripts.select("script_id", "content").mapInPandas(run, IMPORT_COLUMNS)
+def with_dependencies(scripts: DataFrame, custom: Sequence[str] = CUSTOM_PREFIXES) -> DataFrame:
+    """Add ``dependencies``, the import statements of each script, without moving any row."""
+    imports = imports_in(F.col("content"), custom)
+    return scripts.withColumn("dependencies", F.array_distinct(F.transform(imports, lambda i: i["statement"])))
 
 
 # --- dependencies ----------------------------------------------------------------------------------
@@ -249,28 +258,48 @@ def keyword_hits(keywords: DataFrame, recipes: DataFrame) -> DataFrame:
     return tokens.join(matches, "token").select("keyword", "id").distinct()
 
 
+MAX_RANKED = 12
+
+
 def rank_recipes(requests: DataFrame, recipes: DataFrame, top_k: int | None = None) -> DataFrame:
     """The recipes that contain most of a request's keywords, best first, ties in recipe order.
 
     ``requests`` has ``request_id`` and ``functions`` (names, split at dots, underscores and spaces; a
     repeated keyword counts each time); ``recipes`` has ``id``, ``place`` and its texts. Without ``top_k``
     each request gets twice its number of functions, but at least 3 and at most 12.
+
+    Copies cost nothing extra: requests with the same keywords are ranked once, and of the recipes that
+    contain the same keywords only the first ``k`` can be among anyone's best ``k``. The best ``k`` recipes
+    lie in the best ``k`` of those groups, each group taken at its first recipe.
     """
-    size = F.size("functions")
-    keep = F.lit(top_k) if top_k else F.greatest(F.lit(3), F.least(F.lit(12), size * 2))
-    words = requests.select("request_id", keep.alias("_keep"), F.explode("functions").alias("name")).select(
-        "request_id", "_keep", F.explode(_keywords(F.col("name"))).alias("keyword")
+    limit = top_k or MAX_RANKED
+    keep = F.lit(limit) if top_k else F.greatest(F.lit(3), F.least(F.lit(MAX_RANKED), F.size("functions") * 2))
+    words = F.array_sort(F.flatten(F.transform("functions", _keywords)))
+    asked = requests.select("request_id", keep.alias("_keep"), words.alias("_words")).filter(F.size("_words") > 0)
+    bags = asked.groupBy("_words").agg(F.min("request_id").alias("_bag"))
+    weighted = (
+        bags.select("_bag", F.explode("_words").alias("keyword"))
+        .groupBy("_bag", "keyword")
+        .agg(F.count(F.lit(1)).alias("weight"))
     )
-    weighted = words.groupBy("request_id", "_keep", "keyword").agg(F.count(F.lit(1)).alias("weight"))
-    scored = (
-        weighted.join(keyword_hits(weighted, recipes), "keyword")
-        .groupBy("request_id", "_keep", "id")
-        .agg(F.sum("weight").alias("score"))
-        .join(recipes.select("id", "place"), "id")
+
+    found = keyword_hits(weighted, recipes).groupBy("id").agg(F.array_sort(F.collect_list("keyword")).alias("_found"))
+    first = top_within(found.join(recipes.select("id", "place"), "id"), ["_found"], ["place", "id"], limit, "_nth")
+    leader = F.first("id").over(Window.partitionBy("_found").orderBy("_nth"))
+    members = checkpointed(first.withColumn("_group", leader))
+    groups = members.filter(F.col("_nth") == 1).select("_group", F.col("place").alias("_at"), F.explode("_found").alias("keyword"))
+
+    scored = weighted.join(groups, "keyword").groupBy("_bag", "_group", "_at").agg(F.sum("weight").alias("score"))
+    best_groups = top_within(scored, ["_bag"], ["-score", "_at"], limit, "_nth").select("_bag", "_group", "score")
+    best = top_within(
+        best_groups.join(members.select("_group", "id", "place"), "_group"),
+        ["_bag"],
+        ["-score", "place"],
+        limit,
+        "rank",
     )
-    best = Window.partitionBy("request_id").orderBy(F.desc("score"), "place")
-    ranked = scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= (top_k or 12))
-    return ranked.filter(F.col("rank") <= F.col("_keep")).select("request_id", "id", "score", "rank")
+    ranked = asked.join(bags, "_words").join(best, "_bag").filter(F.col("rank") <= F.col("_keep"))
+    return ranked.select("request_id", "id", "score", "rank")
 
 
 def pattern_counts(functions: DataFrame, patterns: str = "suggested_patterns") -> DataFrame:

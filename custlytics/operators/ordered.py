@@ -4,8 +4,9 @@ A plain window sends each group to one task. That is right while groups are smal
 happens here for every group of at most ``max_group_rows`` rows. Larger groups are laid out in range
 partitions over (group, order) instead, so that no task gets more than about that many rows:
 
-* running columns (row number, ranks, n-tiles, running sums) are computed inside each block and
-  shifted by what the blocks before it hold; the block table has one row per block and group;
+* running columns (row number, ranks, n-tiles, running sums, a group's first and last value) are computed
+  inside each block and completed from what the other blocks hold; the block table has one row per
+  block and group;
 * frame columns (lag, lead, moving aggregates) get each block with the few rows around it that its
   frames reach into.
 
@@ -64,8 +65,8 @@ def ordered_columns(
 
     ``order + ties`` must be unique within a group. Rows equal in ``order`` share rank and dense rank.
 
-    ``running`` maps a new column to ``"row_number"``, ``"rank"``, ``"dense_rank"``, ``("ntile", k)`` or
-    ``("sum", column)``; ``framed`` maps a new column to a function of a window, whose frame may reach
+    ``running`` maps a new column to ``"row_number"``, ``"rank"``, ``"dense_rank"``, ``("ntile", k)``,
+    ``("sum", column)``, or ``("first", column)`` and ``("last", column)`` of the whole group; ``framed`` maps a new column to a function of a window, whose frame may reach
     ``before`` rows back and ``after`` rows ahead.
     """
     running, framed = dict(running or {}), dict(framed or {})
@@ -101,6 +102,10 @@ def _plain(df, by, order, ties, running, framed) -> DataFrame:
             added[name] = F.ntile(kind[1]).over(whole)
         elif kind[0] == "sum":
             added[name] = F.sum(kind[1]).over(whole.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        elif kind[0] in ("first", "last"):
+            end = F.first if kind[0] == "first" else F.last
+            all_rows = whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+            added[name] = end(kind[1]).over(all_rows)
         else:
             raise ValueError(f"unknown running column: {kind}")
     added.update({name: build(whole) for name, build in framed.items()})
@@ -115,6 +120,7 @@ def _split(df, by, order, ties, running, framed, before, after, block_rows, bloc
     in_block = Window.partitionBy("_block", *by).orderBy(*map(sort_column, total_order))
     peers = Window.partitionBy("_block", *by).orderBy(*map(sort_column, order))
     sums = {name: kind[1] for name, kind in running.items() if kind[0] == "sum"}
+    ends = {name: kind for name, kind in running.items() if kind[0] in ("first", "last")}
     local = laid_out.withColumns(
         {
             "_number": F.row_number().over(in_block),
@@ -127,7 +133,7 @@ def _split(df, by, order, ties, running, framed, before, after, block_rows, bloc
         }
     )
     shifted = local.join(
-        _block_offsets(local, by, order, sums), _same(["_block", *by], ["_b", *[f"_key_{c}" for c in by]]), "inner"
+        _block_offsets(local, by, order, sums, ends), _same(["_block", *by], ["_b", *[f"_key_{c}" for c in by]]), "inner"
     )
 
     position = F.col("_number") + F.col("_rows_before")
@@ -146,6 +152,8 @@ def _split(df, by, order, ties, running, framed, before, after, block_rows, bloc
         elif kind[0] == "sum":
             own, carried = F.col(f"_sum_{name}"), F.col(f"_before_{name}")
             added[name] = F.coalesce(own + carried, own, carried)
+        elif kind[0] in ("first", "last"):
+            added[name] = F.col(f"_end_{name}")
         else:
             raise ValueError(f"unknown running column: {kind}")
     result = shifted.withColumns(added)
@@ -154,7 +162,7 @@ def _split(df, by, order, ties, running, framed, before, after, block_rows, bloc
     return result.select(*df.columns, *running, *framed)
 
 
-def _block_offsets(local: DataFrame, by, order, sums) -> DataFrame:
+def _block_offsets(local: DataFrame, by, order, sums, ends) -> DataFrame:
     """What lies before each block of a group: rows, distinct order values, sums, an open run of ties."""
     order_value = F.struct(*[F.col(_column_name(c)) for c in order])
     per_block = local.groupBy(F.col("_block").alias("_b"), *[F.col(c).alias(f"_key_{c}") for c in by]).agg(
@@ -164,6 +172,10 @@ def _block_offsets(local: DataFrame, by, order, sums) -> DataFrame:
         F.min_by(order_value, "_number").alias("_first"),
         F.max_by(order_value, "_number").alias("_last"),
         *[F.sum(source).alias(f"_total_{name}") for name, source in sums.items()],
+        *[
+            (F.min_by if end == "first" else F.max_by)(source, "_number").alias(f"_own_{name}")
+            for name, (end, source) in ends.items()
+        ],
     )
     group = Window.partitionBy(*[f"_key_{c}" for c in by])
     blocks = group.orderBy("_b")
@@ -175,6 +187,10 @@ def _block_offsets(local: DataFrame, by, order, sums) -> DataFrame:
             "_rows_before": F.coalesce(F.sum("_rows").over(earlier), F.lit(0)),
             "_group_rows": F.sum("_rows").over(group),
             **{f"_before_{name}": F.sum(f"_total_{name}").over(earlier) for name in sums},
+            **{
+                f"_end_{name}": (F.min_by if end == "first" else F.max_by)(f"_own_{name}", "_b").over(group)
+                for name, (end, _) in ends.items()
+            },
         }
     )
     opens_run = ~((F.col("_values") == 1) & F.col("_continues"))
@@ -191,6 +207,7 @@ def _block_offsets(local: DataFrame, by, order, sums) -> DataFrame:
         .over(earlier)
         .alias("_run_start"),
         *[f"_before_{name}" for name in sums],
+        *[f"_end_{name}" for name in ends],
     )
 
 

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from custlytics.operators.ordered import MAX_GROUP_ROWS, large_groups, ordered_columns
+from custlytics.session import checkpointed
 
 
 def quantiles(
@@ -53,6 +54,7 @@ def _by_counting(df, columns, probabilities, by, discrete, max_group_rows) -> Da
         .groupBy(*by, "_column", "_value")
         .agg(F.count(F.lit(1)).alias("_count"))
     )
+    counted = checkpointed(counted)
     reached = ordered_columns(
         counted,
         [*by, "_column"],

@@ -56,13 +56,14 @@ def rank_first_last(
     df: DataFrame, by: str, order: str, key: str, *, max_group_rows: int = MAX_GROUP_ROWS
 ) -> DataFrame:
     """Rank with gaps, and the key of the group's first and last row."""
-    ranked = ordered_columns(
-        df, [by], [order], ties=[key], running={"rank": "rank", "_number": "row_number"}, max_group_rows=max_group_rows
-    )
-    ends = ranked.groupBy(F.col(by).alias("_group")).agg(
-        F.min_by(key, "_number").alias("first_key"), F.max_by(key, "_number").alias("last_key")
+    return ordered_columns(
+        df,
+        [by],
+        [order],
+        ties=[key],
+        running={"rank": "rank", "first_key": ("first", key), "last_key": ("last", key)},
+        max_group_rows=max_group_rows,
     )
-    return ranked.join(ends, F.col(by).eqNullSafe(F.col("_group"))).drop("_group", "_number")
 
 
 def rolling(

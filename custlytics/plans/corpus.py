@@ -73,7 +73,9 @@ decided as (
          string_agg(case when contains(statement, 'requests') then statement end, '; ' order by position) as blocking,
          string_agg(case when contains(statement, 'utils.') or contains(statement, 'common.') then statement end, '; '
                     order by position) as own
-  from statements group by script_id),
+  from statements group by script_id
+  union all
+  select script_id, '', null, null from scripts where source = 'src7'),
 triaged as (
   select script_id, dependencies,
          case when blocking is not null then 'ABORT_AND_FLAG' when own is not null then 'PROCEED_AND_ANNOTATE'
@@ -85,12 +87,7 @@ triaged as (
 
 
 def _triaged(spark, sf_dir):
-    inventory = corpus.import_inventory(scripts(spark, sf_dir))
-    listed = F.array_sort(F.collect_list(F.struct("position", "statement")))
-    grouped = inventory.groupBy("script_id").agg(listed.alias("_lines"))
-    return corpus.triage(
-        grouped.select("script_id", F.transform("_lines", lambda e: e["statement"]).alias("dependencies"))
-    )
+    return corpus.triage(corpus.with_dependencies(scripts(spark, sf_dir)))
 
 
 @query(TRIAGE_SQL + "select * from triaged")
@@ -117,11 +114,9 @@ select script_id,
 from triaged join scripts using (script_id)"""
 )
 def annotate_imports(spark, sf_dir):
-    joined = scripts(spark, sf_dir).join(_triaged(spark, sf_dir), "script_id")
-    noted = F.when(
-        F.col("action") == fixed.ANNOTATE, corpus.annotate_imports(F.col("content"), F.col("details"))
-    ).otherwise(F.col("content"))
-    return joined.select("script_id", noted.alias("content"))
+    annotated = corpus.annotate_imports(F.col("content"), F.col("details"))
+    noted = F.when(F.col("action") == fixed.ANNOTATE, annotated).otherwise(F.col("content"))
+    return _triaged(spark, sf_dir).select("script_id", noted.alias("content"))
 
 
 @query(
@@ -140,7 +135,7 @@ from triaged join scripts using (script_id) where action = 'ABORT_AND_FLAG'"""
 def manual_stub(spark, sf_dir):
     stopped = _triaged(spark, sf_dir).filter(F.col("action") == fixed.ABORT)
     stub = corpus.manual_stub(F.col("details")[0], F.col("content"))
-    return stopped.join(scripts(spark, sf_dir), "script_id").select("script_id", stub.alias("stub"))
+    return stopped.select("script_id", stub.alias("stub"))
 
 
 def _turn_functions(spark, sf_dir):

@@ -33,8 +33,7 @@ enriched as (
 
 
 def cleaned_customers(spark, sf_dir):
-    newest = (-F.col("version")).alias("newest")
-    return cleaning.clean_customers(customer_feed(spark, sf_dir), first_by=[newest])
+    return cleaning.clean_customers(customer_feed(spark, sf_dir), first_by=[F.desc("version")])
 
 
 def enriched_customers(spark, sf_dir):
@@ -70,7 +69,7 @@ where place = 1"""
 )
 def dedup_latest(spark, sf_dir):
     feed = customer_feed(spark, sf_dir).select("customer_id", "name", "age", "version")
-    return cleaning.deduplicate(feed, ["customer_id"], [(-F.col("version")).alias("newest")])
+    return cleaning.deduplicate(feed, ["customer_id"], [F.desc("version")])
 
 
 @query(

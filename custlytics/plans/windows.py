@@ -25,9 +25,7 @@ ranked as (
 
 @query(RANK_SQL + "select * from ranked")
 def income_rank(spark, sf_dir):
-    return windows.income_rank(customers(spark, sf_dir)).select(
-        "customer_id", "region", "income", "income_rank_in_region", "income_dense_rank_in_region", "income_percentile"
-    )
+    return windows.income_rank(customers(spark, sf_dir).select("customer_id", "region", "income"))
 
 
 @query(RANK_SQL + "select customer_id, region, income, income_rank_in_region from ranked where income_rank_in_region <= 3")
@@ -46,7 +44,8 @@ select transaction_id, customer_id, cast(transaction_date as varchar) as transac
 from transactions window w as (partition by customer_id order by transaction_date, transaction_id)"""
 )
 def tx_sequence(spark, sf_dir):
-    sequence = windows.transaction_sequence(transactions(spark, sf_dir))
+    bought = transactions(spark, sf_dir).select("transaction_id", "customer_id", "transaction_date", "amount")
+    sequence = windows.transaction_sequence(bought)
     return sequence.select(
         "transaction_id", "customer_id", day("transaction_date"), rounded("prev_transaction_amount"),
         rounded("next_transaction_amount"), rounded("running_total"), "transaction_number",

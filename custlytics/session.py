@@ -13,6 +13,8 @@ SESSION_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Rows handed to Python can be whole scripts.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 

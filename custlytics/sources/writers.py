@@ -35,5 +35,5 @@ def save_artifacts(artifacts: DataFrame, path: str, *, mode: str = "overwrite")
     Files are ordered by function name, so reading one function touches few row groups. A folder per
     function would mean millions of tiny files.
     """
-    ordered = artifacts.repartitionByRange("function_name").sortWithinPartitions("file_name", "function_name")
+    ordered = artifacts.repartitionByRange("function_name", "file_name").sortWithinPartitions("file_name", "function_name")
     ordered.write.mode(mode).partitionBy("file_name").parquet(path)
