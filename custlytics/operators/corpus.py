@@ -79,9 +79,7 @@ def _kind(module: str, custom: Sequence[str]) -> str:
     return "standard_libs" if top in sys.stdlib_module_names else "third_party"
 
 
-def imports_in(content: Column, custom: Sequence[str] = CUSTOM_PREFIXES) -> Column:
-    """All imported modules of a script: the statement, the module and whether it is standard, third-party or own."""
-
+def _imports_udf(custom: Sequence[str]):
     def lines(text: str) -> list[dict]:
         tree = _parsed(text)
         return [
@@ -95,19 +93,24 @@ def imports_in(content: Column, custom: Sequence[str] = CUSTOM_PREFIXES) -> Colu
     def run(contents: pd.Series) -> pd.Series:
         return contents.map(lines, na_action="ignore")
 
-    return run(content)
+    return run
 
 
 def import_inventory(scripts: DataFrame, custom: Sequence[str] = CUSTOM_PREFIXES) -> DataFrame:
-    """One row per imported module of each script."""
-    found = scripts.select("script_id", F.posexplode(imports_in(F.col("content"), custom)).alias("position", "_import"))
+    """One row per imported module: the statement, the module and whether it is standard, third-party or own."""
+    imports = F.posexplode(_imports_udf(custom)("content"))
+    found = scripts.select("script_id", imports.alias("position", "_import"))
     return found.select("script_id", "position", "_import.*")
 
 
 def with_dependencies(scripts: DataFrame, custom: Sequence[str] = CUSTOM_PREFIXES) -> DataFrame:
-    """Add ``dependencies``, the import statements of each script, without moving any row."""
-    imports = imports_in(F.col("content"), custom)
-    return scripts.withColumn("dependencies", F.array_distinct(F.transform(imports, lambda i: i["statement"])))
+    """Add ``dependencies``, the import statements of each script, without moving any row.
+
+    The function counts as nondeterministic so that later filters do not parse every script again.
+    """
+    imports = scripts.withColumn("_imports", _imports_udf(custom).asNondeterministic()("content"))
+    statements = F.array_distinct(F.transform("_imports", lambda i: i["statement"]))
+    return imports.withColumn("dependencies", statements).drop("_imports")
 
 
 # --- dependencies ----------------------------------------------------------------------------------

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from custlytics.plans.registry import query
+from custlytics import etl
+from custlytics.plans.registry import query, rounded
 from custlytics.session import scratch_path
 from custlytics.sources import readers, writers
-from custlytics.sources.tables import C_SQL, T_SQL, customers, table, transactions
+from custlytics.sources.tables import C_SQL, CT_SQL, T_SQL, customers, table, transactions
 
 
 @query(
@@ -92,3 +93,28 @@ def log_extract(spark, sf_dir):
     table(spark, sf_dir, "documents").select("text").write.text(path)
     found = readers.read_log(spark, path, MAIL, ["mailbox", "host"])
     return found.groupBy("mailbox", "host").agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query(
+    CT_SQL
+    + """,
+grouped as (
+  select *, case when age < 25 then 'Young' when age < 65 then 'Adult' else 'Senior' end as age_group
+  from customers where email is not null),
+metrics as (select customer_id, sum(amount) as total from transactions group by customer_id)
+select age_group, case when total > 10000 then 'Premium' when total > 5000 then 'Gold' when total > 1000 then 'Silver'
+                       else 'Bronze' end as customer_tier,
+       count(*) as customer_count, round(avg(total_spent), 7) as avg_spending, round(sum(total), 4) as total_revenue
+from grouped left join metrics using (customer_id) group by all"""
+)
+def customer_etl(spark, sf_dir):
+    """The whole job on CSV customers and JSON transactions."""
+    names = [field.name for field in readers.CUSTOMER_FILE_SCHEMA]
+    folder = scratch_path(spark, "customer-etl")
+    writers.save_results(customers(spark, sf_dir).select(*names), f"{folder}/customers", "csv")
+    bought = transactions(spark, sf_dir).withColumn("customer_id", F.col("customer_id").cast("string"))
+    writers.save_results(bought, f"{folder}/transactions", "json")
+    insights = etl.run(spark, f"{folder}/customers", f"{folder}/transactions", folder, multi_line=False)
+    return insights.select(
+        "age_group", "customer_tier", "customer_count", rounded("avg_spending", 7), rounded("total_revenue")
+    )
