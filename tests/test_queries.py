@@ -9,9 +9,9 @@ from oracle import compare, connect
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
-from custlytics.operators import aggregates, cleaning, features, quality, stats
+from custlytics.operators import aggregates, cleaning, customer, features, joins, quality, stats
 from custlytics.plans.registry import all_queries
-from custlytics.sources import tables
+from custlytics.sources import samples, tables
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 QUERIES = all_queries()
@@ -24,8 +24,12 @@ def duck():
 
 @pytest.mark.parametrize("name", sorted(n for n, q in QUERIES.items() if q.oracle))
 def test_query_equals_sql(spark, duck, name):
-    ok, note = compare(QUERIES[name].plan(spark, SF_DIR), duck, QUERIES[name].oracle)
+    df = QUERIES[name].plan(spark, SF_DIR)
+    ok, note = compare(df, duck, QUERIES[name].oracle)
     assert ok, note
+    physical = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in physical
+    assert "NestedLoopJoin" not in physical
 
 
 def test_entry(spark):
@@ -71,6 +75,35 @@ def test_chi_square_selection(spark):
     assert features.select_chi_square(df, ["same", "three", "five"], "label", 1) == ["same"]
 
 
+def test_sample_tables_fit_the_operators(spark):
+    people = samples.sample_customers(spark, 600)
+    bought = samples.sample_transactions(spark, 3000, customers=600)
+    assert people.filter("income is null").count() == 6 and people.filter("credit_score is null").count() == 4
+    assert people.collect() == samples.sample_customers(spark, 600).collect()
+    enriched = customer.enrich_customers(cleaning.with_profile_labels(people), bought)
+    assert enriched.count() == 600
+    assert {r.region for r in people.select("region").distinct().collect()} == set(samples.REGIONS)
+    goods = samples.sample_products(spark, 100)
+    assert joins.product_performance(bought, goods).count() == 0
+    assert goods.filter("price between 10 and 1000 and rating between 1 and 5").count() == 100
+
+
+def test_top_k_is_cut_before_the_shuffle(spark):
+    for name in ("top_earners", "dedup_latest", "top_values"):
+        physical = QUERIES[name].plan(spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+        assert "WindowGroupLimit" in physical
+
+
+def test_filters_and_columns_reach_the_scan(spark):
+    orders = spark.read.parquet(f"{SF_DIR}/orders.parquet")
+    wanted = customer.category_status(
+        orders.select(F.col("o_orderpriority").alias("category"), F.col("o_totalprice").alias("amount")), 1000
+    )
+    physical = wanted._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(o_totalprice,1000.0)" in physical
+    assert "ReadSchema: struct<o_totalprice:double,o_orderpriority:string>" in physical
+
+
 def test_correlation_leaves_null_pairs_out(spark):
     df = spark.createDataFrame([(1.0, 2.0), (2.0, 4.0), (3.0, 6.1), (None, 9.0)], "a double, b double")
     found = {(r.feature1, r.feature2): r.correlation for r in stats.corr_pairs(df, ["a", "b"]).collect()}
