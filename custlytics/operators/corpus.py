@@ -233,12 +233,14 @@ ANCHOR = 3
 
 def _anchors(token: Column) -> Column:
     """All different substrings of one to three characters."""
-    starts = F.sequence(F.lit(1), F.length(token))
+    singles = F.split(token, "")
 
-    def pieces(length: int) -> Column:
-        return F.transform(starts, lambda start: F.substring(token, start, F.lit(length)))
+    def extended(pieces: Column, by: int) -> Column:
+        later = F.slice(singles, by + 1, F.size(singles))
+        return F.zip_with(pieces, later, lambda piece, next_one: F.concat(piece, F.coalesce(next_one, F.lit(""))))
 
-    return F.array_distinct(F.concat(*[pieces(n) for n in range(1, ANCHOR + 1)]))
+    pairs = extended(singles, 1)
+    return F.array_distinct(F.concat(singles, pairs, extended(pairs, 2)))
 
 
 def keyword_hits(keywords: DataFrame, recipes: DataFrame) -> DataFrame:
@@ -369,14 +371,30 @@ def apply_corrections(reviews: DataFrame, code: str = "code") -> DataFrame:
 
 # --- model responses and generated text ------------------------------------------------------------
 
+FENCE = "```"
+
+
+def _trimmed(text: Column) -> Column:
+    """Without white space at both ends, in one pass however long the blank runs inside are."""
+    return F.regexp_replace(text, r"\A\s+|(?<!\s)\s++\z", "")
+
+
+def _between(text: Column, opening: str, closing: str) -> Column:
+    return F.substring(text, F.lit(len(opening) + 1), F.length(text) - len(opening) - len(closing))
+
+
 def response_json(text: Column) -> Column:
     """The first part of a response that is valid JSON (the whole of it if possible), else null."""
-    whole = F.regexp_replace(text, r"^\s+|\s+$", "")
-    groups = [F.regexp_extract_all(whole, F.lit(fixed.RESPONSE_JSON_PATTERN), F.lit(i)) for i in (1, 2, 3)]
-    pairs = F.zip_with(groups[0], groups[1], lambda a, b: F.array(a, b))
-    in_order = F.flatten(F.zip_with(pairs, groups[2], lambda ab, c: F.array_append(ab, c)))
-    trimmed = F.transform(in_order, lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
-    return F.get(F.filter(F.concat(F.array(whole), trimmed), is_json), F.lit(0))
+    whole = _trimmed(text)
+    places = F.regexp_extract_all(whole, F.lit(fixed.RESPONSE_JSON_PATTERN), F.lit(0))
+
+    def content(place: Column) -> Column:
+        labelled, plain = _between(place, FENCE + "json", FENCE), _between(place, FENCE, FENCE)
+        return _trimmed(
+            F.when(place.startswith(FENCE + "json"), labelled).when(place.startswith(FENCE), plain).otherwise(place)
+        )
+
+    return F.get(F.filter(F.concat(F.array(whole), F.transform(places, content)), is_json), F.lit(0))
 
 
 def is_json(text: Column) -> Column:
@@ -385,11 +403,10 @@ def is_json(text: Column) -> Column:
 
 def strip_fence(text: Column) -> Column:
     """Code without a surrounding code fence, trailing blanks and blank lines at both ends."""
-    trimmed = F.regexp_replace(text, r"^\s+|\s+$", "")
-    opened = F.regexp_replace(trimmed, r"^```(python)?", "")
-    closed = F.regexp_replace(opened, r"```$", "")
-    lines = F.regexp_replace(closed, r"[ \t\r\f\x0B]+(?=\n|$)", "")
-    return F.regexp_replace(lines, r"^\n+|\n+$", "")
+    opened = F.regexp_replace(_trimmed(text), r"\A```(python)?", "")
+    closed = F.regexp_replace(opened, r"```\z", "")
+    lines = F.regexp_replace(closed, r"(?<![ \t\r\f\x0B])[ \t\r\f\x0B]++(?=\n|\z)", "")
+    return F.regexp_replace(lines, r"\A\n+|(?<!\n)\n++\z", "")
 
 
 def imported_module(statement: Column) -> Column:

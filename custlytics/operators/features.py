@@ -28,10 +28,18 @@ from custlytics.operators.quantiles import as_struct, quantiles
 
 PIPELINE_FEATURES = ["age", "income", "credit_score", "years_employed", "num_accounts"]
 MAX_DUMMIES = 1000
+MAX_LABELS = 100_000
 
 
 def string_index(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``<column>_indexed``: 0 for the most frequent label, ties in alphabetical order."""
+    """``<column>_indexed``: 0 for the most frequent label, ties in alphabetical order.
+
+    The labels become part of the fitted model, so columns with very many different ones are refused.
+    """
+    labels_found = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
+    for c in columns:
+        if labels_found[c] > MAX_LABELS:
+            raise ValueError(f"{c} has about {labels_found[c]} labels, more than {MAX_LABELS}")
     indexer = StringIndexer(inputCols=list(columns), outputCols=[f"{c}_indexed" for c in columns])
     return indexer.fit(df).transform(df)
 

@@ -19,6 +19,21 @@ SESSION_SETTINGS = {
 }
 
 
+PARTITION_BYTES = 256 * 1024 * 1024
+
+
+def settings_for(input_bytes: int, partition_bytes: int = PARTITION_BYTES) -> dict[str, str]:
+    """Partition settings for jobs whose largest shuffle is about the size of the input.
+
+    Adaptive execution merges shuffle partitions that turn out small, so the number may be generous.
+    """
+    return {
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.shuffle.partitions": str(max(200, -(-input_bytes // partition_bytes))),
+    }
+
+
 def create_spark_session(
     app_name: str = "DataProcessingApp",
     *,
