@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import ast
 import re
-import sys
 from collections.abc import Sequence
 from functools import reduce
 
@@ -12,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from custlytics.functions import fixed_values as fixed
+from custlytics.operators import parsing
 from custlytics.operators.ordered import MAX_GROUP_ROWS, ordered_columns
 from custlytics.operators.windows import top_within
 from custlytics.session import checkpointed
@@ -23,30 +22,6 @@ IMPORT_TYPE = "array<struct<statement string, module string, kind string>>"
 CUSTOM_PREFIXES = ("utils", "libs", "common", "config")
 
 
-def _parsed(content: str) -> ast.Module | None:
-    try:
-        return ast.parse(content)
-    except (SyntaxError, ValueError):
-        return None
-
-
-def _functions_of(content: str) -> list[dict]:
-    lines = content.split("\n")
-    tree = _parsed(content)
-    if tree is None:
-        return [{"function_name": None, "start_line": 1, "end_line": len(lines), "source": content}]
-    return [
-        {
-            "function_name": node.name,
-            "start_line": node.lineno,
-            "end_line": node.end_lineno,
-            "source": "\n".join(lines[node.lineno - 1 : node.end_lineno]),
-        }
-        for node in ast.walk(tree)
-        if isinstance(node, ast.FunctionDef)
-    ]
-
-
 def functions_in(content: Column) -> Column:
     """All functions of a script, outer ones first, decorators left out.
 
@@ -55,7 +30,7 @@ def functions_in(content: Column) -> Column:
 
     @F.pandas_udf(FUNCTION_TYPE)
     def run(contents: pd.Series) -> pd.Series:
-        return contents.map(_functions_of, na_action="ignore")
+        return contents.map(parsing.functions_of, na_action="ignore")
 
     return run(content)
 
@@ -66,32 +41,10 @@ def extract_functions(scripts: DataFrame) -> DataFrame:
     return found.select("script_id", "position", "_function.*")
 
 
-def _modules(node: ast.stmt) -> list[str]:
-    if isinstance(node, ast.Import):
-        return [alias.name for alias in node.names]
-    return ["." * node.level + (node.module or "")]
-
-
-def _kind(module: str, custom: Sequence[str]) -> str:
-    top = module.split(".")[0]
-    if not top or top in custom:
-        return "custom_modules"
-    return "standard_libs" if top in sys.stdlib_module_names else "third_party"
-
-
 def _imports_udf(custom: Sequence[str]):
-    def lines(text: str) -> list[dict]:
-        tree = _parsed(text)
-        return [
-            {"statement": ast.unparse(node), "module": module, "kind": _kind(module, custom)}
-            for node in (ast.walk(tree) if tree else ())
-            if isinstance(node, (ast.Import, ast.ImportFrom))
-            for module in _modules(node)
-        ]
-
     @F.pandas_udf(IMPORT_TYPE)
     def run(contents: pd.Series) -> pd.Series:
-        return contents.map(lines, na_action="ignore")
+        return contents.map(lambda content: parsing.imports_of(content, custom), na_action="ignore")
 
     return run
 
