@@ -19,7 +19,7 @@ HEADLINE = [
     "important_customers", "orphan_transactions", "income_rank", "top_earners", "tx_sequence", "rolling_stats",
     "daily_moving_avg", "daily_cumulative", "global_stats", "category_stats", "pivot_spend", "region_multi_agg",
     "percentile_table", "describe_numeric", "null_profile", "corr_pairs", "iqr_cap", "impute_median",
-    "standard_scale", "feature_pipeline", "anova_topk", "text_tokens", "extract_functions", "triage", "recipe_rank",
+    "standard_scale", "fitted_features", "anova_topk", "text_tokens", "extract_functions", "triage", "recipe_rank",
     "conversion_order", "strip_fence", "json_roundtrip",
 ]
 

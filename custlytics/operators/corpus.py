@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 
 from custlytics.functions import fixed_values as fixed
 from custlytics.operators import parsing
+from custlytics.operators.joins import broadcast_if_small
 from custlytics.operators.ordered import MAX_GROUP_ROWS, ordered_columns
 from custlytics.operators.windows import top_within
 from custlytics.session import checkpointed
@@ -212,7 +213,7 @@ def keyword_hits(keywords: DataFrame, recipes: DataFrame) -> DataFrame:
     tokens = tokens.filter(F.col("token") != "")
     vocabulary = tokens.select("token").distinct().withColumn("anchor", F.explode(_anchors(F.col("token"))))
     wanted = keywords.select("keyword").distinct().withColumn("anchor", F.substring("keyword", 1, ANCHOR))
-    matches = vocabulary.join(wanted, "anchor").filter(F.contains("token", "keyword")).select("keyword", "token")
+    matches = vocabulary.join(broadcast_if_small(wanted), "anchor").filter(F.contains("token", "keyword")).select("keyword", "token")
     return tokens.join(matches, "token").select("keyword", "id").distinct()
 
 

@@ -1,7 +1,8 @@
 """Joins and unions.
 
-No side is broadcast by hint: adaptive execution broadcasts a side when its measured size is below
-``spark.sql.autoBroadcastJoinThreshold`` and otherwise sorts, merges and splits skewed keys.
+Adaptive execution broadcasts a side when its measured size is below
+``spark.sql.autoBroadcastJoinThreshold`` and otherwise sorts, merges and splits skewed keys. A side is
+broadcast by hint only through ``broadcast_if_small``, which counts it first.
 """
 
 from __future__ import annotations
@@ -12,6 +13,14 @@ from custlytics.functions import fixed_values as fixed
 from custlytics.operators.ordered import MAX_GROUP_ROWS, ordered_columns
 
 
+MAX_BROADCAST_ROWS = 500_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``max_rows`` rows; worth it when the other side is huge."""
+    return df if df.limit(max_rows + 1).count() > max_rows else F.broadcast(df)
+
+
 def customer_transactions(customers: DataFrame, transactions: DataFrame) -> DataFrame:
     return customers.join(transactions, "customer_id")
 

@@ -137,7 +137,7 @@ def standard_scale(spark, sf_dir):
             when raw_age < 65 then 4 else 5 end as double) as age_bucket"""
     + INDEX_JOINS.replace("from customers", "from scaled")
 )
-def feature_pipeline(spark, sf_dir):
+def fitted_features(spark, sf_dir):
     built = features.feature_pipeline(customers(spark, sf_dir))
     array = vector_to_array("scaled_features")
     return built.select(
@@ -235,11 +235,32 @@ def select_variance(spark, sf_dir):
     return _chosen(spark, features.select_by_variance(filled, CANDIDATES, 100.0))
 
 
-@query(None)
+def _chi_square_sql(columns) -> str:
+    """Independence of each column and the label; all columns must have the same number of values."""
+    parts = " union all ".join(f"select '{c}' as feature, {c} as value, label from labelled" for c in columns)
+    return (
+        C_SQL
+        + MEDIAN_FILLED_SQL
+        + f""",
+tall as ({parts}),
+cells as (select feature, value, label, count(*) as n from tall group by all),
+expected as (
+  select feature, value, label, n,
+         sum(n) over (partition by feature, value) * sum(n) over (partition by feature, label)
+         / sum(n) over (partition by feature) as e
+  from cells),
+scores as (select feature, sum((n - e) ** 2 / e) as score from expected group by feature)
+"""
+    )
+
+
+@query(_chi_square_sql(["region", "education"]) + "select feature || '_indexed' as feature from scores order by score desc limit 1")
 def select_chisq(spark, sf_dir):
-    indexed = features.string_index(customers(spark, sf_dir), LABELS)
+    indexed = features.string_index(customers(spark, sf_dir), ["region", "education"])
     labelled = features.with_label_above_median(indexed, "purchase_amount")
-    return _chosen(spark, features.select_chi_square(labelled, [f"{c}_indexed" for c in LABELS], "label", 2))
+    return _chosen(
+        spark, features.select_chi_square(labelled, ["region_indexed", "education_indexed"], "label", 1)
+    )
 
 
 @query(
