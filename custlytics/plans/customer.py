@@ -78,7 +78,7 @@ def dedup_latest(spark, sf_dir):
     + """
 select customer_id, age_group, customer_tier, transaction_count,
        round(total_transaction_amount, 4) as total_transaction_amount,
-       round(avg_transaction_amount, 4) as avg_transaction_amount
+       round(avg_transaction_amount, 7) as avg_transaction_amount
 from enriched"""
 )
 def enrich_customers(spark, sf_dir):
@@ -88,7 +88,7 @@ def enrich_customers(spark, sf_dir):
         "customer_tier",
         "transaction_count",
         rounded("total_transaction_amount"),
-        rounded("avg_transaction_amount"),
+        rounded("avg_transaction_amount", 7),
     )
 
 
@@ -96,12 +96,12 @@ def enrich_customers(spark, sf_dir):
     T_SQL
     + """
 select customer_id, count(transaction_id) as transaction_count,
-       round(sum(amount), 4) as total_transaction_amount, round(avg(amount), 4) as avg_transaction_amount
+       round(sum(amount), 4) as total_transaction_amount, round(avg(amount), 7) as avg_transaction_amount
 from transactions group by customer_id"""
 )
 def customer_tx_metrics(spark, sf_dir):
     return customer.transaction_metrics(transactions(spark, sf_dir)).select(
-        "customer_id", "transaction_count", rounded("total_transaction_amount"), rounded("avg_transaction_amount")
+        "customer_id", "transaction_count", rounded("total_transaction_amount"), rounded("avg_transaction_amount", 7)
     )
 
 
@@ -121,7 +121,7 @@ yearly as (
 )
 select customer_id, round(total_spent, 4) as total_spent, transaction_count,
        cast(customer_lifetime_days as integer) as customer_lifetime_days,
-       round(avg_transaction_value, 4) as avg_transaction_value,
+       round(avg_transaction_value, 7) as avg_transaction_value,
        round(transactions_per_day, 6) as transactions_per_day,
        round(estimated_annual_value, 4) as estimated_annual_value
 from yearly"""
@@ -134,7 +134,7 @@ def _ltv_columns(df):
         rounded("total_spent"),
         "transaction_count",
         "customer_lifetime_days",
-        rounded("avg_transaction_value"),
+        rounded("avg_transaction_value", 7),
         rounded("transactions_per_day", 6),
         rounded("estimated_annual_value"),
     )
@@ -234,13 +234,13 @@ def baskets(spark, sf_dir):
     T_SQL
     + """
 select cast(month(transaction_date) as integer) as month, category, round(sum(amount), 4) as total_sales,
-       count(*) as transaction_count, round(avg(amount), 4) as avg_transaction_value,
+       count(*) as transaction_count, round(avg(amount), 7) as avg_transaction_value,
        month(transaction_date) || '-' || category as month_category
 from transactions group by month(transaction_date), category"""
 )
 def seasonal(spark, sf_dir):
     return customer.seasonal(transactions(spark, sf_dir)).select(
-        "month", "category", rounded("total_sales"), "transaction_count", rounded("avg_transaction_value"),
+        "month", "category", rounded("total_sales"), "transaction_count", rounded("avg_transaction_value", 7),
         "month_category",
     )
 

@@ -27,14 +27,14 @@ summary as (
   select customer_id, count(*) as n, sum(amount) as total, avg(amount) as mean, max(transaction_date) as latest
   from transactions group by customer_id)
 select customer_id, region, coalesce(n, 0) as transaction_count, round(coalesce(total, 0), 4) as total_spent,
-       round(coalesce(mean, 0), 4) as avg_transaction_amount, cast(latest as varchar) as last_transaction_date
+       round(coalesce(mean, 0), 7) as avg_transaction_amount, cast(latest as varchar) as last_transaction_date
 from customers left join summary using (customer_id)"""
 )
 def customer_summary_left(spark, sf_dir):
     people = customers(spark, sf_dir).select("customer_id", "region")
     joined = joins.customers_with_summary(people, transactions(spark, sf_dir))
     return joined.select(
-        "customer_id", "region", "transaction_count", rounded("total_spent"), rounded("avg_transaction_amount"),
+        "customer_id", "region", "transaction_count", rounded("total_spent"), rounded("avg_transaction_amount", 7),
         day("last_transaction_date"),
     )
 
