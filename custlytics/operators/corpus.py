@@ -233,7 +233,7 @@ def rank_recipes(requests: DataFrame, recipes: DataFrame, top_k: int | None = No
     """
     limit = top_k or MAX_RANKED
     keep = F.lit(limit) if top_k else F.greatest(F.lit(3), F.least(F.lit(MAX_RANKED), F.size("functions") * 2))
-    words = F.array_sort(F.flatten(F.transform("functions", _keywords)))
+    words = F.sort_array(F.flatten(F.transform("functions", _keywords)))
     asked = requests.select("request_id", keep.alias("_keep"), words.alias("_words")).filter(F.size("_words") > 0)
     bags = asked.groupBy("_words").agg(F.min("request_id").alias("_bag"))
     weighted = (
@@ -242,7 +242,7 @@ def rank_recipes(requests: DataFrame, recipes: DataFrame, top_k: int | None = No
         .agg(F.count(F.lit(1)).alias("weight"))
     )
 
-    found = keyword_hits(weighted, recipes).groupBy("id").agg(F.array_sort(F.collect_list("keyword")).alias("_found"))
+    found = keyword_hits(weighted, recipes).groupBy("id").agg(F.sort_array(F.collect_list("keyword")).alias("_found"))
     first = top_within(found.join(recipes.select("id", "place"), "id"), ["_found"], ["place", "id"], limit, "_nth")
     leader = F.first("id").over(Window.partitionBy("_found").orderBy("_nth"))
     members = checkpointed(first.withColumn("_group", leader))

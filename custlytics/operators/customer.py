@@ -111,7 +111,7 @@ def baskets(transactions: DataFrame) -> DataFrame:
     return (
         lines.groupBy("customer_id", "transaction_date")
         .agg(
-            F.array_sort(F.collect_list(F.struct("category", "quantity"))).alias("basket"),
+            F.sort_array(F.collect_list(F.struct("category", "quantity"))).alias("basket"),
             F.sum("quantity").alias("basket_size"),
         )
         .filter(F.col("basket_size") > 1)
@@ -158,8 +158,8 @@ def spending_patterns(transactions: DataFrame, high_value: float = fixed.HIGH_VA
     per_customer = transactions.groupBy("customer_id").agg(
         F.count(F.lit(1)).alias("total_transactions"),
         F.count_if(F.col("amount") > high_value).alias("high_value_transactions"),
-        F.array_sort(F.collect_set(day)).alias("active_days"),
-        F.array_sort(F.collect_set("category")).alias("preferred_categories"),
+        F.sort_array(F.collect_set(day)).alias("active_days"),
+        F.sort_array(F.collect_set("category")).alias("preferred_categories"),
         F.stddev("amount").alias("spending_volatility"),
     )
     return per_customer.withColumns(
@@ -178,7 +178,7 @@ def category_arrays(transactions: DataFrame, wanted: str = "Online") -> DataFram
     the list is not.
     """
     per_category = transactions.groupBy("customer_id", "category").agg(F.count(F.lit(1)).alias("n"))
-    entries = F.array_sort(F.collect_list(F.struct("category", "n")))
+    entries = F.sort_array(F.collect_list(F.struct("category", "n")))
     return (
         per_category.groupBy("customer_id")
         .agg(entries.alias("categories"))
@@ -215,7 +215,7 @@ def amount_lists(transactions: DataFrame, *, list_rows: int = 10_000) -> DataFra
         running={"_number": "row_number"},
     )
     part = F.floor((F.col("_number") - 1) / list_rows)
-    in_order = F.array_sort(F.collect_list(F.struct("_number", "amount")))
+    in_order = F.sort_array(F.collect_list(F.struct("_number", "amount")))
     return (
         numbered.groupBy("customer_id", part.alias("part"))
         .agg(in_order.alias("_entries"))

@@ -123,7 +123,7 @@ select customer_id, round(total_spent, 4) as total_spent, transaction_count,
        cast(customer_lifetime_days as integer) as customer_lifetime_days,
        round(avg_transaction_value, 7) as avg_transaction_value,
        round(transactions_per_day, 6) as transactions_per_day,
-       round(estimated_annual_value, 4) as estimated_annual_value
+       round(estimated_annual_value, 6) as estimated_annual_value
 from yearly"""
 )
 
@@ -136,7 +136,7 @@ def _ltv_columns(df):
         "customer_lifetime_days",
         rounded("avg_transaction_value", 7),
         rounded("transactions_per_day", 6),
-        rounded("estimated_annual_value"),
+        rounded("estimated_annual_value", 6),
     )
 
 

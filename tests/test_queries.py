@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry_points
 from custlytics.operators import aggregates, cleaning, customer, features, joins, quality, stats
 from custlytics.plans.registry import all_queries
+from custlytics.session import settings_for
 from custlytics.sources import samples, tables
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -131,3 +132,53 @@ def test_top_values_and_duplicates(spark):
     top = aggregates.top_values(df, k=1).orderBy("column").collect()
     assert [(r.column, r.value, r["count"]) for r in top] == [("x", "a", 2), ("y", "true", 2)]
     assert aggregates.duplicate_keys(df, ["x"]).count() == 1
+
+
+@pytest.fixture(scope="module")
+def skewed_dir(tmp_path_factory, duck):
+    """The tables with a third of all orders on one customer and day, and most customers in one region."""
+    folder = tmp_path_factory.mktemp("skewed")
+    changed = {
+        "orders": "select * replace (case when o_orderkey % 3 = 0 then 7 else o_custkey end as o_custkey, "
+        "case when o_orderkey % 3 = 0 then timestamp '1998-01-01' else o_orderdate end as o_orderdate) from orders",
+        "customer": "select * replace (case when c_custkey % 5 > 0 then 1 else c_nationkey end as c_nationkey, "
+        "case when c_custkey % 3 = 0 then 500.0 else c_acctbal end as c_acctbal) from customer",
+    }
+    for name in ("region", "nation", "customer", "orders", "part"):
+        duck.execute(f"copy ({changed.get(name, f'select * from {name}')}) to '{folder}/{name}.parquet'")
+    return str(folder)
+
+
+@pytest.mark.parametrize(
+    "name",
+    [
+        "tx_sequence", "amount_lists", "baskets", "category_arrays", "customer_patterns", "enrich_customers", "rfm",
+        "income_rank", "top_earners", "similar_income", "rank_first_last", "dedup_latest", "cohort_months",
+        "daily_cumulative", "impute_median", "qcut_income", "region_multi_agg", "orphan_transactions",
+    ],
+)
+def test_skewed_tables(spark, skewed_dir, name):
+    connection = connect(SF_DIR)
+    for table in ("region", "nation", "customer", "orders", "part"):
+        connection.execute(f"create or replace view {table} as select * from '{skewed_dir}/{table}.parquet'")
+    ok, note = compare(QUERIES[name].plan(spark, skewed_dir), connection, QUERIES[name].oracle)
+    assert ok, note
+
+
+def test_too_many_labels_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(features, "MAX_LABELS", 3)
+    df = spark.range(9).selectExpr("cast(id as string) x")
+    with pytest.raises(ValueError):
+        features.string_index(df, ["x"])
+
+
+def test_broadcast_only_of_counted_small_tables(spark):
+    small = joins.broadcast_if_small(spark.range(5), 5)
+    large = joins.broadcast_if_small(spark.range(6), 5)
+    plans = [df._jdf.queryExecution().analyzed().toString() for df in (small, large)]
+    assert ["ResolvedHint" in plan for plan in plans] == [True, False]
+
+
+def test_partition_settings_grow_with_the_input():
+    assert settings_for(10**9)["spark.sql.shuffle.partitions"] == "200"
+    assert int(settings_for(100 * 10**12)["spark.sql.shuffle.partitions"]) > 300_000
