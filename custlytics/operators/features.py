@@ -191,8 +191,8 @@ def anova_scores(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame
 
 def best_features(df: DataFrame, columns: Sequence[str], target: str, k: int = 10) -> DataFrame:
     """The ``k`` columns that best separate rows above from rows below the median of ``target``."""
-    labelled = with_label_above_median(impute(df, columns, "median"), target)
-    return anova_scores(labelled, columns, "label").orderBy(F.desc("score"), "feature").limit(k)
+    filled = impute(with_label_above_median(df, target), columns, "median")
+    return anova_scores(filled, columns, "label").orderBy(F.desc("score"), "feature").limit(k)
 
 
 def _selected(model, columns: Sequence[str]) -> list[str]:

@@ -33,7 +33,8 @@ enriched as (
 
 
 def cleaned_customers(spark, sf_dir):
-    return cleaning.clean_customers(customer_feed(spark, sf_dir), first_by=[F.desc("version")])
+    needed = customer_feed(spark, sf_dir).select("customer_id", "email", "age", "total_spent", "version")
+    return cleaning.clean_customers(needed, first_by=[F.desc("version")])
 
 
 def enriched_customers(spark, sf_dir):

@@ -218,9 +218,9 @@ def _chosen(spark, names):
 
 @query(_anova_sql() + "select feature from scores order by score desc limit 3")
 def select_univariate(spark, sf_dir):
-    filled = cleaning.impute(customers(spark, sf_dir), CANDIDATES, "median")
-    labelled = features.with_label_above_median(filled, "purchase_amount")
-    return _chosen(spark, features.select_univariate(labelled, CANDIDATES, "label", 3))
+    labelled = features.with_label_above_median(customers(spark, sf_dir), "purchase_amount")
+    filled = cleaning.impute(labelled, CANDIDATES, "median")
+    return _chosen(spark, features.select_univariate(filled, CANDIDATES, "label", 3))
 
 
 @query(
