@@ -328,9 +328,14 @@ def apply_corrections(reviews: DataFrame, code: str = "code") -> DataFrame:
 FENCE = "```"
 
 
+def _without_start(text: Column, pattern: str) -> Column:
+    return F.regexp_replace(text, rf"\A{pattern}", "")
+
+
 def _trimmed(text: Column) -> Column:
-    """Without white space at both ends, in one pass however long the blank runs inside are."""
-    return F.regexp_replace(text, r"\A\s+|(?<!\s)\s++\z", "")
+    """Without white space at both ends. Ends are cut at the start of the reversed text: a pattern that is
+    tied to the start is tried once, one tied to the end at every blank."""
+    return F.reverse(_without_start(F.reverse(_without_start(text, r"\s+")), r"\s+"))
 
 
 def _between(text: Column, opening: str, closing: str) -> Column:
@@ -357,10 +362,10 @@ def is_json(text: Column) -> Column:
 
 def strip_fence(text: Column) -> Column:
     """Code without a surrounding code fence, trailing blanks and blank lines at both ends."""
-    opened = F.regexp_replace(_trimmed(text), r"\A```(python)?", "")
-    closed = F.regexp_replace(opened, r"```\z", "")
-    lines = F.regexp_replace(closed, r"(?<![ \t\r\f\x0B])[ \t\r\f\x0B]++(?=\n|\z)", "")
-    return F.regexp_replace(lines, r"\A\n+|(?<!\n)\n++\z", "")
+    opened = _without_start(_without_start(text, r"\s+"), r"```(python)?")
+    backwards = _without_start(_without_start(F.reverse(opened), r"\s+"), "```")
+    lines = F.regexp_replace(backwards, r"(\A|\n)[ \t\r\f\x0B]+", "$1")
+    return _without_start(F.reverse(_without_start(lines, r"\n+")), r"\n+")
 
 
 def imported_module(statement: Column) -> Column:
