@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: The characters of ``[\x20\x09-\x0D]``.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -22,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_batches(df: DataFrame, function: BatchMap, schema: str) -> DataFrame:
+def map_batches(df: DataFrame, function: BatchMap, schema: str | StructType) -> DataFrame:
     """``mapInArrow`` in batches of at most ``BATCH_ROWS`` rows, whatever the session allows.
 
     Sets the session's ``spark.sql.execution.arrow.maxRecordsPerBatch`` down to that number.

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from custlytics.llm import line_dedup, packing, sharding, tokens
+from custlytics.llm import decontamination, html_text, line_dedup, packing, personal_data, sharding, tokens
 from custlytics.llm.common import table
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,19 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", kept_digest().alias("kept_sha256"))
 
 
+@query()
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.find_personal_data(_documents(spark, sf_dir))
+    base = F.filter("personal_data", lambda s: s.base)
+    of_kind = {f"n_{kind}": personal_data.span_count(base, kind) for kind in personal_data.BASE_KINDS}
+    return found.select(
+        "doc_id",
+        *[n.alias(name) for name, n in of_kind.items()],
+        F.sha2(personal_data.span_list(base).cast("binary"), 256).alias("base_sha256"),
+        personal_data.span_list(F.col("personal_data")).alias("spans"),
+    )
+
+
 @query()
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir))
@@ -69,6 +82,44 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(_documents(spark, sf_dir), n_shards=40, law="bytes")
 
 
+@query()
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
+_SQL_ITEM_WORDS = f"regexp_extract_all({_SQL_LOWER.format('text')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+@query(
+    f"""
+    WITH items AS (
+        SELECT item_id, words, least(13, len(words)) AS n
+        FROM (SELECT item_id, {_SQL_ITEM_WORDS} AS words FROM benchmark) WHERE len(words) > 0),
+    windows AS (
+        SELECT DISTINCT item_id, n, list_slice(words, k, k + n - 1) AS win
+        FROM (SELECT *, unnest(range(1, len(words) - n + 2)) AS k FROM items)),
+    docs AS (SELECT doc_id, coalesce({_SQL_ITEM_WORDS}, []) AS words FROM documents),
+    places AS (
+        SELECT doc_id, n, k, list_slice(words, k, k + n - 1) AS win
+        FROM (SELECT *, unnest(range(1, len(words) - n + 2)) AS k FROM docs, (SELECT DISTINCT n FROM windows))),
+    hits AS (SELECT DISTINCT doc_id, k, n, item_id FROM places JOIN windows USING (n, win)),
+    hit_words AS (
+        SELECT doc_id, count(DISTINCT place) AS n_hit
+        FROM (SELECT doc_id, unnest(range(k, k + n)) AS place FROM (SELECT DISTINCT doc_id, k, n FROM hits)) GROUP BY doc_id),
+    hit_items AS (
+        SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+        FROM (SELECT DISTINCT doc_id, item_id::varchar AS item FROM hits) GROUP BY doc_id)
+    SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(names, '')) AS items_sha256,
+           coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+    FROM docs LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
+    """
+)
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find_passages(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", *[c.alias(name) for name, c in decontamination.hit_columns("found").items()])
+
+
 @query()
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_documents(spark, sf_dir), limit=512)
