@@ -11,7 +11,7 @@ import hashlib
 import math
 import re
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -188,7 +188,7 @@ def find_passages(
         docs = docs.drop(column)
     out = None
     for block in _blocks_of(benchmark, block_bytes):
-        wanted = docs.sparkSession.sparkContext.broadcast(phrases(block, window))
+        wanted = docs.sparkSession.sparkContext.broadcast(astuple(phrases(block, window)))
         found = _searched(docs if out is None else checkpointed(out), column, wanted, shard_words)
         out = found
     return out
@@ -200,7 +200,7 @@ def _searched(docs: DataFrame, column: str, wanted, shard_words: int) -> DataFra
     schema = T.StructType([*others, T.StructField(column, FOUND)])
 
     def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = iter(search_shard([b.column("text") for b in held], wanted.value))
+        found = iter(search_shard([b.column("text") for b in held], Phrases(*wanted.value)))
         for rows in held:
             values = []
             before = rows.column(column).to_pylist() if again else [None] * rows.num_rows

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from custlytics.llm import decontamination, html_text, line_dedup, packing, personal_data, sharding, tokens
+from custlytics.llm import decontamination, html_text, line_dedup, ngram_join, packing, personal_data, quality_rules, sharding, tokens
 from custlytics.llm.common import table
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +77,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir))
 
 
+@query()
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judged(_documents(spark, sf_dir))
+    return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "posterior")
+
+
 @query()
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(_documents(spark, sf_dir), n_shards=40, law="bytes")
@@ -87,6 +93,37 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
 
+_SQL_WORDS = "regexp_extract_all({0}, '[^\\x20\\x09-\\x0D]+')"
+
+
+@query(
+    f"""
+    WITH RECURSIVE
+    docs AS (SELECT doc_id, coalesce({_SQL_WORDS.format(_SQL_LOWER.format('text'))}, []) AS words FROM documents),
+    grams AS (
+        SELECT DISTINCT doc_id, CASE WHEN len(words) < 4 THEN words ELSE list_slice(words, k, k + 3) END AS gram
+        FROM (SELECT *, unnest(range(1, greatest(len(words) - 2, 2))) AS k FROM docs WHERE len(words) > 0)),
+    sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+    common AS (
+        SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM grams a JOIN grams b USING (gram)
+        WHERE a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+    links AS (
+        SELECT x, y FROM common JOIN sizes sx ON x = sx.doc_id JOIN sizes sy ON y = sy.doc_id
+        WHERE 100 * i >= 85 * (sx.n + sy.n - i)),
+    ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+    reached AS (
+        SELECT doc_id, doc_id AS other FROM documents
+        UNION SELECT r.doc_id, w.y FROM reached r JOIN ways w ON r.other = w.x)
+    SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.component_id
+    FROM docs d LEFT JOIN sizes s USING (doc_id)
+    JOIN (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id) r USING (doc_id)
+    """
+)
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.near_duplicates(_documents(spark, sf_dir), words=4, similarity=85)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 _SQL_ITEM_WORDS = f"regexp_extract_all({_SQL_LOWER.format('text')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 
