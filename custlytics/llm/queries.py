@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from custlytics.llm import decontamination, html_text, line_dedup, ngram_join, packing, personal_data, quality_rules, sharding, tokens
+from custlytics.llm import decontamination, html_text, line_dedup, ngram_join, packing, personal_data, quality_rules, sharding, substring_dedup, tokens
 from custlytics.llm.common import table
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,32 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", kept_digest().alias("kept_sha256"))
 
 
+_SQL_WORDS = "regexp_extract_all({0}, '[^\\x20\\x09-\\x0D]+')"
+
+
+@query(
+    f"""
+    WITH docs AS (SELECT doc_id, coalesce({_SQL_WORDS.format('text')}, []) AS words FROM documents),
+    windows AS (
+        SELECT doc_id, k, md5(array_to_string(list_slice(words, k, k + 49), ' ')) AS win
+        FROM (SELECT *, unnest(range(1, len(words) - 48)) AS k FROM docs)),
+    firsts AS (SELECT win, min(doc_id) AS first_id FROM windows GROUP BY win),
+    removed AS (
+        SELECT DISTINCT doc_id, unnest(range(k, k + 50)) AS place
+        FROM windows JOIN firsts USING (win) WHERE doc_id > first_id),
+    each AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM docs),
+    kept AS (
+        SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS text
+        FROM each ANTI JOIN removed USING (doc_id, place) GROUP BY doc_id)
+    SELECT doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+    FROM docs LEFT JOIN kept USING (doc_id)
+    """
+)
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.drop_repeats(_documents(spark, sf_dir), window=50)
+    return kept.select("doc_id", "n_words", "n_removed", kept_digest().alias("kept_sha256"))
+
+
 @query()
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data.find_personal_data(_documents(spark, sf_dir))
@@ -93,9 +119,6 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
 
-_SQL_WORDS = "regexp_extract_all({0}, '[^\\x20\\x09-\\x0D]+')"
-
-
 @query(
     f"""
     WITH RECURSIVE
