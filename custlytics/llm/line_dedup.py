@@ -189,3 +189,38 @@ def drop_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool = False) ->
     """
     slim = docs.select("doc_id", "text")
     return map_batches(with_bitmaps(slim, line_bitmaps(slim, min_docs, keep_first)), _applied, KEPT)
+
+
+def dedup_documents(docs: DataFrame, min_docs: int = 10, keep_first: bool = True) -> DataFrame:
+    """``docs`` with the dropped lines gone from ``text`` and ``n_chars``, where there is one, counted anew.
+
+    With ``keep_first`` each frequent line stays where it occurs first. A document of which no word is left,
+    as its lines stand in others, is dropped; one that loses nothing is returned as it is. All columns
+    stay, whatever their names.
+    """
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    packed = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *others).alias("rest"))
+    joined = with_bitmaps(packed, line_bitmaps(packed, min_docs, keep_first))
+    schema = packed.schema
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            texts = []
+            for text, keep in zip(rows.column("text").to_pylist(), rows.column("keep").to_pylist(), strict=True):
+                if keep is not None:
+                    lines = (text or "").split("\n")
+                    lines = [line for line, kept in zip(lines, kept_lines(keep, len(lines)), strict=True) if kept]
+                    text = "\n".join(lines)
+                    text = text if text.encode().strip() else None
+                texts.append(text)
+            left = pa.array([t is not None or k is None for t, k in zip(texts, rows.column("keep").to_pylist(), strict=True)])
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("doc_id"), pa.array(texts, pa.string()), rows.column("rest")], names=["doc_id", "text", "rest"]
+            ).filter(left)
+
+    found = map_batches(joined.select("doc_id", "text", "rest", "keep"), cut, schema)
+    columns = [F.col(c) if c in ("doc_id", "text") else F.col("rest")[c].alias(c) for c in docs.columns]
+    if "n_chars" in others:
+        kind = docs.schema["n_chars"].dataType
+        columns[docs.columns.index("n_chars")] = F.coalesce(F.char_length("text"), F.lit(0)).cast(kind).alias("n_chars")
+    return found.select(*columns)

@@ -11,7 +11,6 @@ pivot, and only pairs that are still in different components go on.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -298,6 +297,14 @@ def near_duplicates(
     return linked.unionByName(alone)
 
 
-def least_buckets(n_shingles: int) -> int:
-    """Bits of buckets so that a bucket holds some hundred n-grams on average, for other corpus sizes."""
-    return max(16, math.ceil(math.log2(max(n_shingles, 1) / 256)))
+def keep_representatives(docs: DataFrame, **options: int) -> DataFrame:
+    """The rows of ``docs`` whose document is the one of least id in its component, unchanged.
+
+    Documents without words link with nothing and stay. Equal rows of (doc_id, text) are one document, of
+    which one row stays."""
+    near = near_duplicates(docs, **options).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    chosen = checkpointed(near.groupBy(F.col("doc_id").alias("chosen")).agg(F.count("*").alias("times")))
+    kept = docs.join(chosen.select("chosen").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("chosen")), "left_semi")
+    if chosen.filter("times > 1").head(1):
+        kept = kept.dropDuplicates(["doc_id", "text"])
+    return kept

@@ -1,8 +1,9 @@
 """Quality of documents by weak supervision, in DataFrame functions only.
 
 Each rule votes for good (1) or bad (0) or abstains (null). The number of vote patterns does not grow with
-the documents, so expectation-maximisation runs over the counts of patterns: it estimates how often each
-rule is right when it votes, and from that the probability that a document is good.
+the documents, so one aggregate counts them and expectation-maximisation runs over these counts: it
+estimates how often each rule is right when it votes, and from that the probability that a document is
+good, which is again a column expression.
 """
 
 from __future__ import annotations
@@ -141,12 +142,19 @@ class LabelModel:
 
     accuracy: dict[str, float]
 
+    def weight(self, name: str) -> float:
+        return math.log(self.accuracy[name] / (1 - self.accuracy[name]))
+
+    def odds(self, votes: dict[str, int | None]) -> float:
+        """Log-odds of good for one pattern of votes. Abstentions say nothing."""
+        signs = {1: 1.0, 0: -1.0, None: 0.0}
+        return math.log(PRIOR / (1 - PRIOR)) + sum(signs[votes[name]] * self.weight(name) for name in RULES)
+
     def posterior(self) -> Column:
-        """The probability of good, from the column ``votes``. Abstentions say nothing."""
+        """The probability of good, from the column ``votes``."""
         odds = F.lit(math.log(PRIOR / (1 - PRIOR)))
         for name in RULES:
-            weight = math.log(self.accuracy[name] / (1 - self.accuracy[name]))
-            vote = F.col("votes")[name]
+            vote, weight = F.col("votes")[name], self.weight(name)
             odds = odds + F.when(vote == 1, F.lit(weight)).when(vote == 0, F.lit(-weight)).otherwise(F.lit(0.0))
         return 1 / (1 + F.exp(-odds))
 
@@ -155,29 +163,20 @@ def _within(value: float, bounds: tuple[float, float]) -> float:
     return min(max(value, bounds[0]), bounds[1])
 
 
-def fit(voted: DataFrame) -> LabelModel:
-    """Expectation-maximisation over the counts of vote patterns of all documents.
+def solve(patterns: list[tuple[dict[str, int | None], int]]) -> LabelModel:
+    """Expectation-maximisation over (votes, number of documents).
 
-    A rule votes one way or abstains, so there are at most two patterns per rule and power: their number
-    has a bound that documents do not move. One small aggregate per round; the driver gets one row of
-    sums. No documents give the start values.
-    """
-    patterns = checkpointed(voted.groupBy("votes").agg(F.count("*").alias("n")))
+    A rule that never votes keeps its start value; so do all without documents."""
     model = LabelModel(dict.fromkeys(RULES, START_ACCURACY))
     for _ in range(MOST_ROUNDS):
-        good, bad = F.col("n") * F.col("p"), F.col("n") * (1 - F.col("p"))
-        sums = [F.sum("n").alias("n")]
-        for name in RULES:
-            vote = F.col("votes")[name]
-            sums.append(F.sum(F.when(vote.isNotNull(), F.col("n"))).alias(f"{name}_n"))
-            sums.append(F.sum(F.when(vote == 1, good).when(vote == 0, bad)).alias(f"{name}_right"))
-        found = patterns.withColumn("p", model.posterior()).agg(*sums).first()
-        if not found["n"]:
-            break
-        accuracy = {
-            name: _within(found[f"{name}_right"] / found[f"{name}_n"], ACCURACY_BOUNDS) if found[f"{name}_n"] else START_ACCURACY
-            for name in RULES
-        }
+        right, voted = dict.fromkeys(RULES, 0.0), dict.fromkeys(RULES, 0.0)
+        for votes, n in patterns:
+            good = 1 / (1 + math.exp(-model.odds(votes)))
+            for name in RULES:
+                if votes[name] is not None:
+                    voted[name] += n
+                    right[name] += n * (good if votes[name] else 1 - good)
+        accuracy = {r: _within(right[r] / voted[r], ACCURACY_BOUNDS) if voted[r] else START_ACCURACY for r in RULES}
         moved = max(abs(accuracy[r] - model.accuracy[r]) for r in RULES)
         model = LabelModel(accuracy)
         if moved < CHANGE:
@@ -185,6 +184,17 @@ def fit(voted: DataFrame) -> LabelModel:
     return model
 
 
+def fit(voted: DataFrame) -> LabelModel:
+    """The label model of all documents of ``voted``.
+
+    Spark counts the patterns of votes. A rule votes one way or abstains, so there are at most two to the
+    power of the rules of them, however many documents; only these counts come to the driver, in a fixed
+    order."""
+    counted = voted.groupBy("votes").agg(F.count("*").alias("n")).collect()
+    patterns = [(row.votes.asDict(), row.n) for row in counted]
+    return solve(sorted(patterns, key=lambda p: [-1 if p[0][name] is None else p[0][name] for name in RULES]))
+
+
 def judged(docs: DataFrame) -> DataFrame:
     """(doc_id, counts, votes, base_failed, posterior, kept), one row per row of ``docs``.
 
@@ -206,6 +216,8 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that :func:`judged` keeps, unchanged.
 
     The texts are read twice, once to fit and once to filter, and are not shuffled."""
-    voted = with_votes(with_counts(docs))
     model = fit(with_votes(with_counts(docs.select("doc_id", "text"))))
-    return voted.filter(~F.col("base_failed") & (model.posterior() >= GOOD_FROM)).select("doc.*")
+    # A generator of one row keeps the filter, which names each count many times, from being moved below
+    # the counts with a copy of what they are made of for each name.
+    counts = with_counts(docs).select("doc", F.inline(F.array(F.struct(*COUNTS, *_MORE))))
+    return with_votes(counts).filter(~F.col("base_failed") & (model.posterior() >= GOOD_FROM)).select("doc.*")
