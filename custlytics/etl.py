@@ -20,7 +20,7 @@ def run(
     *,
     validator: Callable[[DataFrame], DataFrame] | None = None,
     first_by: Sequence[Column] = (),
-    multi_line: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Write ``enriched_customers`` (parquet) and ``customer_insights`` (CSV) and return the insights.
 

@@ -108,7 +108,7 @@ def region_multi_aggregate(customers: DataFrame, digits: int = 2) -> DataFrame:
     medians = quantiles(customers, ["income", "purchase_amount"], [0.5], ["region"]).select(
         "region", F.col("income")[0].alias("income_median"), F.col("purchase_amount")[0].alias("purchase_amount_median")
     )
-    joined = plain.join(medians, "region")
+    joined = _with_groups(plain, medians, "region")
     return joined.select("region", *[F.round(c, digits).alias(c) for c in joined.columns if c != "region"])
 
 
@@ -118,7 +118,13 @@ def group_summary(df: DataFrame, by: str, value: str) -> DataFrame:
         F.avg(value).alias("mean"), F.stddev(value).alias("std"), F.count(value).alias("count")
     )
     medians = quantiles(df, [value], [0.5], [by]).select(by, F.col(value)[0].alias("median"))
-    return plain.join(medians, by)
+    return _with_groups(plain, medians, by)
+
+
+def _with_groups(plain: DataFrame, more: DataFrame, by: str) -> DataFrame:
+    """Further columns of the groups of ``plain``; the null group is one of them."""
+    named = more.withColumnRenamed(by, "_by")
+    return plain.join(named, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
 
 
 def percentile_table(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:

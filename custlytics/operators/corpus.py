@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 from custlytics.functions import fixed_values as fixed
 from custlytics.operators import parsing
 from custlytics.operators.joins import broadcast_if_small
-from custlytics.operators.ordered import MAX_GROUP_ROWS, ordered_columns
+from custlytics.operators.ordered import ordered_columns
 from custlytics.operators.windows import top_within
-from custlytics.session import checkpointed
+from custlytics.session import checkpointed, scratch_path
 
 # --- functions and imports -------------------------------------------------------------------------
 
@@ -79,29 +79,32 @@ def dependency_levels(functions: DataFrame, calls: DataFrame) -> DataFrame:
 
     ``functions`` has ``script_id``, ``function_name``; ``calls`` has also ``depends_on``. Calls of
     functions outside the script and of a function to itself are left out. Functions on or behind a
-    cycle have a null level. Each round works on the calls that are still open and is checkpointed, so
-    the plan does not grow with the number of rounds.
+    cycle have a null level. Each round reads only the calls that are still open, appends the functions
+    that became ready to one table and writes what stays open once, so the plan has the same size after
+    any number of rounds.
     """
     key, needed = ["script_id", "function_name"], ["script_id", "depends_on"]
     functions = functions.select(*key).distinct()
     inside = calls.filter(F.col("function_name") != F.col("depends_on")).select(*key, "depends_on").distinct()
-    open_calls = checkpointed(
-        inside.alias("l").join(functions.alias("r"), _match(needed, key), "left_semi")
-    )
-    ready = checkpointed(functions.join(open_calls, key, "left_anti"))
+    spark, level = functions.sparkSession, 0
+    found = scratch_path(spark, "levels")
+    open_calls = checkpointed(inside.alias("l").join(functions.alias("r"), _match(needed, key), "left_semi"))
+    kinds = functions.schema
+    ready = functions.join(open_calls, key, "left_anti")
+    while True:
+        ready.write.parquet(f"{found}/level={level}")
+        ready = spark.read.schema(kinds).parquet(f"{found}/level={level}")
+        if open_calls.isEmpty() or ready.isEmpty():
+            break
+        still_open = checkpointed(open_calls.alias("l").join(ready.alias("r"), _match(needed, key), "left_anti"))
+        ready = open_calls.select(*key).distinct().join(still_open, key, "left_anti")
+        open_calls, level = still_open, level + 1
+    done = spark.read.schema(T.StructType([*kinds.fields, T.StructField("level", T.IntegerType())])).option("basePath", found).parquet(found)
     waiting = open_calls.select(*key).distinct()
-    levels = [ready.withColumn("level", F.lit(0))]
-    while not ready.isEmpty():
-        still_open = checkpointed(
-            open_calls.alias("l").join(ready.alias("r"), _match(needed, key), "left_anti")
-        )
-        ready = checkpointed(open_calls.select(*key).distinct().join(still_open, key, "left_anti"))
-        levels.append(ready.withColumn("level", F.lit(len(levels))))
-        open_calls, waiting = still_open, still_open.select(*key).distinct()
-    return reduce(DataFrame.unionByName, [*levels, waiting.withColumn("level", F.lit(None).cast("int"))])
+    return done.unionByName(waiting.withColumn("level", F.lit(None).cast("int")))
 
 
-def conversion_order(functions: DataFrame, calls: DataFrame, *, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def conversion_order(functions: DataFrame, calls: DataFrame, *, max_group_rows: int | None = None) -> DataFrame:
     """Functions of each script in an order in which each comes after those it needs."""
     levels = dependency_levels(functions, calls).withColumn("_last", F.col("level").isNull())
     numbered = ordered_columns(
@@ -155,15 +158,24 @@ def parse_recipes(sources: DataFrame, order: str, json: str) -> DataFrame:
     """Recipes from JSON texts that hold one object or an array of objects.
 
     Objects without an id are dropped. Of several with the same id the last one counts, at the place of
-    the first. ``order`` orders the texts.
+    the first. ``order`` orders the texts. ``fields`` holds the whole recipe, nested values as JSON. Texts
+    that are no JSON give nothing here; :func:`broken_recipes` lists them.
     """
-    schema = "array<struct<id string, description string, usage_context string>>"
-    listed = sources.select(order, F.posexplode(F.from_json(json, schema)).alias("_at", "recipe"))
+    text = _trimmed(F.col(json))
+    whole = F.when(text.startswith("{"), F.concat(F.lit("["), text, F.lit("]"))).otherwise(text)
+    listed = sources.select(order, F.posexplode(F.from_json(whole, "array<map<string,string>>")).alias("_at", "fields"))
     place = F.struct(F.col(order), F.col("_at"))
-    known = listed.filter(F.col("recipe.id").isNotNull()).groupBy(F.col("recipe.id").alias("id"))
-    return known.agg(F.min(place).alias("place"), F.max_by("recipe", place).alias("recipe")).select(
-        "id", "place", F.col("recipe.description").alias("description"), F.col("recipe.usage_context").alias("usage_context")
-    )
+    identifier = F.col("fields")["id"]
+    known = listed.filter(identifier.isNotNull()).groupBy(identifier.alias("id"))
+    return known.agg(F.min(place).alias("place"), F.max_by("fields", place).alias("fields")).select(
+        "id", "place", F.col("fields")["description"].alias("description"),
+        F.col("fields")["usage_context"].alias("usage_context"), "fields",
+    )
+
+
+def broken_recipes(sources: DataFrame, json: str) -> DataFrame:
+    """The texts that are not valid JSON."""
+    return sources.filter(~F.coalesce(is_json(F.col(json)), F.lit(False)))
 
 
 def read_recipes(spark: SparkSession, path: str) -> DataFrame:
@@ -179,7 +191,7 @@ def lookup_recipes(requests: DataFrame, recipes: DataFrame) -> DataFrame:
 
 
 def _keywords(names: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(F.lower(names), "[._]", " "), r"\s+"), lambda w: w != "")
+    return F.filter(F.split(F.regexp_replace(F.lower(names), "[._]", " "), f"{BLANK}+"), lambda w: w != "")
 
 
 ANCHOR = 3
@@ -209,7 +221,7 @@ def keyword_hits(keywords: DataFrame, recipes: DataFrame) -> DataFrame:
             F.coalesce("description", F.lit("")), F.lit(" "), F.coalesce("usage_context", F.lit("")), F.lit(" "), "id"
         )
     )
-    tokens = recipes.select("id", F.explode(F.array_distinct(F.split(text, r"\s+"))).alias("token"))
+    tokens = recipes.select("id", F.explode(F.array_distinct(F.split(text, f"{BLANK}+"))).alias("token"))
     tokens = tokens.filter(F.col("token") != "")
     vocabulary = tokens.select("token").distinct().withColumn("anchor", F.explode(_anchors(F.col("token"))))
     wanted = keywords.select("keyword").distinct().withColumn("anchor", F.substring("keyword", 1, ANCHOR))
@@ -326,6 +338,9 @@ def apply_corrections(reviews: DataFrame, code: str = "code") -> DataFrame:
 # --- model responses and generated text ------------------------------------------------------------
 
 FENCE = "```"
+#: White space as the texts' own language has it, no-break and wide blanks included.
+BLANK = r"(?U:[\s\x1C-\x1F])"
+BLANK_IN_LINE = r"(?U:[\s\x1C-\x1F&&[^\n]])"
 
 
 def _without_start(text: Column, pattern: str) -> Column:
@@ -335,7 +350,7 @@ def _without_start(text: Column, pattern: str) -> Column:
 def _trimmed(text: Column) -> Column:
     """Without white space at both ends. Ends are cut at the start of the reversed text: a pattern that is
     tied to the start is tried once, one tied to the end at every blank."""
-    return F.reverse(_without_start(F.reverse(_without_start(text, r"\s+")), r"\s+"))
+    return F.reverse(_without_start(F.reverse(_without_start(text, f"{BLANK}+")), f"{BLANK}+"))
 
 
 def _between(text: Column, opening: str, closing: str) -> Column:
@@ -362,9 +377,9 @@ def is_json(text: Column) -> Column:
 
 def strip_fence(text: Column) -> Column:
     """Code without a surrounding code fence, trailing blanks and blank lines at both ends."""
-    opened = _without_start(_without_start(text, r"\s+"), r"```(python)?")
-    backwards = _without_start(_without_start(F.reverse(opened), r"\s+"), "```")
-    lines = F.regexp_replace(backwards, r"(\A|\n)[ \t\r\f\x0B]+", "$1")
+    opened = _without_start(_without_start(text, f"{BLANK}+"), r"```(python)?")
+    backwards = _without_start(_without_start(F.reverse(opened), f"{BLANK}+"), "```")
+    lines = F.regexp_replace(backwards, rf"(\A|\n){BLANK_IN_LINE}+", "$1")
     return _without_start(F.reverse(_without_start(lines, r"\n+")), r"\n+")
 
 

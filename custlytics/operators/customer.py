@@ -85,9 +85,9 @@ def cohort_months(customers: DataFrame, transactions: DataFrame) -> DataFrame:
         .groupBy("customer_id", "transaction_month")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("revenue"))
     )
-    cohorts = with_month(customers, "registration_date", "registration_month").select(
-        "customer_id", "registration_month"
-    )
+    # Second records of a customer do not count again: the first registration is the customer's.
+    first = customers.groupBy("customer_id").agg(F.min("registration_date").alias("registration_date"))
+    cohorts = with_month(first, "registration_date", "registration_month").select("customer_id", "registration_month")
     return (
         cohorts.join(activity, "customer_id")
         .groupBy("registration_month", "transaction_month")

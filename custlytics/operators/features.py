@@ -4,60 +4,67 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import (
     PCA,
     Bucketizer,
     ChiSqSelector,
     MinMaxScaler,
     Normalizer,
-    OneHotEncoder,
-    QuantileDiscretizer,
     StandardScaler,
-    StringIndexer,
     UnivariateFeatureSelector,
     VarianceThresholdSelector,
     VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from custlytics.functions import fixed_values as fixed, labels
 from custlytics.operators.cleaning import impute
+from custlytics.operators.ordered import ordered_columns
 from custlytics.operators.quantiles import as_struct, quantiles
 
 PIPELINE_FEATURES = ["age", "income", "credit_score", "years_employed", "num_accounts"]
-MAX_DUMMIES = 1000
-MAX_LABELS = 100_000
+
+
+def label_table(df: DataFrame, column: str) -> DataFrame:
+    """(label, place): 0 for the most frequent label, ties in alphabetical order. Nulls are no label."""
+    counted = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("label")).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = ordered_columns(counted, [], ["-_n", "label"], running={"_place": "row_number"})
+    return ranked.select("label", (F.col("_place") - 1).alias("place"))
 
 
 def string_index(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``<column>_indexed``: 0 for the most frequent label, ties in alphabetical order.
+    """``<column>_indexed``: 0.0 for the most frequent label, ties in alphabetical order, null for null.
 
-    The labels become part of the fitted model, so columns with very many different ones are refused.
-    """
-    labels_found = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
+    The labels stay in a table that is joined, however many there are."""
     for c in columns:
-        if labels_found[c] > MAX_LABELS:
-            raise ValueError(f"{c} has about {labels_found[c]} labels, more than {MAX_LABELS}")
-    indexer = StringIndexer(inputCols=list(columns), outputCols=[f"{c}_indexed" for c in columns])
-    return indexer.fit(df).transform(df)
+        index = label_table(df, c).select(F.col("label").alias("_label"), F.col("place").cast("double").alias(f"{c}_indexed"))
+        df = df.join(index, F.col(c) == F.col("_label"), "left").drop("_label")
+    return df
 
 
 def one_hot(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``<column>_encoded``: an array with a 1 at the label's index; the last index is all zeros."""
+    """``<column>_encoded``: an array with a 1 at the label's index; the last index is all zeros.
+
+    The array is as long as there are labels, less one; for columns with very many labels use the index."""
     indexed = string_index(df, columns)
-    encoder = OneHotEncoder(inputCols=[f"{c}_indexed" for c in columns], outputCols=[f"{c}_encoded" for c in columns])
-    encoded = encoder.fit(indexed).transform(indexed)
-    return encoded.withColumns({f"{c}_encoded": vector_to_array(f"{c}_encoded") for c in columns})
+    for c in columns:
+        size = df.agg(F.count_distinct(c)).scalar()
+        indexed = indexed.withColumn("_size", size).withColumn(f"{c}_encoded", _encoded(F.col(f"{c}_indexed"), F.col("_size")))
+    return indexed.drop("_size")
+
+
+def _encoded(index: Column, size: Column) -> Column:
+    places = F.sequence(F.lit(0), size.cast("int") - 2)
+    hot = F.transform(places, lambda i: F.when(i == index, 1.0).otherwise(0.0))
+    return F.when(index.isNotNull(), F.when(size > 1, hot).otherwise(F.array().cast("array<double>")))
 
 
 def dummies(df: DataFrame, column: str, values: Sequence[str] | None = None) -> DataFrame:
-    """A true/false column ``<column>_<value>`` per value; the values are read from the table if not given."""
+    """A true/false column ``<column>_<value>`` per value. The values name the columns of the result, so a
+    list that is not given is read from the table before the plan can be made."""
     if values is None:
-        found = df.select(column).filter(F.col(column).isNotNull()).distinct().limit(MAX_DUMMIES + 1).collect()
-        if len(found) > MAX_DUMMIES:
-            raise ValueError(f"{column} has more than {MAX_DUMMIES} values")
+        found = df.select(column).filter(F.col(column).isNotNull()).distinct().collect()
         values = sorted(row[0] for row in found)
     return df.withColumns({f"{column}_{v}": F.coalesce(F.col(column) == v, F.lit(False)) for v in values})
 
@@ -68,8 +75,12 @@ def age_buckets(df: DataFrame, splits: Sequence[float] = fixed.AGE_BUCKET_SPLITS
 
 
 def quantile_buckets(df: DataFrame, column: str, output: str, buckets: int = 5) -> DataFrame:
-    """Buckets of about equal size, with approximate cut points."""
-    return QuantileDiscretizer(numBuckets=buckets, inputCol=column, outputCol=output).fit(df).transform(df)
+    """Buckets of about equal size between exact cut points: the values at each share of the rows. A value
+    at a cut point belongs to the bucket above it, equal cut points count once, nulls have no bucket."""
+    cuts = as_struct(quantiles(df, [column], [i / buckets for i in range(1, buckets)], discrete=True))[column]
+    bounded = df.withColumn("_cuts", cuts)
+    above = F.size(F.filter(F.array_distinct("_cuts"), lambda cut: cut <= F.col(column))).cast("double")
+    return bounded.withColumn(output, F.when(F.col(column).isNotNull(), above)).drop("_cuts")
 
 
 def quartile_labels(df: DataFrame, column: str, output: str, names: Sequence[str] = ("Q1", "Q2", "Q3", "Q4")) -> DataFrame:
@@ -111,25 +122,15 @@ def l2_normalize(df: DataFrame, columns: Sequence[str], output: str = "normed_fe
     return Normalizer(inputCol="features", outputCol=output, p=2.0).transform(assemble(df, columns))
 
 
-def fit_feature_pipeline(customers: DataFrame) -> PipelineModel:
-    """Index three label columns, bucket age and income, assemble and scale the numeric columns."""
-    names = ("region", "education", "marital_status")
-    indexer = StringIndexer(inputCols=list(names), outputCols=["region_indexed", "education_indexed", "marital_indexed"])
-    stages = [
-        indexer,
-        Bucketizer(
-            splits=list(fixed.AGE_BUCKET_SPLITS), inputCol="age", outputCol="age_bucket", handleInvalid="keep"
-        ),
-        QuantileDiscretizer(numBuckets=5, inputCol="income", outputCol="income_quintile"),
-        VectorAssembler(inputCols=PIPELINE_FEATURES, outputCol="features"),
-        StandardScaler(inputCol="features", outputCol="scaled_features", withMean=True, withStd=True),
-    ]
-    return Pipeline(stages=stages).fit(customers)
-
-
 def feature_pipeline(customers: DataFrame) -> DataFrame:
+    """Index three label columns, bucket age and income, assemble and scale the numeric columns.
+
+    Labels and cut points stay in tables; means and deviations come from one aggregate."""
     filled = impute(customers, ["income", "credit_score"])
-    return fit_feature_pipeline(filled).transform(filled)
+    indexed = string_index(filled, ["region", "education", "marital_status"])
+    indexed = indexed.withColumnRenamed("marital_status_indexed", "marital_indexed")
+    bucketed = quantile_buckets(age_buckets(indexed), "income", "income_quintile")
+    return standard_scale(bucketed, PIPELINE_FEATURES)
 
 
 def principal_components(df: DataFrame, vector: str, k: int, output: str = "pca_features") -> DataFrame:

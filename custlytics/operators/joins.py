@@ -2,7 +2,7 @@
 
 Adaptive execution broadcasts a side when its measured size is below
 ``spark.sql.autoBroadcastJoinThreshold`` and otherwise sorts, merges and splits skewed keys. A side is
-broadcast by hint only through ``broadcast_if_small``, which counts it first.
+broadcast by hint only through ``broadcast_if_small``, which measures it first.
 """
 
 from __future__ import annotations
@@ -10,15 +10,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from custlytics.functions import fixed_values as fixed
-from custlytics.operators.ordered import MAX_GROUP_ROWS, ordered_columns
+from custlytics.operators.ordered import ordered_columns
+from custlytics.session import checkpointed
 
 
-MAX_BROADCAST_ROWS = 500_000
+MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``max_rows`` rows; worth it when the other side is huge."""
-    return df if df.limit(max_rows + 1).count() > max_rows else F.broadcast(df)
+def broadcast_if_small(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if its rows, as text, have at most ``max_bytes``.
+
+    Worth it when the other side is huge. ``df`` is checkpointed: it is computed once and then measured."""
+    df = checkpointed(df)
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(df) if size <= max_bytes else df
 
 
 def customer_transactions(customers: DataFrame, transactions: DataFrame) -> DataFrame:
@@ -46,7 +51,7 @@ def closest_incomes(
     limit: int = 20,
     max_gap: float = fixed.SIMILAR_INCOME_GAP,
     *,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    max_group_rows: int | None = None,
 ) -> DataFrame:
     """The ``limit`` closest pairs of customers of one region whose incomes differ by less than ``max_gap``.
 

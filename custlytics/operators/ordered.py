@@ -10,20 +10,40 @@ partitions over (group, order) instead, so that no task gets more than about tha
 * frame columns (lag, lead, moving aggregates) get each block with the few rows around it that its
   frames reach into.
 
-Both ways give the same rows. One aggregate over the group keys decides between them.
+Both ways give the same rows and the same types (positions are 64-bit). One aggregate over the group keys
+decides between them; split rows are checkpointed first, so that they are computed once.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from custlytics.session import checkpointed
 
+#: Rows of one group that a task may hold, unless :func:`limited_groups` sets another number.
 MAX_GROUP_ROWS = 2_000_000
+_limit: ContextVar[int] = ContextVar("max_group_rows", default=MAX_GROUP_ROWS)
+
+
+@contextmanager
+def limited_groups(rows: int) -> Iterator[None]:
+    """Plans made inside split groups of more than ``rows`` rows, for wide rows or small executors."""
+    token = _limit.set(rows)
+    try:
+        yield
+    finally:
+        _limit.reset(token)
+
+
+def group_rows(given: int | None) -> int:
+    return _limit.get() if given is None else given
+
 
 Running = str | tuple
 Framed = Callable[[WindowSpec], Column]
@@ -59,7 +79,7 @@ def ordered_columns(
     framed: Mapping[str, Framed] | None = None,
     before: int = 0,
     after: int = 0,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    max_group_rows: int | None = None,
 ) -> DataFrame:
     """Add window columns over ``by`` groups sorted by ``order`` and then ``ties``.
 
@@ -70,12 +90,15 @@ def ordered_columns(
     ``before`` rows back and ``after`` rows ahead.
     """
     running, framed = dict(running or {}), dict(framed or {})
+    max_group_rows = group_rows(max_group_rows)
     large = large_groups(df, by, max_group_rows)
     found = large.agg(F.count(F.lit(1)).alias("groups"), F.sum("_rows").alias("rows")).first()
     if not found["groups"]:
         return _plain(df, by, order, ties, running, framed)
 
     blocks = math.ceil(found["rows"] / max_group_rows)
+    # Both parts and the layout read the rows: they are computed once.
+    df = checkpointed(df)
     if not by:
         return _split(df, by, order, ties, running, framed, before, after, max_group_rows, blocks)
     large = checkpointed(large)
@@ -93,13 +116,13 @@ def _plain(df, by, order, ties, running, framed) -> DataFrame:
     added = {}
     for name, kind in running.items():
         if kind == "row_number":
-            added[name] = F.row_number().over(whole)
+            added[name] = F.row_number().over(whole).cast("bigint")
         elif kind == "rank":
-            added[name] = F.rank().over(peers)
+            added[name] = F.rank().over(peers).cast("bigint")
         elif kind == "dense_rank":
-            added[name] = F.dense_rank().over(peers)
+            added[name] = F.dense_rank().over(peers).cast("bigint")
         elif kind[0] == "ntile":
-            added[name] = F.ntile(kind[1]).over(whole)
+            added[name] = F.ntile(kind[1]).over(whole).cast("bigint")
         elif kind[0] == "sum":
             added[name] = F.sum(kind[1]).over(whole.rowsBetween(Window.unboundedPreceding, Window.currentRow))
         elif kind[0] in ("first", "last"):
@@ -140,13 +163,13 @@ def _split(df, by, order, ties, running, framed, before, after, block_rows, bloc
     added = {"_position": position}
     for name, kind in running.items():
         if kind == "row_number":
-            added[name] = position.cast("int")
+            added[name] = position.cast("bigint")
         elif kind == "rank":
             carried = F.col("_continues") & (F.col("_dense") == 1)
             rank = F.when(carried, F.col("_run_start")).otherwise(F.col("_rank") + F.col("_rows_before"))
-            added[name] = rank.cast("int")
+            added[name] = rank.cast("bigint")
         elif kind == "dense_rank":
-            added[name] = (F.col("_dense") + F.col("_values_before") - F.col("_continues").cast("int")).cast("int")
+            added[name] = (F.col("_dense") + F.col("_values_before") - F.col("_continues").cast("int")).cast("bigint")
         elif kind[0] == "ntile":
             added[name] = _ntile(position, F.col("_group_rows"), kind[1])
         elif kind[0] == "sum":
@@ -218,7 +241,7 @@ def _ntile(position: Column, rows: Column, tiles: int) -> Column:
     return (
         F.when(position <= in_longer, F.floor((position - 1) / (small + 1)) + 1)
         .otherwise(longer + F.floor(F.try_divide(position - 1 - in_longer, small)) + 1)
-        .cast("int")
+        .cast("bigint")
     )
 
 

@@ -15,9 +15,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def parsed(content: str) -> ast.Module | None:
+    """The script's tree, or nothing if it is broken or nested too deeply to be read."""
     try:
         return ast.parse(content)
-    except (SyntaxError, ValueError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
         return None
 
 

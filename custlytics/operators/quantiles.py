@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from custlytics.operators.ordered import MAX_GROUP_ROWS, large_groups, ordered_columns
+from custlytics.operators.ordered import group_rows, large_groups, ordered_columns
 from custlytics.session import checkpointed
 
 
@@ -23,13 +23,14 @@ def quantiles(
     by: Sequence[str] = (),
     *,
     discrete: bool = False,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    max_group_rows: int | None = None,
 ) -> DataFrame:
     """One row per group with an array of quantiles (in the order asked) for each column; nulls are skipped.
 
-    Quantiles interpolate linearly between neighbours, or with ``discrete`` are the smallest values
+    A group without any value has null quantiles. Quantiles interpolate linearly between neighbours, or with ``discrete`` are the smallest values
     whose share of rows reaches the probability.
     """
+    max_group_rows = group_rows(max_group_rows)
     if not large_groups(df, by, max_group_rows).isEmpty():
         return _by_counting(df, columns, probabilities, by, discrete, max_group_rows)
     if discrete:
@@ -50,9 +51,9 @@ def _by_counting(df, columns, probabilities, by, discrete, max_group_rows) -> Da
     counted = (
         df.select(*by, pairs.alias("_pair"))
         .select(*by, "_pair.*")
-        .filter(F.col("_value").isNotNull())
         .groupBy(*by, "_column", "_value")
-        .agg(F.count(F.lit(1)).alias("_count"))
+        # A null value counts no rows but keeps its group.
+        .agg(F.count("_value").alias("_count"))
     )
     counted = checkpointed(counted)
     reached = ordered_columns(
@@ -78,7 +79,8 @@ def _by_counting(df, columns, probabilities, by, discrete, max_group_rows) -> Da
         low, high = value_at(F.floor(place) + 1), value_at(F.ceil(place) + 1)
         share = F.max(place - F.floor(place))
         found.append(low + (high - low) * share)
-    tall = joined.groupBy(*by, "_column").agg(F.array(*found).alias("_quantiles"))
+    valued = F.when(F.max("_total") > 0, F.array(*found))
+    tall = joined.groupBy(*by, "_column").agg(valued.alias("_quantiles"))
     return tall.groupBy(*by).agg(
         *[F.first(F.when(F.col("_column") == c, F.col("_quantiles")), ignorenulls=True).alias(c) for c in columns]
     )

@@ -37,8 +37,18 @@ def approx_quantiles(
 
 
 def frequent_items(df: DataFrame, column: str, support: float = fixed.FREQUENT_ITEM_SUPPORT) -> DataFrame:
-    """Values that make up at least ``support`` of all rows, without false positives."""
-    counted = df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("count"))
+    """Values that make up at least ``support`` of all rows, without false positives.
+
+    A sketch with room for a few times 1 / ``support`` values finds all candidates; only these are counted.
+    """
+    sketch = df.select(F.col(column).alias("value")).freqItems(["value"], support / 2)
+    candidates = sketch.select(F.explode("value_freqItems").alias("candidate"))
+    found = df.select(F.col(column).alias("value")).join(
+        F.broadcast(candidates),  # at most 2 / support rows
+        F.col("value").eqNullSafe(F.col("candidate")),
+        "left_semi",
+    )
+    counted = found.groupBy("value").agg(F.count(F.lit(1)).alias("count"))
     total = df.agg(F.count(F.lit(1))).scalar()
     return counted.filter(F.col("count") >= total * F.lit(support))
 

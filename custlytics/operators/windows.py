@@ -6,10 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, WindowSpec, functions as F
 
-from custlytics.operators.ordered import MAX_GROUP_ROWS, ordered_columns, sort_column
+from custlytics.operators.ordered import ordered_columns, sort_column
 
 
-def income_rank(customers: DataFrame, *, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def income_rank(customers: DataFrame, *, max_group_rows: int | None = None) -> DataFrame:
     """Row number, dense rank and decile by falling income within the region."""
     return ordered_columns(
         customers,
@@ -34,7 +34,7 @@ def top_within(df: DataFrame, by: Sequence[str], order: Sequence[str], k: int, n
     return df.withColumn(name, F.row_number().over(window)).filter(F.col(name) <= k)
 
 
-def transaction_sequence(transactions: DataFrame, *, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def transaction_sequence(transactions: DataFrame, *, max_group_rows: int | None = None) -> DataFrame:
     """Previous and next amount, running total and ordinal of each customer's transactions."""
     return ordered_columns(
         transactions,
@@ -53,7 +53,7 @@ def transaction_sequence(transactions: DataFrame, *, max_group_rows: int = MAX_G
 
 
 def rank_first_last(
-    df: DataFrame, by: str, order: str, key: str, *, max_group_rows: int = MAX_GROUP_ROWS
+    df: DataFrame, by: str, order: str, key: str, *, max_group_rows: int | None = None
 ) -> DataFrame:
     """Rank with gaps, and the key of the group's first and last row."""
     return ordered_columns(
@@ -71,7 +71,7 @@ def rolling(
     order: str,
     specs: dict[str, tuple[str, str, int]],
     *,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    max_group_rows: int | None = None,
 ) -> DataFrame:
     """Rolling means and sums over the whole table in ``order`` (a unique column).
 

@@ -56,14 +56,16 @@ def fixture_products(spark, sf_dir):
 @query(
     C_SQL
     + """
-select customer_id, case when customer_id % 30 <> 0 then years_employed end as years_employed,
-       case when customer_id % 20 <> 0 then debt_ratio end as debt_ratio, purchase_amount from customers"""
+select * replace (case when customer_id % 30 <> 0 then years_employed end as years_employed,
+                  case when customer_id % 20 <> 0 then debt_ratio end as debt_ratio,
+                  cast(registration_date as varchar) as registration_date, cast(last_login as varchar) as last_login)
+from customers"""
 )
 def fixture_features(spark, sf_dir):
     blanked = projections.nulls_where_divisible(
         customers(spark, sf_dir), "customer_id", {"years_employed": 30, "debt_ratio": 20}
     )
-    return blanked.select("customer_id", "years_employed", "debt_ratio", "purchase_amount")
+    return blanked.withColumns({c: F.col(c).cast("string") for c in ("registration_date", "last_login")})
 
 
 @query(C_SQL + "select customer_id, age, income, region from customers where income > 80000")

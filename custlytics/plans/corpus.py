@@ -182,7 +182,7 @@ ordered as (
 """
 
 
-@query(ORDER_SQL + "select script_id, function_name, cast(level as integer) as level, cast(place as integer) as place from ordered")
+@query(ORDER_SQL + "select script_id, function_name, cast(level as integer) as level, cast(place as bigint) as place from ordered")
 def conversion_order(spark, sf_dir):
     return corpus.conversion_order(_turn_functions(spark, sf_dir), _turn_calls(spark, sf_dir))
 
@@ -284,13 +284,17 @@ with listed as (
 numbered as (
   select *, row_number() over (partition by id order by doc_id desc, slot desc) as newest,
          min(doc_id) over (partition by id) as first_file from listed)
-select id, first_file, description, usage_context from numbered where newest = 1"""
+select id, first_file, description, usage_context, 'run_' || doc_id as code,
+       '{"n":' || doc_id || ',"tags":["a","' || usage_context || '"]}' as notes
+from numbered where newest = 1"""
 )
 def load_recipes(spark, sf_dir):
     def recipe(identifier, context):
         return F.struct(
-            identifier.alias("id"), F.col("text").alias("description"), F.col(context).alias("usage_context")
-        )
+            identifier.alias("id"), F.col("text").alias("description"), F.col(context).alias("usage_context"),
+            F.concat(F.lit("run_"), F.col("doc_id").cast("string")).alias("code"),
+            F.struct(F.col("doc_id").alias("n"), F.array(F.lit("a"), F.col(context)).alias("tags")).alias("notes"),
+        )
 
     own = recipe(F.concat_ws(".", F.lit("recipe"), F.col("source"), F.col("lang")), "lang")
     nameless = recipe(F.lit(None).cast("string"), "lang")
@@ -298,7 +302,15 @@ def load_recipes(spark, sf_dir):
     text = F.when(F.col("lang") == "en", F.to_json(own)).otherwise(F.to_json(F.array(own, nameless, shared)))
     files = table(spark, sf_dir, "documents").select("doc_id", text.alias("json"))
     loaded = corpus.parse_recipes(files, "doc_id", "json")
-    return loaded.select("id", F.col("place.doc_id").alias("first_file"), "description", "usage_context")
+    further = [F.col("fields")[name].alias(name) for name in ("code", "notes")]
+    return loaded.select("id", F.col("place.doc_id").alias("first_file"), "description", "usage_context", *further)
+
+
+@query("select doc_id from documents where not json_valid(case when lang = 'en' then '{\"id\": 1}' else text end)")
+def broken_recipes(spark, sf_dir):
+    text = F.when(F.col("lang") == "en", F.lit('{"id": 1}')).otherwise(F.col("text"))
+    files = table(spark, sf_dir, "documents").select("doc_id", text.alias("json"))
+    return corpus.broken_recipes(files, "json").select("doc_id")
 
 
 @query(
@@ -468,11 +480,12 @@ def analysis_lookup(spark, sf_dir):
 
 
 def _artifacts(spark, sf_dir):
-    """The files of a conversation's function: one per turn, in the order they are made."""
+    """The files of a conversation's function: one per turn, in the order they are made; turns beyond the
+    known files have files of their own."""
     files = F.array(*[F.lit(name) for name in fixed.ARTIFACTS_DUAL_TRACK])
     return table(spark, sf_dir, "conversations").select(
         F.concat(F.lit("fn_"), F.col("conv_id").cast("string")).alias("function_name"),
-        F.get(files, F.col("turn").cast("int")).alias("file_name"),
+        F.coalesce(F.get(files, F.col("turn").cast("int")), F.concat(F.lit("turn_"), F.col("turn").cast("string"))).alias("file_name"),
         F.struct("role", "text").alias("content"),
     )
 
@@ -483,9 +496,9 @@ FILES_SQL = "unnest([" + ", ".join(f"'{name}'" for name in fixed.ARTIFACTS_DUAL_
 @query(
     f"""
 with files as (select {FILES_SQL} as file_name, unnest(range({len(fixed.ARTIFACTS_DUAL_TRACK)})) as turn)
-select 'fn_' || conv_id as function_name, file_name,
+select 'fn_' || conv_id as function_name, coalesce(file_name, 'turn_' || turn) as file_name,
        '{{"role":' || cast(to_json(role) as varchar) || ',"text":' || cast(to_json(text) as varchar) || '}}' as content
-from conversations join files using (turn)"""
+from conversations left join files using (turn)"""
 )
 def artifact_sink(spark, sf_dir):
     path = scratch_path(spark, "artifacts")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, functions as F
 
@@ -108,7 +110,14 @@ def age_buckets(spark, sf_dir):
     return features.age_buckets(customers(spark, sf_dir)).select("customer_id", "age_bucket")
 
 
-@query(None)
+@query(
+    C_SQL
+    + FILLED_SQL
+    + """,
+cuts as (select quantile_disc(income, [0.2, 0.4, 0.6, 0.8]) as q from filled)
+select customer_id, cast(len(list_filter(list_distinct(q), lambda c: c <= income)) as double) as income_quintile
+from filled, cuts"""
+)
 def income_quintile(spark, sf_dir):
     filled = cleaning.impute(customers(spark, sf_dir), ["income"])
     return features.quantile_buckets(filled, "income", "income_quintile").select("customer_id", "income_quintile")
@@ -152,6 +161,39 @@ def pca_features(spark, sf_dir):
     return reduced.select("customer_id", vector_to_array("pca_features").alias("pca_features"))
 
 
+def _facts(name: str, array: Column, size: int) -> Column:
+    """What holds for principal components whatever their signs."""
+    columns = [array[i] for i in range(size)]
+    centred = reduce(lambda a, b: a & b, [F.abs(F.avg(c)) < 1e-6 for c in columns])
+    apart = reduce(
+        lambda a, b: a & b,
+        [F.abs(F.covar_samp(columns[i], columns[j])) < 1e-6 for i in range(size) for j in range(i)],
+    )
+    falling = reduce(lambda a, b: a & b, [F.variance(columns[i]) >= F.variance(columns[i + 1]) - 1e-9 for i in range(size - 1)])
+    return F.struct(F.lit(name).alias("part"), centred.alias("centred"), apart.alias("uncorrelated"), falling.alias("falling"))
+
+
+@query(
+    C_SQL
+    + MEDIAN_FILLED_SQL
+    + f""",
+scaled as (select {_scaled(CANDIDATES, 'stddev')} from filled)
+select part, true as centred, true as uncorrelated, true as falling, round(total, 4) as total_variance
+from (select {' + '.join(f'var_samp({c})' for c in CANDIDATES)} as total from scaled), (select unnest(['first', 'all']) as part)"""
+)
+def pca_facts(spark, sf_dir):
+    """Means, covariances and variances of the first three and of all components; all components together
+    keep the variance of the scaled columns."""
+    filled = cleaning.impute(customers(spark, sf_dir), CANDIDATES, "median")
+    scaled = features.standard_scale(filled, CANDIDATES)
+    size = len(CANDIDATES)
+    every = features.components_for_variance(scaled, "scaled_features", size, share=2.0).select(F.col("pca_features").alias("p"))
+    total = reduce(lambda a, b: a + b, [F.variance(F.col("p")[i]) for i in range(size)])
+    found = every.agg(_facts("first", F.col("p"), 3).alias("x"), _facts("all", F.col("p"), size).alias("y"), total.alias("total"))
+    rows = found.select(F.explode(F.array("x", "y")).alias("f"), F.round("total", 4).alias("total_variance"))
+    return rows.select("f.*", "total_variance")
+
+
 @query(None)
 def pca_95(spark, sf_dir):
     filled = cleaning.impute(customers(spark, sf_dir), CANDIDATES, "median")

@@ -94,5 +94,7 @@ def product_performance(spark, sf_dir):
 
 @query(C_SQL + "select region, count(*) as count from customers group by region")
 def repartition_preserves(spark, sf_dir):
-    spread = customers(spark, sf_dir).repartition(8, "region", "customer_id").coalesce(4)
+    """As many partitions as the session's setting, then half of them."""
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = customers(spark, sf_dir).repartition(tasks, "region", "customer_id").coalesce(max(1, tasks // 2))
     return spread.groupBy("region").agg(F.count(F.lit(1)).alias("count"))

@@ -73,6 +73,22 @@ def high_corr_pairs(spark, sf_dir):
     return pairs.select("feature1", "feature2", rounded("correlation", 8))
 
 
+@query("select unnest([0.25, 0.5, 0.75, 0.9])::double as probability, true as near_its_rank")
+def approx_quantile_ranks(spark, sf_dir):
+    """Whether the shares of rows below and up to each approximate quantile enclose its probability, give
+    or take the error that was asked for."""
+    filled = cleaning.impute(customers(spark, sf_dir), ["income"]).select("income")
+    error = 0.05
+    found = stats.approx_quantiles(filled, "income", [0.25, 0.5, 0.75, 0.9], error)
+    quantiles = found.agg(F.collect_list(F.struct("probability", "value"))).scalar()
+    counted = filled.withColumn("q", F.explode(quantiles)).groupBy("q.probability").agg(
+        F.avg(F.when(F.col("income") < F.col("q.value"), 1).otherwise(0)).alias("below"),
+        F.avg(F.when(F.col("income") <= F.col("q.value"), 1).otherwise(0)).alias("upto"),
+    )
+    near = (F.col("below") - error <= F.col("probability")) & (F.col("probability") <= F.col("upto") + error)
+    return counted.select("probability", near.alias("near_its_rank"))
+
+
 @query(None)
 def approx_quantiles(spark, sf_dir):
     filled = cleaning.impute(customers(spark, sf_dir), ["income"])

@@ -34,6 +34,10 @@ def query(oracle: str | None) -> Callable[[Plan], Plan]:
     return register
 
 
+def registered(name: str) -> Query:
+    return _QUERIES[name]
+
+
 def all_queries() -> dict[str, Query]:
     package = importlib.import_module("custlytics.plans")
     for module in pkgutil.iter_modules(package.__path__):

@@ -54,12 +54,42 @@ def json_roundtrip(spark, sf_dir):
     )
 
 
-@query("select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority from orders")
+@query("select * replace (strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') as o_orderdate) from orders")
 def sink_parquet(spark, sf_dir):
     path = scratch_path(spark, "orders-parquet")
-    orders = table(spark, sf_dir, "orders").drop("o_orderdate")
-    writers.save_results(orders, path)
-    return spark.read.parquet(path)
+    writers.save_results(table(spark, sf_dir, "orders"), path)
+    return spark.read.parquet(path).withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query(T_SQL + "select transaction_id, customer_id, amount, merchant, category from transactions")
+def json_multiline(spark, sf_dir):
+    """One indented array of transactions per category and day of the month, each in a file of its own."""
+    row = F.struct("transaction_id", "customer_id", "amount", F.struct("merchant", "category").alias("details"))
+    arrays = transactions(spark, sf_dir).groupBy("category", F.dayofmonth("transaction_date")).agg(
+        F.to_json(F.collect_list(row), {"pretty": "true"}).alias("value")
+    )
+    path = scratch_path(spark, "transactions-arrays")
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    found = readers.read_transactions(spark, path, multi_line=True)
+    return found.select("transaction_id", "customer_id", "amount", "details.merchant", "details.category")
+
+
+@query("select o_orderkey, count(*) as copies from (select o_orderkey from orders union all select o_orderkey from orders) group by all")
+def append_parquet(spark, sf_dir):
+    """A second write adds to the first."""
+    path, orders = scratch_path(spark, "orders-twice"), table(spark, sf_dir, "orders")
+    for _ in range(2):
+        writers.save_results(orders, path, mode="append")
+    return spark.read.parquet(path).groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("copies"))
+
+
+@query("select o_custkey, o_orderstatus, count(*) as orders from orders group by all")
+def catalog_table(spark, sf_dir):
+    """A saved table, read by its name. The name is new for each run; the files lie in the shared folder."""
+    path = scratch_path(spark, "orders_table")
+    name = path.rpartition("/")[2].replace("-", "_")
+    table(spark, sf_dir, "orders").write.option("path", path).saveAsTable(name)
+    return readers.read_table(spark, name).groupBy("o_custkey", "o_orderstatus").agg(F.count(F.lit(1)).alias("orders"))
 
 
 @query("select o_orderpriority, count(*) as orders, round(sum(o_totalprice), 2) as total from orders group by o_orderpriority")

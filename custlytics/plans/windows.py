@@ -12,11 +12,11 @@ RANK_SQL = (
     + """,
 ranked as (
   select customer_id, region, income,
-    cast(row_number() over (partition by region order by income desc nulls last, customer_id) as integer)
+    cast(row_number() over (partition by region order by income desc nulls last, customer_id) as bigint)
       as income_rank_in_region,
-    cast(dense_rank() over (partition by region order by income desc nulls last) as integer)
+    cast(dense_rank() over (partition by region order by income desc nulls last) as bigint)
       as income_dense_rank_in_region,
-    cast(ntile(10) over (partition by region order by income desc nulls last, customer_id) as integer)
+    cast(ntile(10) over (partition by region order by income desc nulls last, customer_id) as bigint)
       as income_percentile
   from customers)
 """
@@ -40,7 +40,7 @@ def top_earners(spark, sf_dir):
 select transaction_id, customer_id, cast(transaction_date as varchar) as transaction_date,
        round(lag(amount) over w, 4) as prev_transaction_amount, round(lead(amount) over w, 4) as next_transaction_amount,
        round(sum(amount) over (w rows between unbounded preceding and current row), 4) as running_total,
-       cast(row_number() over w as integer) as transaction_number
+       cast(row_number() over w as bigint) as transaction_number
 from transactions window w as (partition by customer_id order by transaction_date, transaction_id)"""
 )
 def tx_sequence(spark, sf_dir):
@@ -55,7 +55,7 @@ def tx_sequence(spark, sf_dir):
 @query(
     C_SQL
     + """
-select customer_id, region, cast(rank() over (partition by region order by credit_score nulls first) as integer) as rank,
+select customer_id, region, cast(rank() over (partition by region order by credit_score nulls first) as bigint) as rank,
        first_value(customer_id) over w as first_key, last_value(customer_id) over w as last_key
 from customers window w as (partition by region order by credit_score nulls first, customer_id
                             rows between unbounded preceding and unbounded following)"""

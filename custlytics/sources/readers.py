@@ -22,11 +22,11 @@ def read_customers(spark: SparkSession, path: str, schema: T.StructType = CUSTOM
 
 
 def read_transactions(
-    spark: SparkSession, path: str, schema: T.StructType | None = None, *, multi_line: bool = True
+    spark: SparkSession, path: str, schema: T.StructType | None = None, *, multi_line: bool = False
 ) -> DataFrame:
-    """JSON documents (one array or object per file), or JSON lines with ``multi_line=False``.
+    """JSON lines, or with ``multi_line`` files of one array or object each.
 
-    JSON lines can be split over tasks and should be used for large files. Passing ``schema``
+    JSON lines can be split over tasks; a multi-line file is read by one task, whatever its size. Passing ``schema``
     saves the extra pass that infers one.
     """
     reader = spark.read.option("multiLine", multi_line)

@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 
 FORMATS = ("parquet", "csv", "json")
 
 
 def save_results(
-    df: DataFrame, path: str, format_type: str = "parquet", *, mode: str = "overwrite", num_files: int | None = None
-) -> None:
+    df: DataFrame, path: str, format_type: str = "parquet", *, mode: str = "overwrite", num_files: int | None = None,
+    order: Sequence[str] = (),
+) -> None:
     """Write ``df`` as parquet, CSV with a header, or JSON lines.
 
-    The writing tasks each produce a file. ``num_files`` shuffles to exactly that many instead, so
-    that a small file count does not slow down the stages before the write.
+    The writing tasks each produce a file. ``num_files`` shuffles to that many instead, so that a small
+    file count does not slow down the stages before the write; ``order`` then sorts each file.
     """
     chosen = format_type.lower()
     if chosen not in FORMATS:
         raise ValueError(f"Unsupported format: {format_type}")
-    writer = (df.repartition(num_files) if num_files else df).write.mode(mode)
+    df = df.repartition(num_files) if num_files else df
+    writer = (df.sortWithinPartitions(*order) if order else df).write.mode(mode)
     if chosen == "csv":
         writer = writer.option("header", True)
     writer.format(chosen).save(path)

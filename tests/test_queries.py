@@ -9,7 +9,7 @@ from oracle import compare, connect
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
-from custlytics.operators import aggregates, cleaning, customer, features, joins, quality, stats
+from custlytics.operators import aggregates, cleaning, customer, features, joins, ordered, quality, stats
 from custlytics.plans.registry import all_queries
 from custlytics.session import settings_for
 from custlytics.sources import samples, tables
@@ -119,12 +119,10 @@ def test_quality_of_an_empty_table(spark):
     assert [r.violations for r in quality.range_checks(df).collect()] == [0, 0, 0]
 
 
-def test_dummies_refuse_wide_columns(spark, monkeypatch):
-    monkeypatch.setattr(features, "MAX_DUMMIES", 3)
+def test_dummies_read_their_values(spark):
     df = spark.createDataFrame([("a",), ("b",), (None,)], "x string")
     assert features.dummies(df, "x").columns == ["x", "x_a", "x_b"]
-    with pytest.raises(ValueError):
-        features.dummies(spark.range(9).selectExpr("cast(id as string) x"), "x")
+    assert len(features.dummies(spark.range(9).selectExpr("cast(id as string) x"), "x").columns) == 10
 
 
 def test_top_values_and_duplicates(spark):
@@ -165,20 +163,43 @@ def test_skewed_tables(spark, skewed_dir, name):
     assert ok, note
 
 
-def test_too_many_labels_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(features, "MAX_LABELS", 3)
-    df = spark.range(9).selectExpr("cast(id as string) x")
-    with pytest.raises(ValueError):
-        features.string_index(df, ["x"])
+def test_any_number_of_labels(spark):
+    df = spark.range(200_000).selectExpr("cast(id as string) as x").unionAll(spark.createDataFrame([("7",), (None,)], "x string"))
+    indexed = features.string_index(df, ["x"])
+    found = indexed.agg(F.count_distinct("x_indexed"), F.max("x_indexed"), F.count_if(F.col("x_indexed").isNull())).first()
+    assert tuple(found) == (200_000, 199_999.0, 1)
+    assert {r.x for r in indexed.filter("x_indexed = 0").select("x").collect()} == {"7"}
 
 
-def test_broadcast_only_of_counted_small_tables(spark):
-    small = joins.broadcast_if_small(spark.range(5), 5)
-    large = joins.broadcast_if_small(spark.range(6), 5)
+def test_broadcast_only_of_measured_small_tables(spark):
+    small = joins.broadcast_if_small(spark.range(5), 100)
+    large = joins.broadcast_if_small(spark.range(500), 100)
     plans = [df._jdf.queryExecution().analyzed().toString() for df in (small, large)]
     assert ["ResolvedHint" in plan for plan in plans] == [True, False]
 
 
+@pytest.mark.parametrize("rows", [None, 1])
+def test_groups_without_values_and_the_null_group_stay(spark, rows):
+    df = spark.createDataFrame(
+        [("a", 1.0), ("a", 3.0), ("a", None), ("n", None), ("n", None), (None, 5.0), (None, 7.0)], "g string, v double"
+    )
+    with ordered.limited_groups(rows or ordered.MAX_GROUP_ROWS):
+        found = {r.g: (r["median"], r["count"]) for r in aggregates.group_summary(df, "g", "v").collect()}
+    assert found == {"a": (2.0, 2), "n": (None, 0), None: (6.0, 2)}
+
+
+def test_cohorts_count_a_customer_once(spark):
+    customers = spark.createDataFrame(
+        [(1, "2024-01-05"), (1, "2024-01-05"), (2, "2024-01-09")], "customer_id long, registration_date string"
+    ).withColumn("registration_date", F.to_date("registration_date"))
+    bought = spark.createDataFrame(
+        [(1, "2024-02-01", 5.0), (1, "2024-02-02", 6.0), (2, "2024-02-03", 7.0)],
+        "customer_id long, transaction_date string, amount double",
+    ).withColumn("transaction_date", F.to_date("transaction_date"))
+    row = customer.cohort_months(customers, bought).first()
+    assert (row.active_customers, row.transactions, row.revenue) == (2, 3, 18.0)
+
+
 def test_partition_settings_grow_with_the_input():
     assert settings_for(10**9)["spark.sql.shuffle.partitions"] == "200"
     assert int(settings_for(100 * 10**12)["spark.sql.shuffle.partitions"]) > 300_000
