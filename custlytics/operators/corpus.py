@@ -239,28 +239,32 @@ def rank_recipes(requests: DataFrame, recipes: DataFrame, top_k: int | None = No
     repeated keyword counts each time); ``recipes`` has ``id``, ``place`` and its texts. Without ``top_k``
     each request gets twice its number of functions, but at least 3 and at most 12.
 
-    Copies cost nothing extra: requests with the same keywords are ranked once, and of the recipes that
-    contain the same keywords only the first ``k`` can be among anyone's best ``k``. The best ``k`` recipes
-    lie in the best ``k`` of those groups, each group taken at its first recipe.
+    Requests with the same keywords are ranked once, and of the recipes that contain the same keywords only
+    the first ``k`` can be among anyone's best ``k``: they are one group, taken at its first recipe.
     """
     limit = top_k or MAX_RANKED
     keep = F.lit(limit) if top_k else F.greatest(F.lit(3), F.least(F.lit(MAX_RANKED), F.size("functions") * 2))
     words = F.sort_array(F.flatten(F.transform("functions", _keywords)))
     asked = requests.select("request_id", keep.alias("_keep"), words.alias("_words")).filter(F.size("_words") > 0)
     bags = asked.groupBy("_words").agg(F.min("request_id").alias("_bag"))
-    weighted = (
+    weighted = checkpointed(
         bags.select("_bag", F.explode("_words").alias("keyword"))
         .groupBy("_bag", "keyword")
         .agg(F.count(F.lit(1)).alias("weight"))
     )
 
-    found = keyword_hits(weighted, recipes).groupBy("id").agg(F.sort_array(F.collect_list("keyword")).alias("_found"))
-    first = top_within(found.join(recipes.select("id", "place"), "id"), ["_found"], ["place", "id"], limit, "_nth")
-    leader = F.first("id").over(Window.partitionBy("_found").orderBy("_nth"))
+    hits = checkpointed(keyword_hits(weighted, recipes))
+    # Recipes with the same keywords have the same sums of keyword hashes.
+    marks = [F.bit_xor(F.xxhash64("keyword", F.lit(seed))).alias(f"_mark{seed}") for seed in (1, 2)]
+    found = hits.groupBy("id").agg(*marks, F.count(F.lit(1)).alias("_n"))
+    same = ["_mark1", "_mark2", "_n"]
+    first = top_within(found.join(recipes.select("id", "place"), "id"), same, ["place", "id"], limit, "_nth")
+    leader = F.first("id").over(Window.partitionBy(*same).orderBy("_nth"))
     members = checkpointed(first.withColumn("_group", leader))
-    groups = members.filter(F.col("_nth") == 1).select("_group", F.col("place").alias("_at"), F.explode("_found").alias("keyword"))
+    leaders = members.filter(F.col("_nth") == 1).select(F.col("id"), F.col("id").alias("_group"), F.col("place").alias("_at"))
+    postings = hits.join(leaders, "id").select("keyword", "_group", "_at")
 
-    scored = weighted.join(groups, "keyword").groupBy("_bag", "_group", "_at").agg(F.sum("weight").alias("score"))
+    scored = weighted.join(postings, "keyword").groupBy("_bag", "_group", "_at").agg(F.sum("weight").alias("score"))
     best_groups = top_within(scored, ["_bag"], ["-score", "_at"], limit, "_nth").select("_bag", "_group", "score")
     best = top_within(
         best_groups.join(members.select("_group", "id", "place"), "_group"),
