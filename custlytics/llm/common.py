@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -11,6 +12,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from custlytics.session import checkpointed
+
 #: The characters of ``[\x20\x09-\x0D]``.
 BLANKS = " \t\n\x0b\x0c\r"
 #: Documents in one Arrow batch: a batch of the longest documents still fits a small worker.
@@ -35,6 +38,15 @@ def map_batches(df: DataFrame, function: BatchMap, schema: str | StructType) ->
     return df.mapInArrow(function, schema)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """A checkpoint of ``df``, after which the driver lets go of the steps before it: the files of their
+    shuffles are deleted now and not at some later collection of garbage."""
+    out = checkpointed(df)
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return out
+
+
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 

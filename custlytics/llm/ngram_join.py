@@ -18,9 +18,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from custlytics.llm.common import hash64, map_batches, word_codes
+from custlytics.llm.common import hash64, map_batches, settled, word_codes
 from custlytics.llm.components import components
-from custlytics.session import checkpointed
 
 SHINGLE_WORDS = 4
 #: Least similarity, in hundredths.
@@ -230,7 +229,7 @@ def similar_classes(rows: DataFrame, sets: DataFrame, similarity: int, pairs_per
     links, labels = None, None
     rows = rows.withColumn("comp", F.col("id"))
     for attempt in range(pivot_rounds + 1):
-        rows = checkpointed(_open_rows(rows, labels))
+        rows = settled(_open_rows(rows, labels))
         n_rows, n_pairs = _open_pairs(rows)
         if not n_rows:
             break
@@ -241,7 +240,7 @@ def similar_classes(rows: DataFrame, sets: DataFrame, similarity: int, pairs_per
             # Another pivot for each n-gram in each round.
             chosen = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("id", F.lit(attempt)), "id", "n", "comp")).alias("p"))
             pairs = _pairs(rows, chosen.select("token", "p.id", "p.n", "p.comp"), similarity)
-        found = checkpointed(_links(pairs, sets, similarity))
+        found = settled(_links(pairs, sets, similarity))
         links = found if links is None else links.union(found)
         labels = components(links)
         if last:
@@ -269,18 +268,18 @@ def near_duplicates(
     """
     slim = docs.select("doc_id", "text")
     session = docs.sparkSession
-    first = checkpointed(map_batches(slim, _classes(words), CLASSES))
+    first = settled(map_batches(slim, _classes(words), CLASSES))
     counts = _bucket_counts(first.filter("part is not null").select("part", "counts"))
     of_doc = first.filter("part is null").select("doc_id", "c", "c2", "n")
     sent = session.sparkContext.broadcast(counts)  # of a fixed size
-    shared = checkpointed(_shared(map_batches(slim, _prefixes(words, similarity, sent, rows_per_task), PREFIXES)))
+    shared = settled(_shared(map_batches(slim, _prefixes(words, similarity, sent, rows_per_task), PREFIXES)))
 
     wanted = shared.select("c").distinct()
     names = of_doc.join(wanted, "c", "left_semi").groupBy("c", "c2").agg(F.min("doc_id").alias("doc_id"))
     readers = slim.alias("d").join(names.select("doc_id").distinct().alias("w"), F.expr("d.doc_id <=> w.doc_id"), "left_semi")
     found = map_batches(readers, _sets(words, similarity), SETS)
     node = F.struct("c", "c2")
-    sets = checkpointed(found.withColumn("id", node))
+    sets = settled(found.withColumn("id", node))
     rows = shared.join(sets.select("c", "id").distinct(), "c").select("token", "id", "n")
     labels = similar_classes(rows, sets, similarity, pairs_per_row, pivot_rounds)
 
@@ -303,7 +302,7 @@ def keep_representatives(docs: DataFrame, **options: int) -> DataFrame:
     Documents without words link with nothing and stay. Equal rows of (doc_id, text) are one document, of
     which one row stays."""
     near = near_duplicates(docs, **options).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    chosen = checkpointed(near.groupBy(F.col("doc_id").alias("chosen")).agg(F.count("*").alias("times")))
+    chosen = settled(near.groupBy(F.col("doc_id").alias("chosen")).agg(F.count("*").alias("times")))
     kept = docs.join(chosen.select("chosen").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("chosen")), "left_semi")
     if chosen.filter("times > 1").head(1):
         kept = kept.dropDuplicates(["doc_id", "text"])
