@@ -24,8 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from custlytics.llm.common import batch, hash64, map_batches, word_codes
-from custlytics.session import checkpointed
+from custlytics.llm.common import batch, hash64, map_batches, settled, word_codes
 
 WINDOW = 50
 #: Words of an anchor.
@@ -251,7 +250,7 @@ def repeated_windows(
     smaller id too. ``id`` and ``copy`` are those of :func:`_identity`."""
     named = docs.select(*_identity(), "text")
     ordered = map_batches(named, _span_rows(window), SPANS).repartitionByRange(*_KEY).sortWithinPartitions(*_KEY)
-    streamed = checkpointed(map_batches(ordered, _streamed, STREAMED))
+    streamed = settled(map_batches(ordered, _streamed, STREAMED))
     repeated = streamed.filter(F.col("kind") == REPEATED).select("id", "copy", F.col("lo").alias("first"), "n")
 
     # A span that lies across ranges has a first document in each; only the first of all is one.
@@ -261,13 +260,13 @@ def repeated_windows(
     spread = per_anchor.filter((F.col("n_spans") > 1) & (F.col("x") != F.col("y"))).select("a", "n_spans")
     later = firsts.join(per_span.select("a", "span", "least"), ["a", "span"]).filter("id > least").select("id", "copy", F.col("lo").alias("first"), "n")
 
-    wanted = checkpointed(per_span.join(spread, "a").select("a", "span", "n_spans", "one.*"))
+    wanted = settled(per_span.join(spread, "a").select("a", "span", "n_spans", "one.*"))
     per_doc = wanted.groupBy("id", "copy").agg(F.collect_list(F.struct("a", "span", "lo", "n")).alias("wanted"))
     # Equal rows of the table are read once.
     texts = named.join(per_doc.hint("shuffle_hash"), ["id", "copy"]).dropDuplicates(["id", "copy"])
     words = map_batches(texts.select("id", "text", "wanted"), _span_words(window), WORDS)
     often = wanted.filter(F.col("n_spans") > spans_per_anchor).select("a").distinct()
-    words = checkpointed(words)
+    words = settled(words)
 
     n_spans = wanted.count()
     groups = max(1, -(-n_spans // spans_per_group))
@@ -315,5 +314,6 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, **sizes: int) -> DataFra
     """
     named = docs.select("doc_id", "text", *_identity())
     runs = repeated_windows(docs.select("doc_id", "text"), window, **sizes).groupBy("id", "copy").agg(F.collect_set(F.struct("first", "n")).alias("runs"))
+    runs = settled(runs)
     joined = named.join(runs.hint("shuffle_hash"), ["id", "copy"], "left").select("doc_id", "text", "runs")
     return map_batches(joined, _applied(window), KEPT)
