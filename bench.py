@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from custlytics.plans.registry import all_queries
-from custlytics.session import create_spark_session
+from custlytics.session import clear_scratch, create_spark_session
 
 HEADLINE = [
     "customer_insights", "customer_ltv", "rfm", "cohort_months", "baskets", "customer_patterns", "amount_zscore",
@@ -70,6 +70,7 @@ def main() -> None:
     seconds, planning = {}, {}
     for name in names:
         seconds[name], planning[name] = best(lambda: known[name].plan(spark, sf_dir))  # noqa: B023
+        clear_scratch(spark)
     scale = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
     total = round(sum(seconds.values()), 3)
     print(json.dumps({"metric": "total_query_seconds", "value": total, "unit": "sec", "queries": seconds, "plan": planning, "sf": scale}))

@@ -63,9 +63,23 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+_scratch: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; :func:`clear_scratch` removes what was written there."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete everything below the scratch paths given out so far.
+
+    For the end of a job: frames that read from these paths can no longer be computed."""
+    while _scratch:
+        place = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

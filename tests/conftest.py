@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    from custlytics.session import create_spark_session
+    from custlytics.session import clear_scratch, create_spark_session
 
     session = create_spark_session(
         "tests",
@@ -26,4 +26,5 @@ def spark(tmp_path_factory):
     if not session.conf.get("spark.checkpoint.dir", None):
         session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
     yield session
+    clear_scratch(session)
     session.stop()
