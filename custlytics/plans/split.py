@@ -8,9 +8,10 @@ from __future__ import annotations
 from custlytics.operators.ordered import limited_groups
 from custlytics.plans import aggregates, columns, customer, features, joins, quality, windows  # noqa: F401
 from custlytics.plans.registry import query, registered
+from custlytics.sources.tables import table
 
-#: Rows of a group from which on it is split here.
-SPLIT_ROWS = 20
+#: A group is split from so many rows on, or from this part of the customers.
+LEAST_ROWS, PARTS = 20, 60
 
 SPLIT = (
     "income_rank", "tx_sequence", "rank_first_last", "rolling_stats", "similar_income", "region_multi_agg",
@@ -22,7 +23,8 @@ def _split(name: str):
     whole = registered(name)
 
     def plan(spark, sf_dir):
-        with limited_groups(SPLIT_ROWS):
+        rows = max(LEAST_ROWS, table(spark, sf_dir, "customer").count() // PARTS)
+        with limited_groups(rows):
             return whole.plan(spark, sf_dir)
 
     plan.__name__ = f"{name}_split"
