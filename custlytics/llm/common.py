@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import sys
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -38,6 +39,27 @@ def map_batches(df: DataFrame, function: BatchMap, schema: str | StructType) ->
     return df.mapInArrow(function, schema)
 
 
+def gathered(batches: Iterable[pa.RecordBatch], column: str, least_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches put together until their texts have ``least_bytes``, for work on distinct strings."""
+    held, size = [], 0
+    for rows in batches:
+        held.append(rows)
+        size += pc.sum(pc.binary_length(rows.column(column))).as_py() or 0
+        if size >= least_bytes:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def kept_in_worker(name: str, make: Callable):
+    """What ``make`` gave in this Python worker the first time; workers outlive tasks."""
+    kept = sys.__dict__.setdefault("_custlytics_kept", {})
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
+
+
 def settled(df: DataFrame) -> DataFrame:
     """A checkpoint of ``df``, after which the driver lets go of the steps before it: the files of their
     shuffles are deleted now and not at some later collection of garbage."""

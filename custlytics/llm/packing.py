@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from custlytics.llm.common import batch, map_batches
+from custlytics.llm.common import batch, gathered, kept_in_worker, map_batches
 from custlytics.llm.tokens import TOKENIZER, TokenIds
 
 WINDOW = 2048
@@ -133,8 +133,8 @@ def pack(docs: DataFrame, size: int = WINDOW, reserve: int = RESERVE_TOKENS, pat
     stay below ``reserve`` tokens.
 
     A sequence belongs to one partition, whose number is in the upper bits of ``sequence_id``; no shuffle,
-    and a lost task is run again on its own. Memory per task: one batch, the reserve and an array of
-    levels. Null or repeated ids and equal rows are documents like any other; an empty table gives no
+    and a lost task is run again on its own. Memory per task: some megabytes of texts and
+    their ids, the reserve, an array of levels and the pieces that a worker remembers. Null or repeated ids and equal rows are documents like any other; an empty table gives no
     rows; other columns are not read.
     """
 
@@ -149,13 +149,13 @@ def pack(docs: DataFrame, size: int = WINDOW, reserve: int = RESERVE_TOKENS, pat
             yield batch(_PA_IDS if with_ids else _PA_PIECES, *columns)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = TokenIds(path), Packer(size, reserve)
+        encode, packer = kept_in_worker(f"ids {path}", lambda: TokenIds(path)), Packer(size, reserve)
         base = TaskContext.get().partitionId() << 33
-        for docs in batches:
+        for docs in gathered(batches, "text"):
             ids = encode(docs.column("text"))
             ids = [np.append(x, np.uint32(END_ID)) for x in ids]
-            for doc, x in zip(docs.column("doc_id").to_pylist(), ids, strict=True):
-                yield from rows(packer.add(doc, x), base)
+            named = zip(docs.column("doc_id").to_pylist(), ids, strict=True)
+            yield from rows((piece for doc, x in named for piece in packer.add(doc, x)), base)
         yield from rows(packer.finish(), base)
 
     return map_batches(docs.select("doc_id", "text"), run, PIECES + (", ids array<int>" if with_ids else ""))

@@ -26,11 +26,11 @@ import tiktoken
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from custlytics.llm.common import map_batches
+from custlytics.llm.common import gathered, kept_in_worker, map_batches
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
-#: Pieces that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+#: Pieces that a worker remembers, from task to task, before it starts anew.
+REMEMBERED = 600_000
 #: Beyond these characters the two Unicode tables at work (of the pattern and of the tokenizer) might
 #: differ, so that such pieces always go to the tokenizer whole.
 LAST_COMMON = "ɏ"
@@ -286,8 +286,8 @@ def token_counts(docs: DataFrame, limit: int = 512, path: str = TOKENIZER) -> Da
     whole = docs.sparkSession.sparkContext.broadcast(whole_tokens(path))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = TokenCounts(whole.value, path)
-        for rows in batches:
+        counts = kept_in_worker(f"counts {path}", lambda: TokenCounts(whole.value, path))
+        for rows in gathered(batches, "text"):
             texts = rows.column("text")
             n_bytes = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
             n_tokens = pa.array(counts(texts), pa.int64())
