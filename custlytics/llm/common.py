@@ -73,10 +73,42 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def hash64(values: Iterable[bytes], seed: int = 0) -> np.ndarray:
-    """64-bit hashes as signed numbers."""
-    digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(v, seed) for v in values), np.uint64).view(np.int64)
+#: A random number for each byte, and an odd base, for hashes of words.
+_BYTE_VALUES = np.random.Generator(np.random.PCG64(20)).integers(0, 2**64, 256, np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+#: Longer words are hashed one by one: sums of powers of one base could collide for very long ones.
+_LONG_WORD = 256
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Spreads every bit of a 64-bit number over all of them."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
+def hash_words(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each string: the sum of its bytes' numbers times powers of a base, mixed with its
+    length. All strings are hashed in one pass over their bytes."""
+    words = words.cast(pa.large_string())
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    data = words.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    first, end = offsets[:-1] - offsets[0], offsets[1:] - offsets[0]
+    upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE_VALUES[raw] * powers(_BASE, len(raw)))))
+    sums = (upto[end] - upto[first]) * powers(pow(_BASE, -1, 2**64), len(raw) + 1)[first]
+    hashes = mixed(sums ^ mixed((end - first).astype(np.uint64)))
+    for k in np.flatnonzero(end - first > _LONG_WORD):
+        hashes[k] = xxhash.xxh3_64_intdigest(raw[first[k] : end[k]].tobytes())
+    return hashes
 
 
 def word_codes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from custlytics.llm.common import hash64, map_batches, settled, word_codes
+from custlytics.llm.common import hash_words, map_batches, settled, word_codes
 from custlytics.llm.components import components
 
 SHINGLE_WORDS = 4
@@ -47,7 +47,7 @@ def shingle_sets(texts: pa.Array, k: int = SHINGLE_WORDS) -> list[np.ndarray]:
 
     Fewer words are one shingle together, no words none. A null text has no words."""
     codes, starts, words = word_codes(texts, lower=True)
-    hashes = hash64([w.encode() for w in words.to_pylist()]).view(np.uint64)[codes] if len(codes) else np.zeros(0, np.uint64)
+    hashes = hash_words(words)[codes] if len(codes) else np.zeros(0, np.uint64)
     windows = np.zeros(max(len(hashes) - k + 1, 0), np.uint64)
     for j in range(k):
         windows += hashes[j : j + len(windows)] * np.uint64(pow(_BASE, k - 1 - j, 2**64))

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from custlytics.llm.common import batch, hash64, map_batches, settled, word_codes
+from custlytics.llm.common import batch, hash_words, map_batches, mixed, powers, settled, word_codes
 
 WINDOW = 50
 #: Words of an anchor.
@@ -53,29 +53,16 @@ def _schema(ddl: str) -> pa.Schema:
 _PA = {ddl: _schema(ddl) for ddl in (SPANS, STREAMED, WORDS, REPEATS, KEPT)}
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash for each word, and where each text's words start."""
     codes, starts, words = word_codes(texts)
-    hashes = hash64([w.encode() for w in words.to_pylist()]).view(np.uint64)
-    return (hashes[codes] if len(codes) else np.zeros(0, np.uint64)), starts
+    return (hash_words(words)[codes] if len(codes) else np.zeros(0, np.uint64)), starts
 
 
 def _range_hashes(hashes: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A hash of the words [first, end), whatever their place."""
-    upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * _powers(_BASE, len(hashes)))))
-    return _mixed((upto[end] - upto[first]) * _powers(_INVERSE, len(hashes) + 1)[first])
+    upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * powers(_BASE, len(hashes)))))
+    return mixed((upto[end] - upto[first]) * powers(_INVERSE, len(hashes) + 1)[first])
 
 
 def spans(hashes: np.ndarray, starts: np.ndarray, window: int = WINDOW, prefix: int = PREFIX_WORDS) -> tuple[np.ndarray, ...]:
@@ -104,7 +91,7 @@ def spans(hashes: np.ndarray, starts: np.ndarray, window: int = WINDOW, prefix:
     lo = np.flatnonzero(opens)
     closed = np.flatnonzero(inside & np.concatenate((~inside[1:] | opens[1:], [True])))
     n = closed - lo + 1
-    whole = _range_hashes(hashes, lo, lo + n + window - 1) ^ _mixed(n.astype(np.uint64))
+    whole = _range_hashes(hashes, lo, lo + n + window - 1) ^ mixed(n.astype(np.uint64))
     text = text[lo]
     return grams[place[lo]].view(np.int64), whole.view(np.int64), text, (lo - starts[text]).astype(np.int32), n.astype(np.int32)
 
@@ -228,7 +215,7 @@ def _whole_windows(window: int):
                 hashes = words[k].values.to_numpy().view(np.uint64)
                 first = np.arange(len(hashes) - window + 1)
                 one = _range_hashes(hashes, first, first + window).view(np.int64)
-                two = _range_hashes(_mixed(hashes), first, first + window).view(np.int64)
+                two = _range_hashes(mixed(hashes), first, first + window).view(np.int64)
                 n = len(first)
                 for column, values in zip(out, (one, two, np.full(n, a), np.full(n, span), np.full(n, id_), first), strict=True):
                     column.append(values)
