@@ -60,13 +60,17 @@ def kept_in_worker(name: str, make: Callable):
     return kept[name]
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """A checkpoint of ``df``, after which the driver lets go of the steps before it: the files of their
-    shuffles are deleted now and not at some later collection of garbage."""
-    out = checkpointed(df)
+def released(spark: SparkSession) -> None:
+    """The driver lets go of steps that nothing refers to any more: the files of their shuffles are deleted
+    now and not at some later collection of garbage."""
     gc.collect()
-    df.sparkSession._jvm.System.gc()
-    return out
+    spark._jvm.System.gc()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """A checkpoint of ``df``, after the steps before it are released."""
+    released(df.sparkSession)
+    return checkpointed(df)
 
 
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:

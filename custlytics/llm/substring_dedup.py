@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from custlytics.llm.common import batch, hash_words, map_batches, mixed, powers, settled, word_codes
+from custlytics.llm.common import batch, hash_words, map_batches, mixed, powers, released, settled, word_codes
 
 WINDOW = 50
 #: Words of an anchor.
@@ -302,5 +302,6 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, **sizes: int) -> DataFra
     named = docs.select("doc_id", "text", *_identity())
     runs = repeated_windows(docs.select("doc_id", "text"), window, **sizes).groupBy("id", "copy").agg(F.collect_set(F.struct("first", "n")).alias("runs"))
     runs = settled(runs)
+    released(docs.sparkSession)
     joined = named.join(runs.hint("shuffle_hash"), ["id", "copy"], "left").select("doc_id", "text", "runs")
     return map_batches(joined, _applied(window), KEPT)
