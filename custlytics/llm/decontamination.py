@@ -7,7 +7,6 @@ hold a window, so only these runs are indexed; the words between them become one
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections.abc import Iterable, Iterator
@@ -266,8 +265,3 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     column = "found" + "_" * max(len(n) for n in names)  # no name of the table
     found = find_passages(docs, benchmark, column=column)
     return found.filter(~hit_columns(column)["contaminated"]).select(*names)
-
-
-def hashed_items(names: Iterable[str]) -> str:
-    """The digest of items, as :func:`hit_columns` gives it."""
-    return hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
