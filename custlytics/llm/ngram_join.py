@@ -11,14 +11,14 @@ pivot, and only pairs that are still in different components go on.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from custlytics.llm.common import hash_words, map_batches, settled, word_codes
+from custlytics.llm.common import hash_words, map_batches, released, settled, word_codes
 from custlytics.llm.components import components
 
 SHINGLE_WORDS = 4
@@ -37,9 +37,9 @@ _BASE = 0x9E3779B97F4A7C15
 _ORDERS = (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 _MASK = 2**64 - 1
 
-CLASSES = "doc_id bigint, c bigint, c2 bigint, n bigint, part int, counts binary"
+CLASSES = "doc_id bigint, c bigint, c2 bigint, n bigint, second array<int>, third array<int>, part int, counts binary"
 PREFIXES = "token bigint, salts int, c bigint, n int"
-SETS = "c bigint, c2 bigint, n int, grams array<bigint>, second array<int>, third array<int>"
+SETS = "c bigint, c2 bigint, n int, grams array<bigint>"
 
 
 def shingle_sets(texts: pa.Array, k: int = SHINGLE_WORDS) -> list[np.ndarray]:
@@ -72,27 +72,37 @@ def prefix_length(n: int, similarity: int = SIMILARITY) -> int:
     return n - (similarity * n + 99) // 100 + 1 if n else 0
 
 
-def _classes(k: int):
-    """Rows of (doc_id, class, size), and each task's counts of n-gram buckets."""
+def _other_prefixes(grams: np.ndarray, similarity: int) -> list[np.ndarray]:
+    """The upper halves of the first n-grams under the second and the third order."""
+    first = prefix_length(len(grams), similarity)
+    return [(np.sort(grams * np.uint64(f))[:first] >> np.uint64(32)).astype(np.uint32).view(np.int32) for f in _ORDERS]
+
+
+def _classes(k: int, similarity: int):
+    """Rows of (doc_id, class, size, prefixes under two orders), and each task's counts of n-gram buckets."""
+    names = [c.split()[0] for c in CLASSES.split(", ")]
+    ints = pa.list_(pa.int32())
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), ints, ints, pa.int32(), pa.binary()]
+
+    def made(*columns) -> pa.RecordBatch:
+        filled = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(columns, kinds, strict=True)]
+        return pa.RecordBatch.from_arrays(filled, names=names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in CLASSES.split(", ")]
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         counts = np.zeros(1 << BUCKET_BITS, np.int64)
         shift = np.uint64(64 - BUCKET_BITS)
         for rows in batches:
             sets = shingle_sets(rows.column("text"), k)
+            if not sets:
+                continue
             counts += np.bincount((np.concatenate(sets) >> shift).astype(np.int64), minlength=len(counts))
-            c, c2 = zip(*map(class_of, sets), strict=True) if sets else ((), ())
-            n = [len(s) for s in sets]
-            none = [None] * len(n)
-            columns = [rows.column("doc_id"), c, c2, n, none, none]
-            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=names)
+            c, c2 = zip(*map(class_of, sets), strict=True)
+            second, third = zip(*(_other_prefixes(s, similarity) for s in sets), strict=True)
+            none = [None] * len(sets)
+            yield made(rows.column("doc_id"), c, c2, [len(s) for s in sets], second, third, none, none)
         if counts.any():
-            parts = [p.astype("<i8").tobytes() for p in np.split(counts, COUNT_PARTS)]
             none = [None] * COUNT_PARTS
-            columns = [none, none, none, none, range(COUNT_PARTS), parts]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=names)
+            yield made(*[none] * 6, range(COUNT_PARTS), [p.astype("<i8").tobytes() for p in np.split(counts, COUNT_PARTS)])
 
     return run
 
@@ -130,23 +140,20 @@ def _prefixes(k: int, similarity: int, counts, rows_per_task: int):
     return run
 
 
-def _sets(k: int, similarity: int):
-    """Whole sets and their prefixes under the other two orders; a class met again is left out."""
+def _sets(k: int):
+    """Whole sets; a class met again is left out."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for rows in batches:
-            columns: list[list] = [[] for _ in range(6)]
+            columns: list[list] = [[] for _ in range(4)]
             for grams in shingle_sets(rows.column("text"), k):
                 key = class_of(grams)
-                if key in seen:
-                    continue
-                seen.add(key)
-                first = prefix_length(len(grams), similarity)
-                others = [(np.sort(grams * np.uint64(f))[:first] >> np.uint64(32)).astype(np.uint32).view(np.int32) for f in _ORDERS]
-                for column, value in zip(columns, (*key, len(grams), grams.view(np.int64), *others), strict=True):
-                    column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+                if key not in seen:
+                    seen.add(key)
+                    for column, value in zip(columns, (*key, len(grams), grams.view(np.int64)), strict=True):
+                        column.append(value)
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in SETS.split(", ")])
 
     return run
@@ -179,23 +186,23 @@ def _similar_size(similarity: int):
     return 100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")
 
 
-def _links(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """The pairs (a, b) of classes that share a prefix under the other orders and are similar enough."""
+def _side(table: DataFrame, name: str, *columns: str) -> DataFrame:
+    return table.select(F.col("id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
+
 
-    def side(name: str, *columns: str) -> DataFrame:
-        return sets.select(F.col("id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
+def _candidates(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes that share a prefix under the other two orders as well."""
+    left, right = (_side(classes, name, "second", "third") for name in "ab")
+    both = F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b")
+    return pairs.join(left, "a").join(right, "b").filter(both).select("a", "b")
 
-    near = (
-        pairs.join(side("a", "second", "third"), "a").join(side("b", "second", "third"), "b")
-        .filter(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b"))
-        .select("a", "b")
-    )
+
+def _links(candidates: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """The candidates whose sets are similar enough."""
+    left, right = (_side(sets, name, "n", "grams") for name in "ab")
     common = F.size(F.array_intersect("grams_a", "grams_b"))
-    return (
-        near.join(side("a", "n", "grams"), "a").join(side("b", "n", "grams"), "b")
-        .filter(100 * common >= similarity * (F.col("n_a") + F.col("n_b") - common))
-        .select("a", "b")
-    )
+    similar = 100 * common >= similarity * (F.col("n_a") + F.col("n_b") - common)
+    return candidates.join(left, "a").join(right, "b").filter(similar).select("a", "b")
 
 
 def _open_rows(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -224,9 +231,11 @@ def _pairs(left: DataFrame, right: DataFrame, similarity: int) -> DataFrame:
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def similar_classes(rows: DataFrame, sets: DataFrame, similarity: int, pairs_per_row: int, pivot_rounds: int) -> DataFrame | None:
-    """(node, component) of the classes that have a link."""
-    links, labels = None, None
+def similar_classes(
+    rows: DataFrame, classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: int, pairs_per_row: int, pivot_rounds: int
+) -> DataFrame | None:
+    """(node, component) of the classes that have a link. ``sets_of`` fetches the sets of some classes."""
+    links = labels = sets = None
     rows = rows.withColumn("comp", F.col("id"))
     for attempt in range(pivot_rounds + 1):
         rows = settled(_open_rows(rows, labels))
@@ -240,8 +249,15 @@ def similar_classes(rows: DataFrame, sets: DataFrame, similarity: int, pairs_per
             # Another pivot for each n-gram in each round.
             chosen = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("id", F.lit(attempt)), "id", "n", "comp")).alias("p"))
             pairs = _pairs(rows, chosen.select("token", "p.id", "p.n", "p.comp"), similarity)
-        found = settled(_links(pairs, sets, similarity))
+        candidates = settled(_candidates(pairs, classes))
+        wanted = candidates.select(F.col("a").alias("id")).union(candidates.select("b")).distinct()
+        if sets is not None:
+            wanted = wanted.join(sets.select("id"), "id", "left_anti")
+        fetched = settled(sets_of(wanted))
+        sets = fetched if sets is None else sets.union(fetched)
+        found = settled(_links(candidates, sets, similarity))
         links = found if links is None else links.union(found)
+        released(rows.sparkSession)
         labels = components(links)
         if last:
             break
@@ -267,21 +283,26 @@ def near_duplicates(
     is still open after ``pivot_rounds`` rounds pair by pair.
     """
     slim = docs.select("doc_id", "text")
-    session = docs.sparkSession
-    first = settled(map_batches(slim, _classes(words), CLASSES))
+    session, node = docs.sparkSession, F.struct("c", "c2")
+    first = settled(map_batches(slim, _classes(words, similarity), CLASSES))
     counts = _bucket_counts(first.filter("part is not null").select("part", "counts"))
-    of_doc = first.filter("part is null").select("doc_id", "c", "c2", "n")
+    each = first.filter("part is null")
+    of_doc = each.select("doc_id", "c", "c2", "n")
     sent = session.sparkContext.broadcast(counts)  # of a fixed size
     shared = settled(_shared(map_batches(slim, _prefixes(words, similarity, sent, rows_per_task), PREFIXES)))
 
-    wanted = shared.select("c").distinct()
-    names = of_doc.join(wanted, "c", "left_semi").groupBy("c", "c2").agg(F.min("doc_id").alias("doc_id"))
-    readers = slim.alias("d").join(names.select("doc_id").distinct().alias("w"), F.expr("d.doc_id <=> w.doc_id"), "left_semi")
-    found = map_batches(readers, _sets(words, similarity), SETS)
-    node = F.struct("c", "c2")
-    sets = settled(found.withColumn("id", node))
-    rows = shared.join(sets.select("c", "id").distinct(), "c").select("token", "id", "n")
-    labels = similar_classes(rows, sets, similarity, pairs_per_row, pivot_rounds)
+    some = each.join(shared.select("c").distinct(), "c", "left_semi").groupBy("c", "c2")
+    prefixes = [F.any_value(name).alias(name) for name in ("second", "third")]
+    classes = settled(some.agg(F.min("doc_id").alias("reader"), *prefixes).withColumn("id", node))
+    rows = shared.join(classes.select("c", "id"), "c").select("token", "id", "n")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """Read from one document of each class."""
+        readers = classes.join(wanted, "id", "left_semi").select("reader").distinct()
+        read = slim.join(readers.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("reader")), "left_semi")
+        return map_batches(read, _sets(words), SETS).withColumn("id", node)
+
+    labels = similar_classes(rows, classes, sets_of, similarity, pairs_per_row, pivot_rounds)
 
     per_class = of_doc.filter("n > 0").groupBy("c", "c2").agg(F.min("doc_id").alias("class_id")).withColumn("id", node)
     if labels is not None:
