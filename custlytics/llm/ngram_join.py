@@ -1,9 +1,10 @@
 """Jaccard join of documents on word n-grams, by prefixes under several global orders.
 
 Documents with equal sets are one class. Under any global order of the n-grams, two sets that are similar
-enough share one of their first few n-grams. The first order puts rare n-grams first (counts of hash
-buckets over all documents) and makes candidates of classes that share such an n-gram; candidates must
-then share a prefix under two more, independent orders before their sets are compared.
+enough share one of their first few n-grams, and several of some more. The first order puts rare n-grams
+first (counts of hash buckets over all documents) and makes candidates of classes that share such an n-gram;
+candidates must then share enough of a longer prefix under two more, independent orders before their sets
+are compared.
 
 Components do not need all links: where many classes share an n-gram, each is first compared with one
 pivot, and only pairs that are still in different components go on.
@@ -11,21 +12,22 @@ pivot, and only pairs that are still in different components go on.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from custlytics.llm.common import hash_words, map_batches, released, settled, word_codes
+from custlytics.llm.common import gathered, hash_words, map_batches, released, settled, word_codes
 from custlytics.llm.components import components
 
 SHINGLE_WORDS = 4
 #: Least similarity, in hundredths.
 SIMILARITY = 85
 #: Buckets of the n-gram counts, as a power of two, and the parts in which tasks return them.
-BUCKET_BITS, COUNT_PARTS = 18, 64
+BUCKET_BITS, COUNT_PARTS = 22, 64
 #: Rows of one n-gram that may meet in one task; more are dealt out by a second key.
 ROWS_PER_TASK = 200_000
 #: Pairs per row of shared n-grams up to which all open pairs are compared at once, and the most rounds
@@ -67,14 +69,19 @@ def class_of(grams: np.ndarray) -> tuple[int, int]:
     return tuple(int(x) for x in np.frombuffer(xxhash.xxh3_128_digest(grams.tobytes()), np.int64))
 
 
-def prefix_length(n: int, similarity: int = SIMILARITY) -> int:
-    """So many n-grams, under any order, that two similar sets share one of them."""
-    return n - (similarity * n + 99) // 100 + 1 if n else 0
+def prefix_length(n: int, similarity: int = SIMILARITY, shared: int = 1) -> int:
+    """So many n-grams, under any order, that two similar sets share ``shared`` of them."""
+    return min(n, n - (similarity * n + 99) // 100 + shared) if n else 0
+
+
+#: Under the second and third order two similar sets share one n-gram more for each so many of the
+#: smaller set.
+GRAMS_PER_SHARED = 20
 
 
 def _other_prefixes(grams: np.ndarray, similarity: int) -> list[np.ndarray]:
     """The upper halves of the first n-grams under the second and the third order."""
-    first = prefix_length(len(grams), similarity)
+    first = prefix_length(len(grams), similarity, 1 + len(grams) // GRAMS_PER_SHARED)
     return [(np.sort(grams * np.uint64(f))[:first] >> np.uint64(32)).astype(np.uint32).view(np.int32) for f in _ORDERS]
 
 
@@ -91,7 +98,7 @@ def _classes(k: int, similarity: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << BUCKET_BITS, np.int64)
         shift = np.uint64(64 - BUCKET_BITS)
-        for rows in batches:
+        for rows in gathered(batches, "text"):
             sets = shingle_sets(rows.column("text"), k)
             if not sets:
                 continue
@@ -102,7 +109,7 @@ def _classes(k: int, similarity: int):
             yield made(rows.column("doc_id"), c, c2, [len(s) for s in sets], second, third, none, none)
         if counts.any():
             none = [None] * COUNT_PARTS
-            yield made(*[none] * 6, range(COUNT_PARTS), [p.astype("<i8").tobytes() for p in np.split(counts, COUNT_PARTS)])
+            yield made(*[none] * 6, range(COUNT_PARTS), [zlib.compress(p.astype("<i8").tobytes(), 1) for p in np.split(counts, COUNT_PARTS)])
 
     return run
 
@@ -111,9 +118,9 @@ def _summed(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     total = None
     for rows in parts:
         for counts in rows.column("counts").to_pylist():
-            more = np.frombuffer(counts, "<i8")
+            more = np.frombuffer(zlib.decompress(counts), "<i8")
             total = more.copy() if total is None else total + more
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "counts"])
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["part", "counts"])
 
 
 def _prefixes(k: int, similarity: int, counts, rows_per_task: int):
@@ -131,7 +138,7 @@ def _prefixes(k: int, similarity: int, counts, rows_per_task: int):
                 sizes.append(np.full(first, len(grams), np.int32))
             if tokens:
                 tokens = np.concatenate(tokens)
-                salts = -(-of_bucket[(tokens >> shift).astype(np.int64)] // rows_per_task)
+                salts = -(-of_bucket[(tokens >> shift).astype(np.int64)].astype(np.int64) // rows_per_task)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(tokens.view(np.int64)), pa.array(salts.astype(np.int32)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes))],
                     names=["token", "salts", "c", "n"],
@@ -164,8 +171,8 @@ def _bucket_counts(parts: DataFrame) -> np.ndarray:
     found = parts.groupBy("part").applyInArrow(_summed, "part int, counts binary").collect()
     counts = np.zeros((COUNT_PARTS, (1 << BUCKET_BITS) // COUNT_PARTS), np.int64)
     for row in found:
-        counts[row.part] = np.frombuffer(row.counts, "<i8")
-    return counts.reshape(-1)
+        counts[row.part] = np.frombuffer(zlib.decompress(row.counts), "<i8")
+    return np.minimum(counts.reshape(-1), 2**31 - 1).astype(np.int32)
 
 
 def _shared(prefixes: DataFrame) -> DataFrame:
@@ -191,10 +198,17 @@ def _side(table: DataFrame, name: str, *columns: str) -> DataFrame:
 
 
 def _candidates(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that share a prefix under the other two orders as well."""
-    left, right = (_side(classes, name, "second", "third") for name in "ab")
-    both = F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b")
-    return pairs.join(left, "a").join(right, "b").filter(both).select("a", "b")
+    """The pairs (a, b) of classes that share enough of their prefixes under the other two orders as well."""
+    left, right = (_side(classes, name, "n", "second", "third") for name in "ab")
+    least = F.floor(F.least("n_a", "n_b") / GRAMS_PER_SHARED) + 1
+
+    def enough(order: str) -> Column:
+        one, other = F.col(f"{order}_a"), F.col(f"{order}_b")
+        # Halves that are equal by chance inside one set count once in the intersection.
+        doubled = F.size(one) - F.size(F.array_distinct(one))
+        return F.size(F.array_intersect(one, other)) + doubled >= least
+
+    return pairs.join(left, "a").join(right, "b").filter(enough("second") & enough("third")).select("a", "b")
 
 
 def _links(candidates: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -293,7 +307,7 @@ def near_duplicates(
 
     some = each.join(shared.select("c").distinct(), "c", "left_semi").groupBy("c", "c2")
     prefixes = [F.any_value(name).alias(name) for name in ("second", "third")]
-    classes = settled(some.agg(F.min("doc_id").alias("reader"), *prefixes).withColumn("id", node))
+    classes = settled(some.agg(F.min("doc_id").alias("reader"), F.min("n").alias("n"), *prefixes).withColumn("id", node))
     rows = shared.join(classes.select("c", "id"), "c").select("token", "id", "n")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
