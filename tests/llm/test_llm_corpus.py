@@ -126,8 +126,10 @@ def test_prefixes_of_similar_sets_meet():
         b = list({*a[r.randint(0, 4) :], *r.sample(range(400), r.randint(0, 4))})
         both = len({*a} & {*b})
         if 100 * both >= 85 * (len(a) + len(b) - both):
-            first = [set(sorted(x)[: ngram_join.prefix_length(len(x))]) for x in (a, b)]
-            assert first[0] & first[1]
+            shared = 1 + min(len(a), len(b)) // ngram_join.GRAMS_PER_SHARED
+            for least in (1, shared):
+                first = [set(sorted(x)[: ngram_join.prefix_length(len(x), shared=least)]) for x in (a, b)]
+                assert len(first[0] & first[1]) >= least
 
 
 def test_components(spark):
