@@ -1,7 +1,7 @@
 """Main text of web pages by scores on the tree of elements.
 
-Paragraphs pass points for their length and commas to the elements above them; an element's points are
-discounted by the share of its text that lies in links. The best element, and siblings that score well
+Paragraphs, and texts directly in a block, pass points for their length and commas to the elements above
+them; an element's points are discounted by the share of its text that lies in links. The best element, and siblings that score well
 enough, are kept, without the parts that are never content.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,6 +29,9 @@ BLOCKS = frozenset(
 MAIN = frozenset(("article", "main"))
 #: Elements whose text is scored.
 SCORED = frozenset("p pre blockquote td li dd".split())
+#: Blocks that only name or mark something: text directly in any other block is scored too, up to the next block or br.
+_MARKS = frozenset("address caption dt figcaption h1 h2 h3 h4 h5 h6 hgroup hr legend option summary th".split())
+RUNS = BLOCKS - SCORED - _MARKS | {"#root"}
 #: An opening tag of the key ends open elements of these names, up to one that holds the key's kind.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _HOLDERS = frozenset("ul ol menu dl table tbody thead tfoot select".split())
@@ -178,12 +182,40 @@ def _score(root: Element) -> list[Element]:
     for e in elements:
         if e.tag in SCORED and e.chars >= LEAST_CHARS:
             commas = sum(c.count(",") for k in _kept(e) for c in k.children if isinstance(c, str)) if e.tag != "li" else 0
-            points = BASE_POINTS + COMMA_POINTS * commas + min(e.chars / CHARS_PER_POINT, MOST_LENGTH_POINTS)
-            for share, above in zip((1.0, 0.5, 1 / 3), e.ancestors()):
-                above.points += points * share
+            _pass_points(e.chars, commas, e.ancestors())
+    for holder, chars, commas in _runs(root):
+        _pass_points(chars, commas, (holder, *islice(holder.ancestors(), 2)))
     return elements
 
 
+def _pass_points(chars: int, commas: int, above: Iterable[Element]) -> None:
+    points = BASE_POINTS + COMMA_POINTS * commas + min(chars / CHARS_PER_POINT, MOST_LENGTH_POINTS)
+    for share, e in zip((1.0, 0.5, 1 / 3), above):
+        e.points += points * share
+
+
+def _runs(root: Element) -> Iterator[tuple[Element, int, int]]:
+    """(block, characters, commas) of the texts that stand directly in a block of ``RUNS``, each up to the
+    next block or br. What lies in links does not count, and a text that is mostly links is none."""
+    chars = link_chars = commas = 0
+    todo: list = [(root, root, False)]  # (element, text or None at the end of a block; the block around; in a link)
+    while todo:
+        at, block, linked = todo.pop()
+        if isinstance(at, str):
+            n = len(at.strip())
+            chars, link_chars, commas = chars + n, link_chars + n * linked, commas + at.count(",") * (not linked)
+            continue
+        inner = at is not None and at.tag in BLOCKS
+        if at is None or inner or at.tag == "br":
+            if block.tag in RUNS and chars - link_chars >= LEAST_CHARS and link_chars * 2 < chars:
+                yield block, chars - link_chars, commas
+            chars = link_chars = commas = 0
+        if at is not None and not at.dropped and not _page_header(at):
+            if inner or at is root:
+                todo.append((None, at, False))
+            todo += [(c, at if inner else block, linked or at.tag == "a") for c in reversed(at.children)]
+
+
 def _density(element: Element) -> float:
     return element.link_chars / element.chars if element.chars else 0.0
 

@@ -97,6 +97,18 @@ def test_boilerplate_is_left_out():
     assert lines[0] == "Title" and len(lines) == 3 and all(x.startswith("A long") for x in lines[1:])
 
 
+def test_text_directly_in_blocks_is_scored():
+    lines = [f"Line {k} of a text, without any paragraph, that goes on for a while, and on." for k in range(6)]
+    beside = "<div class=box><p>A paragraph of some length that stands beside the text.</p></div>"
+    for page in (
+        f"<body><div><div id=text>{'<br><br>'.join(lines)}</div></div><div>{beside}</div></body>",
+        f"<body><section><font>{'<br>'.join(lines)}</font></section><div><div>{beside}</div></div></body>",
+        f"<div><div>{'</div><div>'.join(lines)}</div></div><div><div>{beside}</div></div>",
+    ):
+        text = html_text.main_text(page)
+        assert [line in text for line in lines] == [True] * 6, text
+
+
 def odd_texts():
     r = random.Random(5)
     parts = ["a", "b", " ", " ", "\n", "\t", "'s", "é", "\xa0", ".", ",", "12", "<|endoftext|>", "漢", " ", "😀", "İ", "ß"]
