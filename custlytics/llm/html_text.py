@@ -1,8 +1,8 @@
 """Main text of web pages by scores on the tree of elements.
 
 Paragraphs, and texts directly in a block, pass points for their length and commas to the elements above
-them; an element's points are discounted by the share of its text that lies in links. The best element, and siblings that score well
-enough, are kept, without the parts that are never content.
+them; an element's points are discounted by the share of its text that lies in links. The best element, and what stands around it without
+being mostly links, are kept, without the parts that are never content.
 """
 
 from __future__ import annotations
@@ -52,19 +52,20 @@ _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"
 BASE_POINTS, COMMA_POINTS, CHARS_PER_POINT, MOST_LENGTH_POINTS = 1.0, 1.0, 100, 3.0
 #: A paragraph below this length gives no points.
 LEAST_CHARS = 25
-#: Siblings are kept from this share of the best score on, and at least these points.
+#: What stands beside an article or main is kept from this share of the best score on, and at least these points.
 SIBLING_SHARE, SIBLING_POINTS = 0.2, 10.0
 #: Most levels of elements that are told apart; deeper ones count as part of the last.
 MOST_DEPTH = 400
 
 
 class Element:
-    __slots__ = ("tag", "parent", "children", "dropped", "points", "chars", "link_chars", "depth")
+    __slots__ = ("tag", "parent", "children", "dropped", "points", "chars", "link_chars", "depth", "holds_block", "holds_main")
 
     def __init__(self, tag: str, parent: Element | None, dropped: bool = False):
         self.tag, self.parent, self.dropped = tag, parent, dropped
         self.children: list[Element | str] = []
         self.points, self.chars, self.link_chars = 0.0, 0, 0
+        self.holds_block, self.holds_main = tag in BLOCKS, tag in MAIN
         self.depth = parent.depth + 1 if parent else 0
 
     def ancestors(self) -> Iterator[Element]:
@@ -177,6 +178,8 @@ def _score(root: Element) -> list[Element]:
             elif not child.dropped and not _page_header(child):
                 e.chars += child.chars
                 e.link_chars += child.link_chars
+                e.holds_block = e.holds_block or child.holds_block
+                e.holds_main = e.holds_main or child.holds_main
         if e.tag == "a":
             e.link_chars = e.chars
     for e in elements:
@@ -225,10 +228,11 @@ def _worth(element: Element) -> float:
 
 
 def best_parts(root: Element) -> list[Element]:
-    """The container with the best score and the siblings that belong to it, in page order.
+    """The page without what does not belong to the container with the best score.
 
-    An ``article`` or ``main`` around the container is taken whole. If nothing scores, the largest
-    article, else the body, else the whole page."""
+    The container is taken whole, as is an ``article`` or ``main`` around it. Around the container only what
+    is mostly links goes; around the outermost article or main, all but others of these and what scores well
+    enough. If nothing scores, the largest article, else the body, else the whole page."""
     elements = _score(root)
     holders = [e for e in elements if e.tag not in SCORED or e.tag in ("td", "blockquote", "li")]
     best = max(holders, key=_worth, default=root)
@@ -237,18 +241,47 @@ def best_parts(root: Element) -> list[Element]:
         return [max(named, key=lambda e: e.chars) if named else root]
     around = [e for e in (best, *best.ancestors()) if e.tag in MAIN]
     best = around[0] if around else best
-    if best.parent is None:
-        return [best]
     least = max(SIBLING_POINTS, SIBLING_SHARE * _worth(best))
-    parts = []
-    for e in best.parent.children:
-        if not isinstance(e, Element) or e.dropped or _page_header(e):
-            continue
-        bare = e.tag == "p" and e.chars > 80 and _density(e) < 0.25
-        heading = e.tag in ("h1", "h2") and best.tag not in MAIN
-        if e is best or _worth(e) >= least and _density(e) < 0.5 or (bare or heading) and best.tag not in MAIN:
-            parts.append(e)
-    return parts
+    at, outside = best, False
+    while at.parent is not None:
+        outside = outside or bool(around) and at is around[-1]
+        if outside:
+            at.parent.children = [e for e in at.parent.children if e is at or isinstance(e, Element) and _beside_main(e, least)]
+        else:
+            _leave_links_out(at.parent, at, headings=at is best)
+        at = at.parent
+    return [root]
+
+
+def _beside_main(element: Element, least: float) -> bool:
+    return _density(element) < 0.5 and (_worth(element) >= least or element.holds_main)
+
+
+def _leave_links_out(element: Element, inner: Element, headings: bool) -> None:
+    """Takes from ``element`` the blocks, and the texts between them, that are mostly links, but not from
+    ``inner``. A block that is mostly links loses only those of its parts that are; with ``headings``, the
+    first ones of ``element`` itself stay in any case."""
+    todo = [element]
+    while todo:
+        at = todo.pop()
+        kept: list[Element | str] = []
+        run: list[Element | str] = []
+        for e in (*at.children, None):
+            if isinstance(e, str) or e is not None and e is not inner and e.tag != "br" and not e.holds_block:
+                run.append(e)
+                continue
+            chars = sum(len(x.strip()) if isinstance(x, str) else x.chars for x in run)
+            if sum(x.link_chars for x in run if isinstance(x, Element)) * 2 <= chars - (chars > 0):
+                kept += run
+            run = []
+            if e is None:
+                break
+            if e is inner or _density(e) < 0.5 or headings and at is element and e.tag in ("h1", "h2"):
+                kept.append(e)
+            elif e.tag != "a":
+                kept.append(e)
+                todo.append(e)
+        at.children = kept
 
 
 def blocks(parts: list[Element]) -> Iterator[str]:
@@ -290,8 +323,9 @@ _PA_EXTRACTED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text
 def extract_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars), one row per row of ``pages``.
 
-    The text is that of the best container: blocks in page order joined by newlines, white space inside a
-    block as one space, character references decoded. Elements for navigation, notices, adverts, forms,
+    The text is that of the best container and of what stands around it without being mostly links: blocks in
+    page order joined by newlines, white space inside a block as one space, character references decoded. Around
+    the outermost article or main, only others of these and what scores well is kept. Elements for navigation, notices, adverts, forms,
     scripts, sidebars, comments and the like are left out by their names, roles and classes.
 
     No shuffle; one page at a time. A null or empty page, or one without content, gives an empty text;

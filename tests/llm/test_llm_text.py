@@ -109,6 +109,20 @@ def test_text_directly_in_blocks_is_scored():
         assert [line in text for line in lines] == [True] * 6, text
 
 
+def test_what_stands_around_the_container_stays():
+    long = "".join(f"<p>Long paragraph {k}, of the first section, with commas, and more of them, that goes on.</p>" for k in range(10))
+    short = "<h3>More</h3><p>Short one.</p><p>Short two.</p><ul><li>An item</ul><table><tr><td>A cell</table>"
+    links = "<div><a href=1>One page of this site</a> | <a href=2>Another page of this site</a></div>"
+    page = f"<body>Above<div>{links}<section>{long}</section><section>{short}</section>{links}</div><p>Below"
+    lines = html_text.main_text(page).split("\n")
+    assert lines[0] == "Above" and lines[-6:] == ["More", "Short one.", "Short two.", "An item", "A cell", "Below"] and len(lines) == 17
+    page = f"<body><div>Site text</div><article>{long}</article><article><p>Short.</article>{links}</body>"
+    lines = html_text.main_text(page).split("\n")
+    assert len(lines) == 11 and lines[-1] == "Short."
+    mixed = f"<div><h2>Heading</h2>{links * 9}<p>Prose in a block of links.</p></div>"
+    assert html_text.main_text(f"<div><div>{long}</div>{mixed}</div>").split("\n")[10:] == ["Heading", "Prose in a block of links."]
+
+
 def odd_texts():
     r = random.Random(5)
     parts = ["a", "b", " ", " ", "\n", "\t", "'s", "é", "\xa0", ".", ",", "12", "<|endoftext|>", "漢", " ", "😀", "İ", "ß"]
