@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
@@ -35,6 +36,7 @@ RUNS = BLOCKS - SCORED - _MARKS | {"#root"}
 #: An opening tag of the key ends open elements of these names, up to one that holds the key's kind.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _HOLDERS = frozenset("ul ol menu dl table tbody thead tfoot select".split())
+_ENDED = frozenset().union(*_CLOSES.values())
 
 # Words in class, id or role of parts that are not content.
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar form".split())
@@ -54,19 +56,29 @@ BASE_POINTS, COMMA_POINTS, CHARS_PER_POINT, MOST_LENGTH_POINTS = 1.0, 1.0, 100,
 LEAST_CHARS = 25
 #: What stands beside an article or main is kept from this share of the best score on, and at least these points.
 SIBLING_SHARE, SIBLING_POINTS = 0.2, 10.0
-#: Most levels of elements that are told apart; deeper ones count as part of the last.
-MOST_DEPTH = 400
 
 
 class Element:
-    __slots__ = ("tag", "parent", "children", "dropped", "points", "chars", "link_chars", "depth", "holds_block", "holds_main")
+    """``block`` is the nearest block that is open here, ``opened`` the outermost open element of each name of
+    ``_CLOSES`` since the nearest holder: with them no tag has to walk up, however deep the elements lie."""
+
+    __slots__ = (
+        "tag", "parent", "children", "dropped", "points", "chars", "link_chars", "commas", "depth", "holds_block", "holds_main",
+        "in_main", "block", "opened",
+    )
 
     def __init__(self, tag: str, parent: Element | None, dropped: bool = False):
         self.tag, self.parent, self.dropped = tag, parent, dropped
         self.children: list[Element | str] = []
-        self.points, self.chars, self.link_chars = 0.0, 0, 0
+        self.points, self.chars, self.link_chars, self.commas = 0.0, 0, 0, 0
         self.holds_block, self.holds_main = tag in BLOCKS, tag in MAIN
         self.depth = parent.depth + 1 if parent else 0
+        self.in_main = parent is not None and (parent.in_main or parent.tag in MAIN)
+        self.block: Element | None = self if tag in BLOCKS or parent is None else parent.block
+        if parent is None or tag in _HOLDERS or tag in MAIN:
+            self.opened: dict[str, Element] = {}
+        else:
+            self.opened = parent.opened | {tag: self} if tag in _ENDED and tag not in parent.opened else parent.opened
 
     def ancestors(self) -> Iterator[Element]:
         at = self.parent
@@ -90,9 +102,10 @@ def _boilerplate(tag: str, attributes: str) -> bool:
 
 
 def parse(page: str) -> Element:
-    """The page's elements and texts. Unknown, unclosed and wrongly nested tags are taken as they come."""
+    """The page's elements and texts. Unknown, unclosed and wrongly nested tags are taken as they come, at any
+    depth: each element is left once, and an end tag looks upwards only if its element is open."""
     root = here = Element("#root", None)
-    at, low = 0, None
+    at, low, still_open = 0, None, Counter()
     while m := _TAG.search(page, at):
         if m.start() > at:
             here.children.append(page[at : m.start()])
@@ -107,12 +120,16 @@ def parse(page: str) -> Element:
             end = re.compile("[<>]").search(page, at)
             at = len(page) if end is None else end.end() if end.group() == ">" else end.start()
         if m.group(2):
-            here = _close(here, tag)
+            if still_open[tag]:
+                to = here
+                while to.tag != tag:
+                    to = to.parent
+                here = _leave(here, to, still_open)
             continue
-        if tag in BLOCKS:
-            here = _close(here, "p", block=True)
-        if tag in _CLOSES:
-            here = _close_siblings(here, _CLOSES[tag])
+        if tag in BLOCKS and here.block.tag == "p":  # a block ends a paragraph, but not one outside the block it stands in
+            here = _leave(here, here.block, still_open)
+        if tag in _CLOSES and (ended := [here.opened[t] for t in _CLOSES[tag] if t in here.opened]):
+            here = _leave(here, min(ended, key=lambda e: e.depth), still_open)
         element = Element(tag, here, _boilerplate(tag, m.group(4)))
         here.children.append(element)
         if tag in RAW:
@@ -121,8 +138,9 @@ def parse(page: str) -> Element:
             element.children.append(page[at : len(page) if end < 0 else end])
             element.dropped = True
             at = len(page) if end < 0 else end
-        elif tag not in VOID and not m.group(4).rstrip().endswith("/") and here.depth < MOST_DEPTH:
+        elif tag not in VOID and not m.group(4).rstrip().endswith("/"):
             here = element
+            still_open[tag] += 1
     if at < len(page):
         here.children.append(page[at:])
     return root
@@ -132,27 +150,13 @@ def _ascii_lower(page: str) -> str:
     return page.translate({c: c + 32 for c in range(ord("A"), ord("Z") + 1)})
 
 
-def _close(here: Element, tag: str, block: bool = False) -> Element:
-    """The place after the end of the nearest open ``tag``; an end tag of nothing open is ignored.
-
-    A block that begins ends an open paragraph, but not one outside the element it stands in."""
-    at = here
-    while at.parent is not None:
-        if at.tag == tag:
-            return at.parent
-        if block and at.tag in BLOCKS:
-            return here
-        at = at.parent
-    return here
-
-
-def _close_siblings(here: Element, tags: set[str]) -> Element:
-    at, out = here, here
-    while at.parent is not None and at.tag not in _HOLDERS and at.tag not in MAIN:
-        if at.tag in tags:
-            out = at.parent
-        at = at.parent
-    return out
+def _leave(here: Element, last: Element, still_open: Counter[str]) -> Element:
+    """The place after the end of ``last`` and of all open elements in it."""
+    while here is not last:
+        still_open[here.tag] -= 1
+        here = here.parent
+    still_open[last.tag] -= 1
+    return last.parent
 
 
 def _kept(element: Element) -> Iterator[Element]:
@@ -166,7 +170,7 @@ def _kept(element: Element) -> Iterator[Element]:
 
 
 def _page_header(element: Element) -> bool:
-    return element.tag == "header" and not any(a.tag in MAIN for a in element.ancestors())
+    return element.tag == "header" and not element.in_main
 
 
 def _score(root: Element) -> list[Element]:
@@ -175,8 +179,10 @@ def _score(root: Element) -> list[Element]:
         for child in e.children:
             if isinstance(child, str):
                 e.chars += len(child.strip())
+                e.commas += child.count(",")
             elif not child.dropped and not _page_header(child):
                 e.chars += child.chars
+                e.commas += child.commas
                 e.link_chars += child.link_chars
                 e.holds_block = e.holds_block or child.holds_block
                 e.holds_main = e.holds_main or child.holds_main
@@ -184,8 +190,7 @@ def _score(root: Element) -> list[Element]:
             e.link_chars = e.chars
     for e in elements:
         if e.tag in SCORED and e.chars >= LEAST_CHARS:
-            commas = sum(c.count(",") for k in _kept(e) for c in k.children if isinstance(c, str)) if e.tag != "li" else 0
-            _pass_points(e.chars, commas, e.ancestors())
+            _pass_points(e.chars, e.commas if e.tag != "li" else 0, e.ancestors())
     for holder, chars, commas in _runs(root):
         _pass_points(chars, commas, (holder, *islice(holder.ancestors(), 2)))
     return elements

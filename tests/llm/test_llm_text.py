@@ -123,6 +123,15 @@ def test_what_stands_around_the_container_stays():
     assert html_text.main_text(f"<div><div>{long}</div>{mixed}</div>").split("\n")[10:] == ["Heading", "Prose in a block of links."]
 
 
+@pytest.mark.parametrize("tag", ["div", "span", "font", "blockquote", "li", "p><b"])
+def test_deep_elements_keep_their_structure(tag):
+    prose = "<p>A paragraph that lies deep in the page, with commas, and goes on for a while.</p>"
+    page = f"{'<' + tag + '>'}" * 20_000 + f"<nav>Home</nav><section><aside>Aside</aside>{prose}<form><i>Form</i></form></section>{prose}"
+    assert html_text.main_text(page).split("\n") == [prose[3:-4]] * 2
+    for part in ("<header>a</header>", "<hr>", "<li>a", "<dt>a", "</u>", "<p>a", "<td>a, b</td>"):
+        html_text.main_text(f"<{tag}>" * 20_000 + part * 20_000)
+
+
 def odd_texts():
     r = random.Random(5)
     parts = ["a", "b", " ", " ", "\n", "\t", "'s", "é", "\xa0", ".", ",", "12", "<|endoftext|>", "漢", " ", "😀", "İ", "ß"]
