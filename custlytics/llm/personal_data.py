@@ -44,7 +44,19 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _LOCAL = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
-_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])")
+_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+")
+#: Length of an IBAN by its country.
+IBAN_CHARS = {
+    country: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ DZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+        26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+        31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+_ALNUM = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _NATIONAL = re.compile(r"(?<![0-9])(?:\(?[2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])")
 _SECRET = re.compile(r"""[=:]\s{0,3}["']?([A-Za-z0-9_/+-]{20,256}+)""")
@@ -120,14 +132,32 @@ def numbers(text: str) -> Iterator[tuple[str, int, int]]:
                 yield "phone", start - 1, start + len(number)
 
 
+def iban_end(text: str, start: int) -> int | None:
+    """The end of the IBAN that begins at ``start``. Capitals and digits behind it may look like more of it:
+    of the ends of words that pass the check, the one at the country's length counts, else the last."""
+    m = _IBAN.match(text, start)
+    if not m:
+        return None
+    ends, chars = {}, 0
+    for at in range(start, m.end()):
+        if text[at] != " ":
+            chars += 1
+            if chars >= 15 and text[at + 1 : at + 2] not in _ALNUM:
+                ends[chars] = at + 1
+    length = IBAN_CHARS.get(text[start : start + 2])
+    for n in sorted(ends, key=lambda n: (n == length, n), reverse=True):
+        if mod_97(text[start : ends[n]].replace(" ", "")):
+            return ends[n]
+    return None
+
+
 def added(text: str) -> Iterator[tuple[str, int, int, float]]:
     """(kind, start, end, score without context) of spans beside the base ones."""
     for run in _DIGITS.finditer(text):
         start, part = run.start(), run.group()
         if len(part) >= 2 and start >= 2 and text[start - 2 : start].isascii() and text[start - 2 : start].isalpha() and text[start - 2 : start].isupper():
-            if not (start >= 3 and text[start - 3].isalnum()) and (m := _IBAN.match(text, start - 2)):
-                if mod_97(m.group().replace(" ", "")):
-                    yield "iban", m.start(), m.end(), PATTERN_SCORE["iban"] + CHECKED
+            if not (start >= 3 and text[start - 3].isalnum()) and (end := iban_end(text, start - 2)):
+                yield "iban", start - 2, end, PATTERN_SCORE["iban"] + CHECKED
         if len(part) < 10:
             continue
         if "-" in part:

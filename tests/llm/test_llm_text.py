@@ -36,6 +36,16 @@ def test_added_spans_and_masks(spark):
     assert {r.doc_id: r.text for r in df.collect()} == {1: "mail <email> now", 2: None}
 
 
+def test_ibans_before_capitals_and_digits():
+    one, other, spaced = "DE89370400440532013000", "GB29NWBK60161331926819", "DE89 3704 0044 0532 0130 00"
+    for text, wanted in (
+        (f"{one} Please pay", [one]), (f"{spaced} A man", [spaced]), (f"{spaced} BIC COBADEFF", [spaced]), (f"{one} 2 times", [one]),
+        (f"{spaced} {other} {one}", [spaced, other, one]), ("to NO9386011117947 12 EUR", ["NO9386011117947"]), (one, [one]),
+        (f"{one}X", []), (f"{one}x", []), ("DE88 3704 0044 0532 0130 00 Please", []),
+    ):
+        assert [text[s.start : s.end] for s in personal_data.spans(text) if s.kind == "iban"] == wanted, text
+
+
 def test_personal_data_query(spark):
     got = {r.doc_id: r for r in queries.QUERIES["op3_personal_data"](spark, SF).collect()}
     for row in spark.read.parquet(f"{SF}/documents.parquet").collect():
