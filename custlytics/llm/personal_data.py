@@ -59,7 +59,7 @@ IBAN_CHARS = {
 _ALNUM = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _NATIONAL = re.compile(r"(?<![0-9])(?:\(?[2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])")
-_SECRET = re.compile(r"""[=:]\s{0,3}["']?([A-Za-z0-9_/+-]{20,256}+)""")
+_SECRET = re.compile(r"""[=:]\s{0,3}["']?([A-Za-z0-9_/+-]{20,}+)""")
 
 
 class Span(NamedTuple):

@@ -46,6 +46,15 @@ def test_ibans_before_capitals_and_digits():
         assert [text[s.start : s.end] for s in personal_data.spans(text) if s.kind == "iban"] == wanted, text
 
 
+def test_long_secrets_are_whole(spark):
+    value = "9c8b45435718dcc7" * 50
+    df = personal_data.find_personal_data(brute.table(spark, [(1, f"token = '{value}' end")]))
+    assert [(s.kind, s.start, s.end) for s in df.first().personal_data] == [("secret", 9, 9 + len(value))]
+    assert personal_data.masked(df).first().text == "token = '<secret>' end"
+    for text in ("=" * 300_000, "token=" + "a1" * 150_000, "=a" * 150_000, "= " * 150_000):
+        personal_data.spans(text)
+
+
 def test_personal_data_query(spark):
     got = {r.doc_id: r for r in queries.QUERIES["op3_personal_data"](spark, SF).collect()}
     for row in spark.read.parquet(f"{SF}/documents.parquet").collect():
