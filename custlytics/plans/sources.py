@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from custlytics import etl
+from custlytics.operators.ordered import large_groups
 from custlytics.plans.registry import query, rounded
 from custlytics.session import scratch_path
 from custlytics.sources import readers, writers
 from custlytics.sources.tables import C_SQL, CT_SQL, T_SQL, customers, table, transactions
 
+#: Most transactions in one JSON array.
+ARRAY_ROWS = 20_000
+
 
 @query(
     C_SQL
@@ -63,9 +67,21 @@ def sink_parquet(spark, sf_dir):
 
 @query(T_SQL + "select transaction_id, customer_id, amount, merchant, category from transactions")
 def json_multiline(spark, sf_dir):
-    """One indented array of transactions per category and day of the month, each in a file of its own."""
+    """Indented arrays of transactions, each in a file of its own: one per category and day of the month, more
+    where these have over ``ARRAY_ROWS`` rows.
+
+    Large groups are dealt out by a hash of their rows and numbered in each share, so that no array, and no
+    task that reads one, holds more rows, whatever the table."""
+    columns = ["transaction_id", "customer_id", "amount", "merchant", "category"]
+    group = ["category", "day"]
+    rows = transactions(spark, sf_dir).select(*columns, F.dayofmonth("transaction_date").alias("day"))
+    large = large_groups(rows, group, ARRAY_ROWS)
+    in_large = (F.col("category").eqNullSafe(F.col("_key_category"))) & (F.col("day").eqNullSafe(F.col("_key_day")))
+    share = F.pmod(F.xxhash64(*columns), F.ceil(F.col("_rows") / ARRAY_ROWS))
+    dealt = rows.join(F.broadcast(large), in_large, "left").withColumn("_share", F.coalesce(share, F.lit(0)))
+    number = F.row_number().over(Window.partitionBy(*group, "_share").orderBy(*columns))
     row = F.struct("transaction_id", "customer_id", "amount", F.struct("merchant", "category").alias("details"))
-    arrays = transactions(spark, sf_dir).groupBy("category", F.dayofmonth("transaction_date")).agg(
+    arrays = dealt.withColumn("_array", F.floor((number - 1) / ARRAY_ROWS)).groupBy(*group, "_share", "_array").agg(
         F.to_json(F.collect_list(row), {"pretty": "true"}).alias("value")
     )
     path = scratch_path(spark, "transactions-arrays")

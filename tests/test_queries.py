@@ -125,6 +125,19 @@ def test_dummies_read_their_values(spark):
     assert len(features.dummies(spark.range(9).selectExpr("cast(id as string) x"), "x").columns) == 10
 
 
+def test_json_arrays_are_bounded(spark, tmp_path):
+    orders = spark.range(0, 50_000, numPartitions=4).selectExpr(
+        "if(id < 25000, 7, id) as o_orderkey", "1L as o_custkey", "timestamp'1996-01-02' as o_orderdate",
+        "500.0D as o_totalprice", "if(id < 49990, '1-URGENT', null) as o_orderpriority",
+    )
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    got = QUERIES["json_multiline"].plan(spark, str(tmp_path))
+    sizes = [r["count"] for r in got.groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 50_000 and len(sizes) > 3 and max(sizes) <= 20_000
+    wanted = tables.transactions(spark, str(tmp_path)).select(got.columns)
+    assert got.exceptAll(wanted).isEmpty() and wanted.exceptAll(got).isEmpty()
+
+
 def test_top_values_and_duplicates(spark):
     df = spark.createDataFrame([("a", True), ("a", None), ("b", True), (None, False)], "x string, y boolean")
     top = aggregates.top_values(df, k=1).orderBy("column").collect()
