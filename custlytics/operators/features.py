@@ -62,7 +62,8 @@ def _encoded(index: Column, size: Column) -> Column:
 
 def dummies(df: DataFrame, column: str, values: Sequence[str] | None = None) -> DataFrame:
     """A true/false column ``<column>_<value>`` per value. The values name the columns of the result, so a
-    list that is not given is read from the table before the plan can be made."""
+    list that is not given is read from the table to the driver before the plan can be made: give the list
+    where it is known, and use :func:`string_index`, whose labels stay in a table, for a column of many values."""
     if values is None:
         found = df.select(column).filter(F.col(column).isNotNull()).distinct().collect()
         values = sorted(row[0] for row in found)

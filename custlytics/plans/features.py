@@ -94,7 +94,7 @@ def _dummy_name(column: str, value: str) -> str:
     + " from customers"
 )
 def one_hot_dummies(spark, sf_dir):
-    wide = features.dummies(customers(spark, sf_dir), "region")
+    wide = features.dummies(customers(spark, sf_dir), "region", REGIONS)
     wide = features.dummies(wide, "marital_status", MARITAL_STATUSES)
     names = [f"region_{v}" for v in REGIONS] + [f"marital_status_{v}" for v in MARITAL_STATUSES]
     return wide.select("customer_id", *[F.col(f"`{n}`").alias(_dummy_name("", n)[1:]) for n in names])

@@ -138,6 +138,13 @@ def test_json_arrays_are_bounded(spark, tmp_path):
     assert got.exceptAll(wanted).isEmpty() and wanted.exceptAll(got).isEmpty()
 
 
+def test_dummies_query_reads_no_values(spark, monkeypatch):
+    given, made = [], features.dummies
+    monkeypatch.setattr(features, "dummies", lambda df, column, values=None: given.append((column, values)) or made(df, column, values))
+    QUERIES["one_hot_dummies"].plan(spark, SF_DIR)
+    assert [column for column, values in given if values] == ["region", "marital_status"]
+
+
 def test_top_values_and_duplicates(spark):
     df = spark.createDataFrame([("a", True), ("a", None), ("b", True), (None, False)], "x string, y boolean")
     top = aggregates.top_values(df, k=1).orderBy("column").collect()
