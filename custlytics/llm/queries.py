@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from custlytics.llm import decontamination, html_text, line_dedup, ngram_join, packing, personal_data, quality_rules, sharding, substring_dedup, tokens
+from custlytics.llm import byte_bpe, decontamination, html_text, line_dedup, ngram_join, packing, personal_data, quality_rules, sharding, substring_dedup, tokens
 from custlytics.llm.common import table
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -183,3 +183,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_documents(spark, sf_dir), limit=512)
+
+
+@query()
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = byte_bpe.decode(byte_bpe.encode(_documents(spark, sf_dir)))
+    digests = [F.sha2(c, 256).alias(f"{name}_sha256") for name, c in (("ids", F.col("ids")), ("decoded", F.col("decoded")))]
+    return decoded.select("doc_id", "n_tokens", *digests, "n_split")
