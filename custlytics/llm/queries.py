@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from custlytics.llm import byte_bpe, decontamination, html_text, line_dedup, ngram_join, packing, personal_data, quality_rules, sharding, substring_dedup, tokens
+from custlytics.llm import byte_bpe, decontamination, html_text, line_dedup, ngram_join, packing, periodic_runs, personal_data, prefix_trie, quality_rules, sharding, substring_dedup, tokens
 from custlytics.llm.common import table
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -190,3 +190,51 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     decoded = byte_bpe.decode(byte_bpe.encode(_documents(spark, sf_dir)))
     digests = [F.sha2(c, 256).alias(f"{name}_sha256") for name, c in (("ids", F.col("ids")), ("decoded", F.col("decoded")))]
     return decoded.select("doc_id", "n_tokens", *digests, "n_split")
+
+
+@query()
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(periodic_runs.with_periodic_tails(_documents(spark, sf_dir)), min_length=6, min_exponent=4)
+    best = found.withColumn("best", periodic_runs.longest_run(F.col("runs")))
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        *[F.col(f"best.{name}").alias(name) for name in ("start", "length", "period")],
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(periodic_runs.run_lines(F.col("runs")).cast("binary"), 256).alias("runs_sha256"),
+        kept_digest().alias("collapsed_sha256"),
+    )
+
+
+@query(
+    r"""
+    WITH convs AS (
+        SELECT conv_id AS c, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, '')) AS turns,
+               list_concat([4294967295], flatten(list_transform(string_split(conv_id::varchar, ''), lambda x: [ascii(x)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))) AS steps
+        FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+    heads AS (
+        SELECT c, turns, xor(list_reduce(steps, lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295) % 4 AS h
+        FROM convs),
+    rebuilt AS (
+        SELECT a.c, list_concat(coalesce(list_slice(b.turns, 1, a.h), []), coalesce(list_slice(a.turns, a.h + 1, len(a.turns)), [])) AS turns
+        FROM heads a LEFT JOIN convs b ON b.c = a.c - a.c % 20),
+    paths AS (
+        SELECT c, d, len(turns) AS n, md5(to_json(list_slice(turns, 1, d))::varchar) AS node,
+               CASE WHEN d > 0 THEN md5(to_json(list_slice(turns, 1, d - 1))::varchar) END AS parent,
+               CASE WHEN d > 0 THEN len(regexp_extract_all(turns[d].text, '[^\x20\x09-\x0D]+')) ELSE 0 END AS words
+        FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM rebuilt)),
+    nodes AS (
+        SELECT node, min(parent) AS parent, min(d) AS depth, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(words) AS saved,
+               string_agg(c::varchar, ',' ORDER BY c) FILTER (WHERE d = n) AS ends
+        FROM paths GROUP BY node),
+    children AS (SELECT parent AS node, count(*) AS n_children FROM nodes GROUP BY parent),
+    below AS (
+        SELECT p.node, sum(u.saved) AS saved_tokens, count(*) FILTER (WHERE u.node NOT IN (SELECT node FROM children WHERE node IS NOT NULL)) AS n_leaves
+        FROM nodes u JOIN paths p ON p.c = u.conv_id AND p.d <= u.depth GROUP BY p.node)
+    SELECT n.conv_id, n.depth, m.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, b.n_leaves,
+           b.saved_tokens::bigint AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+    FROM nodes n LEFT JOIN nodes m ON n.parent = m.node LEFT JOIN children k ON k.node = n.node JOIN below b ON b.node = n.node
+    """
+)
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.shared_head_trie(table(spark, sf_dir, "conversations"))
