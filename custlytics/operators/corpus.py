@@ -7,14 +7,15 @@ from collections.abc import Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from custlytics.functions import fixed_values as fixed
+from custlytics.functions.text import BLANK, BLANK_IN_LINE
 from custlytics.operators import parsing
-from custlytics.operators.joins import broadcast_if_small
+from custlytics.operators.dependencies import elimination, inner_calls
 from custlytics.operators.ordered import ordered_columns
-from custlytics.operators.windows import top_within
-from custlytics.session import checkpointed, scratch_path
+from custlytics.operators.ranking import rank_recipes  # noqa: F401
+from custlytics.session import checkpointed
 
 # --- functions and imports -------------------------------------------------------------------------
 
@@ -70,38 +71,15 @@ def with_dependencies(scripts: DataFrame, custom: Sequence[str] = CUSTOM_PREFIXE
 # --- dependencies ----------------------------------------------------------------------------------
 
 
-def _match(left: Sequence[str], right: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(f"l.{x}") == F.col(f"r.{y}") for x, y in zip(left, right, strict=True)])
-
-
 def dependency_levels(functions: DataFrame, calls: DataFrame) -> DataFrame:
     """Level 0 for functions that need no other function of their script, else one above what they need.
 
     ``functions`` has ``script_id``, ``function_name``; ``calls`` has also ``depends_on``. Calls of
     functions outside the script and of a function to itself are left out. Functions on or behind a
-    cycle have a null level. Each round reads only the calls that are still open, appends the functions
-    that became ready to one table and writes what stays open once, so the plan has the same size after
-    any number of rounds.
+    cycle have a null level; :func:`custlytics.operators.dependencies.dependency_cycles` tells them apart.
     """
-    key, needed = ["script_id", "function_name"], ["script_id", "depends_on"]
-    functions = functions.select(*key).distinct()
-    inside = calls.filter(F.col("function_name") != F.col("depends_on")).select(*key, "depends_on").distinct()
-    spark, level = functions.sparkSession, 0
-    found = scratch_path(spark, "levels")
-    open_calls = checkpointed(inside.alias("l").join(functions.alias("r"), _match(needed, key), "left_semi"))
-    kinds = functions.schema
-    ready = functions.join(open_calls, key, "left_anti")
-    while True:
-        ready.write.parquet(f"{found}/level={level}")
-        ready = spark.read.schema(kinds).parquet(f"{found}/level={level}")
-        if open_calls.isEmpty() or ready.isEmpty():
-            break
-        still_open = checkpointed(open_calls.alias("l").join(ready.alias("r"), _match(needed, key), "left_anti"))
-        ready = open_calls.select(*key).distinct().join(still_open, key, "left_anti")
-        open_calls, level = still_open, level + 1
-    done = spark.read.schema(T.StructType([*kinds.fields, T.StructField("level", T.IntegerType())])).option("basePath", found).parquet(found)
-    waiting = open_calls.select(*key).distinct()
-    return done.unionByName(waiting.withColumn("level", F.lit(None).cast("int")))
+    functions = functions.select("script_id", "function_name").distinct()
+    return elimination(functions, inner_calls(functions, calls))[0]
 
 
 def conversion_order(functions: DataFrame, calls: DataFrame, *, max_group_rows: int | None = None) -> DataFrame:
@@ -190,93 +168,6 @@ def lookup_recipes(requests: DataFrame, recipes: DataFrame) -> DataFrame:
     return asked.join(recipes, "id")
 
 
-def _keywords(names: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(F.lower(names), "[._]", " "), f"{BLANK}+"), lambda w: w != "")
-
-
-ANCHOR = 3
-
-
-def _anchors(token: Column) -> Column:
-    """All different substrings of one to three characters."""
-    singles = F.split(token, "")
-
-    def extended(pieces: Column, by: int) -> Column:
-        later = F.slice(singles, by + 1, F.size(singles))
-        return F.zip_with(pieces, later, lambda piece, next_one: F.concat(piece, F.coalesce(next_one, F.lit(""))))
-
-    pairs = extended(singles, 1)
-    return F.array_distinct(F.concat(singles, pairs, extended(pairs, 2)))
-
-
-def keyword_hits(keywords: DataFrame, recipes: DataFrame) -> DataFrame:
-    """Pairs of ``keyword`` and ``id`` of a recipe whose text contains it.
-
-    A keyword has no white space, so it lies within one token of the text. Keywords are matched with
-    the different tokens of all texts (joined on the keyword's first characters, then checked), and
-    the matching tokens lead to the recipes.
-    """
-    text = F.lower(
-        F.concat(
-            F.coalesce("description", F.lit("")), F.lit(" "), F.coalesce("usage_context", F.lit("")), F.lit(" "), "id"
-        )
-    )
-    tokens = recipes.select("id", F.explode(F.array_distinct(F.split(text, f"{BLANK}+"))).alias("token"))
-    tokens = tokens.filter(F.col("token") != "")
-    vocabulary = tokens.select("token").distinct().withColumn("anchor", F.explode(_anchors(F.col("token"))))
-    wanted = keywords.select("keyword").distinct().withColumn("anchor", F.substring("keyword", 1, ANCHOR))
-    matches = vocabulary.join(broadcast_if_small(wanted), "anchor").filter(F.contains("token", "keyword")).select("keyword", "token")
-    return tokens.join(matches, "token").select("keyword", "id").distinct()
-
-
-MAX_RANKED = 12
-
-
-def rank_recipes(requests: DataFrame, recipes: DataFrame, top_k: int | None = None) -> DataFrame:
-    """The recipes that contain most of a request's keywords, best first, ties in recipe order.
-
-    ``requests`` has ``request_id`` and ``functions`` (names, split at dots, underscores and spaces; a
-    repeated keyword counts each time); ``recipes`` has ``id``, ``place`` and its texts. Without ``top_k``
-    each request gets twice its number of functions, but at least 3 and at most 12.
-
-    Requests with the same keywords are ranked once, and of the recipes that contain the same keywords only
-    the first ``k`` can be among anyone's best ``k``: they are one group, taken at its first recipe.
-    """
-    limit = top_k or MAX_RANKED
-    keep = F.lit(limit) if top_k else F.greatest(F.lit(3), F.least(F.lit(MAX_RANKED), F.size("functions") * 2))
-    words = F.sort_array(F.flatten(F.transform("functions", _keywords)))
-    asked = requests.select("request_id", keep.alias("_keep"), words.alias("_words")).filter(F.size("_words") > 0)
-    bags = asked.groupBy("_words").agg(F.min("request_id").alias("_bag"))
-    weighted = checkpointed(
-        bags.select("_bag", F.explode("_words").alias("keyword"))
-        .groupBy("_bag", "keyword")
-        .agg(F.count(F.lit(1)).alias("weight"))
-    )
-
-    hits = checkpointed(keyword_hits(weighted, recipes))
-    # Recipes with the same keywords have the same sums of keyword hashes.
-    marks = [F.bit_xor(F.xxhash64("keyword", F.lit(seed))).alias(f"_mark{seed}") for seed in (1, 2)]
-    found = hits.groupBy("id").agg(*marks, F.count(F.lit(1)).alias("_n"))
-    same = ["_mark1", "_mark2", "_n"]
-    first = top_within(found.join(recipes.select("id", "place"), "id"), same, ["place", "id"], limit, "_nth")
-    leader = F.first("id").over(Window.partitionBy(*same).orderBy("_nth"))
-    members = checkpointed(first.withColumn("_group", leader))
-    leaders = members.filter(F.col("_nth") == 1).select(F.col("id"), F.col("id").alias("_group"), F.col("place").alias("_at"))
-    postings = hits.join(leaders, "id").select("keyword", "_group", "_at")
-
-    scored = weighted.join(postings, "keyword").groupBy("_bag", "_group", "_at").agg(F.sum("weight").alias("score"))
-    best_groups = top_within(scored, ["_bag"], ["-score", "_at"], limit, "_nth").select("_bag", "_group", "score")
-    best = top_within(
-        best_groups.join(members.select("_group", "id", "place"), "_group"),
-        ["_bag"],
-        ["-score", "place"],
-        limit,
-        "rank",
-    )
-    ranked = asked.join(bags, "_words").join(best, "_bag").filter(F.col("rank") <= F.col("_keep"))
-    return ranked.select("request_id", "id", "score", "rank")
-
-
 def pattern_counts(functions: DataFrame, patterns: str = "suggested_patterns") -> DataFrame:
     """Number of suggested patterns per namespace, that is the first two dotted parts of the id."""
     ids = functions.select(F.explode(patterns).alias("id")).filter(F.contains(F.col("id"), F.lit(".")))
@@ -342,9 +233,6 @@ def apply_corrections(reviews: DataFrame, code: str = "code") -> DataFrame:
 # --- model responses and generated text ------------------------------------------------------------
 
 FENCE = "```"
-#: White space as the texts' own language has it, no-break and wide blanks included.
-BLANK = r"(?U:[\s\x1C-\x1F])"
-BLANK_IN_LINE = r"(?U:[\s\x1C-\x1F&&[^\n]])"
 
 
 def _without_start(text: Column, pattern: str) -> Column:

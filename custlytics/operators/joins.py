@@ -7,7 +7,9 @@ broadcast by hint only through ``broadcast_if_small``, which measures it first.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from custlytics.functions import fixed_values as fixed
 from custlytics.operators.ordered import ordered_columns
@@ -17,12 +19,26 @@ from custlytics.session import checkpointed
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
+def _row_bytes(df: DataFrame) -> Column:
+    """About what a row takes: text and binary by their bytes, nested values as JSON, other values as eight bytes."""
+    sizes = []
+    for field in df.schema.fields:
+        column = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            column = F.to_json(F.struct(column))
+        elif not isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            sizes.append(F.lit(8))
+            continue
+        sizes.append(F.coalesce(F.octet_length(column), F.lit(0)) + 8)
+    return reduce(lambda a, b: a + b, sizes)
+
+
 def broadcast_if_small(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """``df`` marked for broadcast if its rows, as text, have at most ``max_bytes``.
+    """``df`` marked for broadcast if its rows have at most about ``max_bytes``.
 
     Worth it when the other side is huge. ``df`` is checkpointed: it is computed once and then measured."""
     df = checkpointed(df)
-    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    size = df.agg(F.sum(_row_bytes(df))).first()[0] or 0
     return F.broadcast(df) if size <= max_bytes else df
 
 

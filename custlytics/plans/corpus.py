@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from custlytics.functions import fixed_values as fixed
-from custlytics.operators import corpus
+from custlytics.operators import corpus, dependencies
 from custlytics.plans.registry import query
 from custlytics.session import scratch_path
 from custlytics.sources import writers
@@ -187,6 +187,43 @@ def conversion_order(spark, sf_dir):
     return corpus.conversion_order(_turn_functions(spark, sf_dir), _turn_calls(spark, sf_dir))
 
 
+@query(
+    """
+with recursive turns as (select distinct conv_id as script_id, turn from conversations),
+calls as (
+  select distinct c.* from (
+    select script_id, turn, turn - 1 as needed from turns
+    union all select script_id, 1, 2 from turns where script_id % 3 = 0 and turn = 1
+    union all select script_id, 4, 6 from turns where script_id % 5 = 0 and turn = 4) c
+  join turns t on t.script_id = c.script_id and t.turn = c.needed),
+reach as (
+  select script_id, turn, needed from calls
+  union select r.script_id, r.turn, c.needed from reach r join calls c on c.script_id = r.script_id and c.turn = r.needed),
+cycles as (
+  select a.script_id, a.turn, min('turn_' || a.needed) as cycle_id
+  from reach a join reach b on a.script_id = b.script_id and a.turn = b.needed and a.needed = b.turn group by a.script_id, a.turn),
+behind as (
+  select distinct r.script_id, r.turn from reach r join cycles c on c.script_id = r.script_id and c.turn = r.needed
+  where (r.script_id, r.turn) not in (select (script_id, turn) from cycles)),
+levels as (
+  select script_id, turn, 0 as level from turns
+  union select c.script_id, c.turn, l.level + 1 from levels l join calls c on c.script_id = l.script_id and c.needed = l.turn
+  where l.level < 100)
+select t.script_id, 'turn_' || t.turn as function_name, cycle_id, b.turn is not null as behind,
+       case when cycle_id is null and b.turn is null then cast(max(level) as integer) end as level
+from turns t left join cycles c using (script_id, turn) left join behind b on b.script_id = t.script_id and b.turn = t.turn
+join levels l on l.script_id = t.script_id and l.turn = t.turn group by t.script_id, t.turn, cycle_id, b.turn"""
+)
+def dependency_cycles(spark, sf_dir):
+    """A turn needs the one before it; in some conversations turn 1 also needs turn 2, in some turn 4 turn 6."""
+    turns = _turn_functions(spark, sf_dir)
+    script, turn = F.col("script_id"), F.col("turn")
+    needs = F.array_compact(F.array(turn - 1, F.when((script % 3 == 0) & (turn == 1), 2), F.when((script % 5 == 0) & (turn == 4), 6)))
+    calls = turns.select("script_id", "function_name", F.explode(needs).alias("needed"))
+    calls = calls.select("script_id", "function_name", F.concat(F.lit("turn_"), F.col("needed").cast("string")).alias("depends_on"))
+    return dependencies.dependency_cycles(turns, calls)
+
+
 @query(
     """
 with listing as (select conv_id as script_id, 'turn_' || turn as function_name, turn as position, role from conversations),

@@ -8,7 +8,7 @@ from custlytics import etl
 from custlytics.operators.ordered import large_groups
 from custlytics.plans.registry import query, rounded
 from custlytics.session import scratch_path
-from custlytics.sources import readers, writers
+from custlytics.sources import json_arrays, readers, writers
 from custlytics.sources.tables import C_SQL, CT_SQL, T_SQL, customers, table, transactions
 
 #: Most transactions in one JSON array.
@@ -90,6 +90,30 @@ def json_multiline(spark, sf_dir):
     return found.select("transaction_id", "customer_id", "amount", "details.merchant", "details.category")
 
 
+#: Most transactions in one JSON file.
+FILE_ROWS = 1_000_000
+
+
+@query(T_SQL + "select transaction_id, customer_id, amount, merchant, category from transactions")
+def json_array_parts(spark, sf_dir):
+    """One indented array of all transactions (one more for each ``FILE_ROWS``), read by as many tasks as the file has
+    splits. Merchants carry quotes, brackets and braces, so that no text can be mistaken for the array's own."""
+    odd = F.concat(F.lit('}],{"a":[{\\"} '), F.col("merchant"))
+    row = F.struct("transaction_id", "customer_id", "amount", F.struct(odd.alias("merchant"), "category").alias("details"))
+    rows = transactions(spark, sf_dir).select("transaction_id", F.to_json(row, {"pretty": "true"}).alias("json"))
+    n_files = F.greatest(F.ceil(rows.agg((F.count(F.lit(1)) / FILE_ROWS).alias("n")).scalar()), F.lit(1))
+    dealt = rows.withColumn("file", F.pmod(F.xxhash64("transaction_id"), n_files))
+    in_file = Window.partitionBy("file").orderBy("transaction_id")
+    first, last = F.row_number().over(in_file) == 1, F.lead("transaction_id").over(in_file).isNull()
+    text = F.concat(F.when(first, "[\n").otherwise(",\n"), F.col("json"), F.when(last, "\n]").otherwise(""))
+    path = scratch_path(spark, "transactions-array")
+    dealt.select("file", "transaction_id", text.alias("value")).sortWithinPartitions("file", "transaction_id").select("file", "value").write.partitionBy("file").text(path)
+    schema = "transaction_id bigint, customer_id bigint, amount double, details struct<merchant:string,category:string>"
+    found = json_arrays.read_json_array(spark, path, schema)
+    merchant = F.substring("details.merchant", 15, 1000).alias("merchant")
+    return found.select("transaction_id", "customer_id", "amount", merchant, "details.category")
+
+
 @query("select o_orderkey, count(*) as copies from (select o_orderkey from orders union all select o_orderkey from orders) group by all")
 def append_parquet(spark, sf_dir):
     """A second write adds to the first."""

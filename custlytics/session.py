@@ -73,13 +73,35 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once as parquet below the shared folder and read from there.
+
+    Like :func:`checkpointed`, but the rows are computed once (a checkpoint counts them first), only the columns
+    in use are read, and the size of the files is known, so that small tables are broadcast without a shuffle.
+    The files stay until :func:`forget` or :func:`clear_scratch`."""
+    path = scratch_path(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files of a frame that :func:`stored` gave and that nothing reads any more."""
+    files = df.inputFiles()
+    if files:
+        _delete(df.sparkSession, files[0].rsplit("/", 1)[0])
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete everything below the scratch paths given out so far.
 
     For the end of a job: frames that read from these paths can no longer be computed."""
     while _scratch:
-        place = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        _delete(spark, _scratch.pop())
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
