@@ -4,7 +4,8 @@ A rank file becomes a tokenizer of the ``tokenizers`` library once, on the drive
 stand-in characters, and each vocabulary string gets the one merge that makes it. Every string must be, alone,
 the merge of two strings of lower rank (checked), so that merging pairs in that order gives the ids that
 merging by rank gives. Tasks get the finished tokenizer, whose size is that of the vocabulary, and work on
-Arrow batches. No shuffle.
+Arrow batches: the batch is cut into pieces at spaces (where no pre-token reaches over), and the library
+encodes each distinct piece once. No shuffle.
 
 Offsets do not come from the library: a token's bytes are known, so the running sum of their number places it
 in the text's bytes, and a count of the bytes that begin a character turns places into characters.
@@ -26,10 +27,11 @@ from pyspark.sql import DataFrame, functions as F
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
 from custlytics.llm.common import kept_in_worker, map_batches
+from custlytics.llm.tokens import Merger, TokenIds
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-#: Bytes of text that the library encodes in one call.
-CALL_BYTES = 1 << 20
+#: Bytes of pieces that a worker remembers.
+REMEMBERED = 64 << 20
 
 ENCODED = "doc_id bigint, n_tokens bigint, n_split bigint, ids binary, starts array<int>, ends array<int>"
 _PA_ENCODED = pa.schema(
@@ -62,8 +64,8 @@ def _last_merge(token: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     return parts
 
 
-def tokenizer_of(ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN) -> Tokenizer:
-    """The library's tokenizer with these ranks as ids; each match of ``pattern`` is merged separately."""
+def tokenizer_of(ranks: dict[bytes, int]) -> Tokenizer:
+    """The library's tokenizer with these ranks as ids; each match of the public pattern is merged separately."""
     written = byte_characters()
     as_text = {token: "".join(written[b] for b in token) for token in ranks}
     if any(bytes([b]) not in ranks for b in range(256)):
@@ -76,11 +78,24 @@ def tokenizer_of(ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTE
         merges.append(tuple(as_text[p] for p in parts))
     made = Tokenizer(models.BPE(vocab={as_text[t]: i for t, i in ranks.items()}, merges=merges, ignore_merges=True))
     made.pre_tokenizer = pre_tokenizers.Sequence(
-        [pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        [pre_tokenizers.Split(Regex(public_tokenizers.PATTERN), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
     )
     return made
 
 
+class LibraryMerger(Merger):
+    """Ids of many strings by the library; strings that can follow one another go to it as one text."""
+
+    def __init__(self, tokenizer: Tokenizer, sizes: np.ndarray):
+        self.tokenizer, self.sizes, self.ranks = tokenizer, sizes, self
+
+    def common(self, s: str) -> bool:
+        return True
+
+    def encode_ordinary(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+
 class Codec:
     """Encodes texts and decodes ids; made from what the library wrote of a tokenizer."""
 
@@ -96,16 +111,10 @@ class Codec:
         self.firsts = np.cumsum(self.sizes) - self.sizes
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
 
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        at = 0
-        while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end]) <= CALL_BYTES):
-                size += len(texts[end])
-                end += 1
-            for found in self.tokenizer.encode_batch_fast(texts[at:end], add_special_tokens=False):
-                yield np.array(found.ids, np.uint32)
-            at = end
+        self.ids = TokenIds(most=REMEMBERED, merge=LibraryMerger(self.tokenizer, self.sizes))
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        return self.ids(texts)
 
     def decode(self, ids: np.ndarray) -> bytes:
         sizes = self.sizes[ids]
@@ -130,15 +139,15 @@ def _codec(sent) -> Codec:
 
 
 @functools.lru_cache(maxsize=4)
-def _written(path: str, pattern: str) -> str:
-    return tokenizer_of(read_ranks(path), pattern).to_str()
+def _written(path: str) -> str:
+    return tokenizer_of(read_ranks(path)).to_str()
 
 
-def _sent(df: DataFrame, path: str, pattern: str):
-    return df.sparkSession.sparkContext.broadcast(((path, pattern), _written(path, pattern)))
+def _sent(df: DataFrame, path: str):
+    return df.sparkSession.sparkContext.broadcast((path, _written(path)))
 
 
-def encode(docs: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+def encode(docs: DataFrame, path: str = RANKS) -> DataFrame:
     """(doc_id, n_tokens, n_split, ids, starts, ends), one row per row of ``docs``.
 
     ``ids`` are little-endian unsigned 32-bit numbers one after another; ``starts`` and ``ends`` the characters
@@ -148,13 +157,13 @@ def encode(docs: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.
     Null and empty texts have no tokens; null or repeated ids are rows like any other; an empty table gives
     no rows; other columns are not read. A text is encoded whole, however long.
     """
-    sent = _sent(docs, path, pattern)
+    sent = _sent(docs, path)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(sent)
         for rows in batches:
             texts = pc.fill_null(rows.column("text"), "").to_pylist()
-            found = list(codec.encode(texts))
+            found = codec.encode(rows.column("text"))
             placed = [codec.offsets(ids, text.encode()) for ids, text in zip(found, texts, strict=True)]
             columns = [rows.column("doc_id"), [len(x) for x in found], [p[2] for p in placed], [x.astype("<u4").tobytes() for x in found]]
             columns += [[p[0] for p in placed], [p[1] for p in placed]]
@@ -165,7 +174,7 @@ def encode(docs: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.
     return map_batches(docs.select("doc_id", "text"), run, ENCODED)
 
 
-def decode(encoded: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+def decode(encoded: DataFrame, path: str = RANKS) -> DataFrame:
     """``encoded`` with ``decoded``, the bytes of its ``ids`` (as :func:`encode` writes them).
 
     Bytes and not text, as ids may be a part of a text that begins or ends inside a character;
@@ -173,7 +182,7 @@ def decode(encoded: DataFrame, path: str = RANKS, pattern: str = public_tokenize
     rows; repeated rows and further columns stay, but a column named ``decoded`` is replaced.
     An id that is not in the vocabulary is an error.
     """
-    sent = _sent(encoded, path, pattern)
+    sent = _sent(encoded, path)
     kept = encoded.drop("decoded")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +194,7 @@ def decode(encoded: DataFrame, path: str = RANKS, pattern: str = public_tokenize
     return map_batches(kept, run, kept.withColumn("decoded", F.lit(b"")).schema)
 
 
-def decode_pieces(pieces: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+def decode_pieces(pieces: DataFrame, path: str = RANKS) -> DataFrame:
     """(doc_id, start, text) of parts (doc_id, start, ids) of documents; ``start`` orders a document's parts.
 
     A character whose bytes lie in several parts comes out with the part that completes it, so that a
@@ -196,7 +205,7 @@ def decode_pieces(pieces: DataFrame, path: str = RANKS, pattern: str = public_to
     doc_ids are one document; parts of equal ``start`` go in the order of their ids; an empty table gives
     no rows; other columns are not read.
     """
-    sent = _sent(pieces, path, pattern)
+    sent = _sent(pieces, path)
     laid_out = pieces.select(F.col("doc_id").cast("bigint"), F.col("start").cast("bigint"), "ids").repartition("doc_id").sortWithinPartitions("doc_id", "start", "ids")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

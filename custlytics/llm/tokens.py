@@ -13,9 +13,11 @@ the file's library; special strings and rare scripts always go to the file's lib
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
-from collections.abc import Iterable, Iterator
+from collections import ChainMap
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -29,8 +31,12 @@ from tokenizers import Tokenizer
 from custlytics.llm.common import gathered, kept_in_worker, map_batches
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
-#: Pieces that a worker remembers, from task to task, before it starts anew.
-REMEMBERED = 600_000
+#: Bytes of pieces, with all that is held of them, that a worker remembers from task to task before it starts anew.
+REMEMBERED = 160 << 20
+#: Longer pieces (characters) are looked up each time; a text without spaces is one piece.
+LONGEST_REMEMBERED = 128
+#: What a remembered piece takes besides its characters, and what each character may take with its ids.
+_PIECE_BYTES, _CHARACTER_BYTES = 180, 20
 #: Beyond these characters the two Unicode tables at work (of the pattern and of the tokenizer) might
 #: differ, so that such pieces always go to the tokenizer whole.
 LAST_COMMON = "ɏ"
@@ -84,10 +90,27 @@ class Growing:
         self.data[self.size : self.size + len(values)] = values
         self.size += len(values)
 
+    def keep(self, n: int) -> None:
+        self.size = n
+        if len(self.data) > 4 * n + (1 << 16):
+            self.data = self.data[: n + 1024].copy()
+
+
+def _new(strings: list[str], known: dict[str, int]) -> tuple[list[str], list[str]]:
+    """The strings that are not known: those to remember, and the long ones."""
+    new = [s for s in strings if s not in known]
+    return [s for s in new if len(s) <= LONGEST_REMEMBERED], [s for s in new if len(s) > LONGEST_REMEMBERED]
+
+
+def _numbered(strings: list[str], first: int) -> dict[str, int]:
+    return dict(zip(strings, range(first, first + len(strings)), strict=True))
+
 
 class Pieces:
-    """Gives pieces numbers and has :meth:`add` called once for new ones; forgets all when it would
-    hold more than ``most``."""
+    """Gives pieces numbers and has :meth:`add` called once for new ones.
+
+    Remembers short pieces and forgets all when they would take more than ``most`` bytes; long ones have
+    numbers until the next call only."""
 
     def __init__(self, most: int):
         self.most = most
@@ -96,22 +119,34 @@ class Pieces:
     def clear(self) -> None:
         self.spaced: dict[str, int] = {}
         self.firsts: dict[str, int] = {}
+        self.bytes = 0
 
     def add(self, strings: list[str]) -> None:
+        """Takes in what belongs to the next numbers."""
+        raise NotImplementedError
+
+    def keep(self, n: int) -> None:
+        """Drops all but the first ``n`` numbers."""
         raise NotImplementedError
 
     def numbers(self, strings: list[str], firsts: list[str]) -> np.ndarray:
-        known = len(self.spaced) + len(self.firsts)
-        if known + len(strings) + len(firsts) > self.most:  # at worst, all are new
+        new, long = _new(strings, self.spaced)
+        new_firsts, long_firsts = _new(firsts, self.firsts)
+        size = sum(_PIECE_BYTES + _CHARACTER_BYTES * len(s) for s in itertools.chain(new, new_firsts))
+        if self.bytes and self.bytes + size > self.most:
             self.clear()
-            known = 0
-        new = [s for s in strings if s not in self.spaced]
-        new_firsts = [s for s in firsts if s not in self.firsts]
-        self.add([" " + s for s in new] + new_firsts)
-        self.spaced.update(zip(new, range(known, known + len(new)), strict=True))
-        known += len(new)
-        self.firsts.update(zip(new_firsts, range(known, known + len(new_firsts)), strict=True))
-        return np.array([*map(self.spaced.__getitem__, strings), *map(self.firsts.__getitem__, firsts)], np.int64)
+            return self.numbers(strings, firsts)
+        known = len(self.spaced) + len(self.firsts)
+        self.keep(known)
+        self.add([" " + s for s in new] + new_firsts + [" " + s for s in long] + long_firsts)
+        self.bytes += size
+        self.spaced.update(_numbered(new, known))
+        self.firsts.update(_numbered(new_firsts, known + len(new)))
+        spaced, first = self.spaced, self.firsts
+        if long or long_firsts:
+            after = len(spaced) + len(first)
+            spaced, first = ChainMap(_numbered(long, after), spaced), ChainMap(_numbered(long_firsts, after + len(long)), first)
+        return np.array([*map(spaced.__getitem__, strings), *map(first.__getitem__, firsts)], np.int64)
 
 
 def _byte_stand_ins() -> dict[str, int]:
@@ -190,12 +225,19 @@ def _joined(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class TokenIds(Pieces):
-    """Ids of texts as the tokenizer gives them, without special tokens added."""
+    """Ids of texts as the tokenizer gives them, without special tokens added.
 
-    def __init__(self, path: str = TOKENIZER, most: int = REMEMBERED):
-        self.merge = Merger(path)
+    ``merge`` gives the ids of strings, one after another, and how many each has."""
+
+    def __init__(self, path: str = TOKENIZER, most: int = REMEMBERED, merge: Callable | None = None):
+        self.merge = merge or Merger(path)
         super().__init__(most)
 
+    def keep(self, n: int) -> None:
+        self.ids.keep(int(self.ends.data[n - 1]) if n else 0)
+        self.sizes.keep(n)
+        self.ends.keep(n)
+
     def clear(self) -> None:
         super().clear()
         self.ids, self.sizes, self.ends = Growing(np.uint32), Growing(np.int64), Growing(np.int64)
@@ -245,6 +287,9 @@ class TokenCounts(Pieces):
         super().clear()
         self.counts = Growing(np.int64)
 
+    def keep(self, n: int) -> None:
+        self.counts.keep(n)
+
     def count(self, strings: list[str]) -> np.ndarray:
         whole, counts, rest, of = self.whole, [], [], []
         for place, s in enumerate(strings):

@@ -9,12 +9,13 @@ from collections import defaultdict
 
 import brute
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from custlytics.llm import byte_bpe, periodic_runs, prefix_trie, queries
+from custlytics.llm import byte_bpe, periodic_runs, prefix_trie, queries, tokens
 from custlytics.llm.recompression import Grammar
 
 SF = "/root/testdata/sf0.001"
@@ -39,19 +40,19 @@ def test_bpe_query(spark, own):
 
 def test_bpe_of_every_vocabulary_string_and_random_ones(own):
     ranks = byte_bpe.read_ranks(byte_bpe.RANKS)
-    codec = byte_bpe.Codec(byte_bpe._written(byte_bpe.RANKS, public_tokenizers.PATTERN))
+    codec = byte_bpe.Codec(byte_bpe._written(byte_bpe.RANKS))
     r = random.Random(5)
     texts = [t for t in (token.decode("utf-8", "ignore") for token in ranks)]
     texts += ["".join(r.choice("ab ész'日🙂1\n") for _ in range(r.randint(1, 40))) for _ in range(5000)] + ODD
-    for text, ids in zip(texts, codec.encode(texts), strict=True):
+    for text, ids in zip(texts, codec.encode(pa.array(texts)), strict=True):
         assert ids.tolist() == own.encode_ordinary(text)
         assert codec.decode(ids) == text.encode()
 
 
 def test_bpe_offsets_are_those_of_the_library():
-    codec = byte_bpe.Codec(byte_bpe._written(byte_bpe.RANKS, public_tokenizers.PATTERN))
+    codec = byte_bpe.Codec(byte_bpe._written(byte_bpe.RANKS))
     for text in ODD + ["plain words only"]:
-        ids = next(iter(codec.encode([text])))
+        ids = codec.encode(pa.array([text]))[0]
         starts, ends, split = codec.offsets(ids, text.encode())
         encoded = codec.tokenizer.encode(text, add_special_tokens=False)
         assert list(zip(starts.tolist(), ends.tolist(), strict=True)) == encoded.offsets
@@ -72,6 +73,17 @@ def test_bpe_rejects_a_vocabulary_that_merges_cannot_make():
         byte_bpe.tokenizer_of(ranks)
 
 
+def test_pieces_remembered_stay_below_their_bytes():
+    r = random.Random(8)
+    for cache in (tokens.TokenIds(), tokens.TokenCounts(tokens.whole_tokens())):
+        for _ in range(10):
+            cache(pa.array(["".join(r.choice("日本語文字列") for _ in range(2000)) for _ in range(200)]))
+        assert cache.bytes == 0 and not cache.firsts
+        cache(pa.array(["a b"]))
+        held = [x for x in vars(cache).values() if isinstance(x, tokens.Growing)]
+        assert sum(x.data.nbytes for x in held) < 4 << 20 and cache.bytes < 1000
+
+
 @pytest.mark.parametrize("size", [1, 2, 5])
 def test_bpe_pieces_that_split_characters(spark, own, size):
     texts = {1: "日本語🙂 and é", 2: "🙂" * 9, 3: "plain", None: "ü日"}
