@@ -33,6 +33,8 @@ from custlytics.session import checkpointed
 SHARD_ROWS = 500_000
 #: Turns of a path that one shard gets, and of which hashes are run together in one task.
 BAND = 4096
+#: A parent of more nodes than this, and than one in ``MOST_CROWDED`` of all rows, is crowded.
+MANY_CHILDREN, MOST_CROWDED = 500, 10_000
 #: Characters of a list of ids that travel as one row.
 LIST_CHARACTERS = 1 << 16
 #: Slots tried per key and level of the minimal perfect hash.
@@ -259,6 +261,18 @@ def _lists(rows: list[tuple[int, int, str]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["p1", "p2", "ends_sha256"])
 
 
+def _with_parents(tops: DataFrame, nodes: DataFrame, many: int) -> DataFrame:
+    """(p1, p2, parent): the smallest conversation of the parent of each given node.
+
+    Parents of more than ``many`` of them, such as the root, would send their children to one task; there are
+    at most ``MOST_CROWDED`` of these, and they are broadcast."""
+    above = nodes.select(F.col("p1").alias("q1"), F.col("p2").alias("q2"), F.col("conv_id").alias("parent"))
+    crowded = tops.groupBy("q1", "q2").agg(F.count("*").alias("n")).filter(F.col("n") > many).drop("n")
+    crowded = F.broadcast(checkpointed(above.join(crowded, ["q1", "q2"])))
+    few = tops.join(crowded, ["q1", "q2"], "left_anti").join(above, ["q1", "q2"])
+    return tops.join(crowded, ["q1", "q2"]).unionByName(few).select("p1", "p2", "parent")
+
+
 def trie(path_rows: DataFrame, shard_rows: int = SHARD_ROWS, band: int = BAND) -> DataFrame:
     """The nodes of the trie of ``path_rows`` (:func:`paths`): (conv_id, depth, parent_conv_id, n_convs, n_children,
     n_leaves, saved_tokens, ends_sha256).
@@ -285,13 +299,14 @@ def trie(path_rows: DataFrame, shard_rows: int = SHARD_ROWS, band: int = BAND) -
     top = F.min_by(F.struct("p1", "p2", "q1", "q2"), "depth").alias("node")
     owners = nodes.groupBy("conv_id").agg(F.min("depth").alias("top"), top)
 
-    n = max(-(-rows.count() // shard_rows), rows.sparkSession.sparkContext.defaultParallelism)
+    n_rows = rows.count()
+    n = max(-(-n_rows // shard_rows), rows.sparkSession.sparkContext.defaultParallelism)
     dealt = _shard_rows(rows, nodes, owners, band).repartition(n, "conv_id", "band").drop("conv_id", "band")
     sums = dealt.mapInArrow(_shard_task, SUMS).groupBy("p1", "p2").agg(*[F.sum(c).alias(c) for c in ("n_children", "n_leaves", "saved_tokens")])
 
     # Below its first own node a conversation owns the parents too.
-    above = nodes.select(F.col("p1").alias("q1"), F.col("p2").alias("q2"), F.col("conv_id").alias("parent"))
-    tops = owners.filter("top > 0").select("node.p1", "node.p2", "node.q1", "node.q2").join(above, ["q1", "q2"]).select("p1", "p2", "parent")
+    tops = owners.filter("top > 0").select("node.p1", "node.p2", "node.q1", "node.q2")
+    tops = _with_parents(tops, nodes, max(MANY_CHILDREN, n_rows // MOST_CROWDED))
     ends = _id_lists(rows.filter("depth = length"), n)
     whole = nodes.join(sums, ["p1", "p2"]).join(tops, ["p1", "p2"], "left").join(ends, ["p1", "p2"], "left")
     parent = F.when(F.col("depth") > 0, F.coalesce("parent", "conv_id")).alias("parent_conv_id")
