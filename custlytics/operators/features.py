@@ -10,18 +10,21 @@ from pyspark.ml.feature import (
     ChiSqSelector,
     MinMaxScaler,
     Normalizer,
+    OneHotEncoder,
     StandardScaler,
     UnivariateFeatureSelector,
     VarianceThresholdSelector,
     VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from custlytics.functions import fixed_values as fixed, labels
 from custlytics.operators.cleaning import impute
 from custlytics.operators.ordered import ordered_columns
 from custlytics.operators.quantiles import as_struct, quantiles
+from custlytics.session import stored
 
 PIPELINE_FEATURES = ["age", "income", "credit_score", "years_employed", "num_accounts"]
 
@@ -33,31 +36,58 @@ def label_table(df: DataFrame, column: str) -> DataFrame:
     return ranked.select("label", (F.col("_place") - 1).alias("place"))
 
 
-def string_index(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``<column>_indexed``: 0.0 for the most frequent label, ties in alphabetical order, null for null.
+def label_tables(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, label, place) of several text columns, as :func:`label_table` gives them, counted in one pass."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("label")) for c in columns])
+    counted = df.select(F.inline(pairs)).filter("label is not null").groupBy("column", "label").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = ordered_columns(counted, ["column"], ["-_n", "label"], running={"_place": "row_number"})
+    return ranked.select("column", "label", (F.col("_place") - 1).alias("place"))
 
-    The labels stay in a table that is joined, however many there are."""
-    for c in columns:
-        index = label_table(df, c).select(F.col("label").alias("_label"), F.col("place").cast("double").alias(f"{c}_indexed"))
+
+def _label_tables(df: DataFrame, columns: Sequence[str]) -> dict[str, DataFrame]:
+    """The label table of each column, written once; text columns are counted together."""
+    texts = [c for c in columns if isinstance(df.schema[c].dataType, T.StringType)]
+    together = stored(label_tables(df, texts)) if texts else None
+    return {c: together.filter(F.col("column") == c).drop("column") if c in texts else stored(label_table(df, c)) for c in columns}
+
+
+def _indexed(df: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    for c, table in tables.items():
+        index = table.select(F.col("label").alias("_label"), F.col("place").cast("double").alias(f"{c}_indexed"))
         df = df.join(index, F.col(c) == F.col("_label"), "left").drop("_label")
     return df
 
 
-def one_hot(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``<column>_encoded``: an array with a 1 at the label's index; the last index is all zeros.
+def string_index(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``<column>_indexed``: 0.0 for the most frequent label, ties in alphabetical order, null for null.
 
-    The array is as long as there are labels, less one; for columns with very many labels use the index."""
-    indexed = string_index(df, columns)
-    for c in columns:
-        size = df.agg(F.count_distinct(c)).scalar()
-        indexed = indexed.withColumn("_size", size).withColumn(f"{c}_encoded", _encoded(F.col(f"{c}_indexed"), F.col("_size")))
-    return indexed.drop("_size")
+    The labels stay in a table that is joined, however many there are."""
+    return _indexed(df, _label_tables(df, columns))
 
 
-def _encoded(index: Column, size: Column) -> Column:
-    places = F.sequence(F.lit(0), size.cast("int") - 2)
-    hot = F.transform(places, lambda i: F.when(i == index, 1.0).otherwise(0.0))
-    return F.when(index.isNotNull(), F.when(size > 1, hot).otherwise(F.array().cast("array<double>")))
+def one_hot(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``<column>_encoded``: a sparse vector with a 1 at the label's index; the last index is all zeros, null
+    gives null.
+
+    A vector's size is the number of labels less one, but it holds one index and one value, however many labels there
+    are; the labels are counted once and the size is read from their table."""
+    tables = _label_tables(df, columns)
+    indexed = _indexed(df, tables)
+    for c, table in tables.items():
+        last = table.select(F.col("place").cast("double").alias(f"{c}_indexed")).agg(F.max(f"{c}_indexed").alias(f"{c}_indexed"))
+        encoder = OneHotEncoder(inputCols=[f"{c}_indexed"], outputCols=[f"{c}_encoded"])
+        if last.first()[0] is None:
+            indexed = indexed.withColumn(f"{c}_encoded", F.lit(None).cast(VectorUDT()))
+        else:
+            known = F.col(f"{c}_encoded")
+            indexed = encoder.fit(last).transform(indexed.fillna({f"{c}_indexed": 0.0}).withColumn("_known", F.col(c).isNotNull()))
+            indexed = indexed.withColumns({f"{c}_encoded": F.when(F.col("_known"), known), f"{c}_indexed": F.when(F.col("_known"), F.col(f"{c}_indexed"))}).drop("_known")
+    return indexed
+
+
+def sparse_parts(vector: Column) -> Column:
+    """``size``, ``indices`` and ``values`` of a sparse vector, without making it dense."""
+    return F.unwrap_udt(vector)
 
 
 def dummies(df: DataFrame, column: str, values: Sequence[str] | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, functions as F
 
 from custlytics.operators import cleaning, customer, features
 from custlytics.plans.registry import query, rounded
-from custlytics.sources.tables import C_SQL, MARITAL_STATUSES, customers
+from custlytics.sources.tables import C_SQL, MARITAL_STATUSES, customers, table
 
 REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
 LABELS = ["region", "education", "marital_status"]
@@ -76,11 +76,27 @@ def one_hot(spark, sf_dir):
     encoded = features.one_hot(customers(spark, sf_dir), ["region", "education"])
 
     def joined(c: str) -> Column:
-        return F.array_join(F.col(f"{c}_encoded").cast("array<int>").cast("array<string>"), ",").alias(f"{c}_encoded")
+        return F.array_join(vector_to_array(f"{c}_encoded").cast("array<int>").cast("array<string>"), ",").alias(f"{c}_encoded")
 
     return encoded.select("customer_id", joined("region"), joined("education"))
 
 
+@query(
+    """
+with counted as (select c_name, row_number() over (order by count(*) desc, c_name) - 1 as place, count(*) over () as labels
+                 from customer group by c_name)
+select c_custkey as customer_id, cast(labels - 1 as integer) as size,
+       case when place < labels - 1 then cast(place as integer) end as place, case when place < labels - 1 then 1.0::double end as value
+from customer join counted using (c_name)"""
+)
+def one_hot_wide(spark, sf_dir):
+    """As many labels as customers: a row holds one index and one value of its vector."""
+    encoded = features.one_hot(table(spark, sf_dir, "customer"), ["c_name"])
+    parts = encoded.select("c_custkey", features.sparse_parts(F.col("c_name_encoded")).alias("v"))
+    first = [F.get("v.indices", F.lit(0)).alias("place"), F.get("v.values", F.lit(0)).alias("value")]
+    return parts.select(F.col("c_custkey").alias("customer_id"), "v.size", *first)
+
+
 def _dummy_name(column: str, value: str) -> str:
     return f"{column}_{value}".lower().replace(" ", "_")
 

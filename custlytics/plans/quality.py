@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from custlytics.functions import fixed_values as fixed
 from custlytics.operators import cleaning, quality, stats
 from custlytics.plans.registry import query, rounded
+from custlytics.session import scratch_path
+from custlytics.sources import writers
 from custlytics.sources.tables import C_SQL, T_SQL, customers, transactions
 
 PROFILED = [
@@ -45,6 +47,22 @@ def range_checks(spark, sf_dir):
     return quality.range_checks(customers(spark, sf_dir), fixed.VALID_RANGES + own)
 
 
+@query(
+    C_SQL
+    + "select 'rows' as metric, count(*) as value from customers union all "
+    + " union all ".join(f"select 'nulls_{c}', count(*) - count({c}) from customers" for c in PROFILED)
+    + """
+union all select 'violations_age', count(*) filter (age < 18 or age > 100) from customers
+union all select 'violations_income', count(*) filter (income < 0) from customers
+union all select 'violations_credit_score', count(*) filter (credit_score < 300 or credit_score > 850) from customers"""
+)
+def observed_quality(spark, sf_dir):
+    """Null counts and range checks taken while the customers are written."""
+    path = scratch_path(spark, "customers-observed")
+    metrics = writers.save_results(customers(spark, sf_dir), path, observe=quality.checks(PROFILED))
+    return spark.createDataFrame(sorted(metrics.items()), "metric string, value bigint")
+
+
 def _corr_sql(columns, source, with_self, where="") -> str:
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i if with_self else i + 1 :]]
     lines = " union all ".join(

@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from custlytics import etl
 from custlytics.operators.ordered import large_groups
 from custlytics.plans.registry import query, rounded
-from custlytics.session import scratch_path
+from custlytics.session import scratch_path, scratch_table
 from custlytics.sources import json_arrays, readers, writers
 from custlytics.sources.tables import C_SQL, CT_SQL, T_SQL, customers, table, transactions
 
@@ -123,11 +123,45 @@ def append_parquet(spark, sf_dir):
     return spark.read.parquet(path).groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("copies"))
 
 
+@query(
+    """
+with days as (select cast(ts as date) as day, value from events)
+select cast(day as varchar) as day, count(*) as events,
+       round(sum(case when day = (select min(day) from days) then 2 * value + 1 else value end), 4) as total
+from days group by day"""
+)
+def replace_day(spark, sf_dir):
+    """A second run of one day replaces that day only."""
+    path = scratch_path(spark, "events-by-day")
+    events = table(spark, sf_dir, "events").select("event_id", "value", F.col("ts").cast("date").alias("day"))
+    writers.replace_partitions(events, path, ["day"])
+    again = events.filter(F.col("day") == events.agg(F.min("day")).scalar()).withColumn("value", 2 * F.col("value") + 1)
+    writers.replace_partitions(again, path, ["day"])
+    found = spark.read.parquet(path).groupBy(F.col("day").cast("string").alias("day"))
+    return found.agg(F.count(F.lit(1)).alias("events"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query(
+    CT_SQL
+    + """
+select customer_id, region, count(*) as purchases, round(sum(amount), 2) as spent
+from customers join transactions using (customer_id) group by all"""
+)
+def bucketed_join(spark, sf_dir):
+    """Two tables bucketed by customer meet, and are summed up, without a shuffle."""
+    tables = {}
+    for name, rows in (("people", customers(spark, sf_dir).select("customer_id", "region")), ("purchases", transactions(spark, sf_dir).select("customer_id", "amount"))):
+        tables[name], path = scratch_table(spark, name)
+        writers.save_bucketed(rows, tables[name], "customer_id", 16, path=path)
+    people, purchases = (spark.table(t) for t in tables.values())
+    joined = people.join(purchases.hint("merge"), "customer_id")
+    return joined.groupBy("customer_id", "region").agg(F.count(F.lit(1)).alias("purchases"), F.round(F.sum("amount"), 2).alias("spent"))
+
+
 @query("select o_custkey, o_orderstatus, count(*) as orders from orders group by all")
 def catalog_table(spark, sf_dir):
     """A saved table, read by its name. The name is new for each run; the files lie in the shared folder."""
-    path = scratch_path(spark, "orders_table")
-    name = path.rpartition("/")[2].replace("-", "_")
+    name, path = scratch_table(spark, "orders_table")
     table(spark, sf_dir, "orders").write.option("path", path).saveAsTable(name)
     return readers.read_table(spark, name).groupBy("o_custkey", "o_orderstatus").agg(F.count(F.lit(1)).alias("orders"))
 

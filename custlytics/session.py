@@ -64,6 +64,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _scratch: list[str] = []
+_tables: list[str] = []
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -73,6 +74,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def scratch_table(spark: SparkSession, name: str) -> tuple[str, str]:
+    """A fresh table name and a path for its files; :func:`clear_scratch` drops both."""
+    path = scratch_path(spark, name)
+    table = path.rpartition("/")[2].replace("-", "_")
+    _tables.append(table)
+    return table, path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written once as parquet below the shared folder and read from there.
 
@@ -97,9 +106,11 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def clear_scratch(spark: SparkSession) -> None:
-    """Delete everything below the scratch paths given out so far.
+    """Drop the scratch tables and delete everything below the scratch paths given out so far.
 
     For the end of a job: frames that read from these paths can no longer be computed."""
+    while _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
     while _scratch:
         _delete(spark, _scratch.pop())
 
