@@ -1,6 +1,7 @@
 """Thresholds, labels and formats that results depend on.
 
-All of them are defaults of keyword parameters, so callers can pass their own.
+Most are defaults of keyword parameters, so callers can pass their own. ``RESPONSE_JSON_PATTERN``, ``REVIEW_STATUSES``
+and ``IMPORT_WARNING`` are not: they are formats.
 """
 
 # Age groups: (exclusive upper bound, label); anything else, null included, gets the last label.

@@ -24,7 +24,7 @@ from custlytics.functions import fixed_values as fixed, labels
 from custlytics.operators.cleaning import impute
 from custlytics.operators.ordered import ordered_columns
 from custlytics.operators.quantiles import as_struct, quantiles
-from custlytics.session import stored
+from custlytics.session import reused, stored
 
 PIPELINE_FEATURES = ["age", "income", "credit_score", "years_employed", "num_accounts"]
 
@@ -156,8 +156,9 @@ def l2_normalize(df: DataFrame, columns: Sequence[str], output: str = "normed_fe
 def feature_pipeline(customers: DataFrame) -> DataFrame:
     """Index three label columns, bucket age and income, assemble and scale the numeric columns.
 
-    Labels and cut points stay in tables; means and deviations come from one aggregate."""
-    filled = impute(customers, ["income", "credit_score"])
+    Labels and cut points stay in tables; means and deviations come from one aggregate. The customers are
+    read once and kept until :func:`custlytics.session.release`."""
+    filled = impute(reused(customers), ["income", "credit_score"])
     indexed = string_index(filled, ["region", "education", "marital_status"])
     indexed = indexed.withColumnRenamed("marital_status_indexed", "marital_indexed")
     bucketed = quantile_buckets(age_buckets(indexed), "income", "income_quintile")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 SESSION_SETTINGS = {
@@ -65,6 +66,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 _scratch: list[str] = []
 _tables: list[str] = []
+_reused: list[DataFrame] = []
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -74,6 +76,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def reused(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> DataFrame:
+    """``df`` kept by the executors from its first use until :func:`release`, for input that several steps read.
+
+    Parts that an executor loses, or that do not fit, are computed or read again. For results that must be
+    the same each time use :func:`checkpointed` or :func:`stored`."""
+    kept = df.persist(level)
+    _reused.append(kept)
+    return kept
+
+
+def release() -> None:
+    """Let go of everything that :func:`reused` kept; :func:`clear_scratch` does this too."""
+    while _reused:
+        _reused.pop().unpersist()
+
+
 def scratch_table(spark: SparkSession, name: str) -> tuple[str, str]:
     """A fresh table name and a path for its files; :func:`clear_scratch` drops both."""
     path = scratch_path(spark, name)
@@ -106,9 +124,10 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def clear_scratch(spark: SparkSession) -> None:
-    """Drop the scratch tables and delete everything below the scratch paths given out so far.
+    """Release what is kept, drop the scratch tables and delete everything below the scratch paths given out so far.
 
     For the end of a job: frames that read from these paths can no longer be computed."""
+    release()
     while _tables:
         spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
     while _scratch:

@@ -223,3 +223,31 @@ def test_cohorts_count_a_customer_once(spark):
 def test_partition_settings_grow_with_the_input():
     assert settings_for(10**9)["spark.sql.shuffle.partitions"] == "200"
     assert int(settings_for(100 * 10**12)["spark.sql.shuffle.partitions"]) > 300_000
+
+
+@pytest.mark.parametrize("error", [ImportError, ModuleNotFoundError])
+def test_queries_without_the_optional_part(monkeypatch, error):
+    """A package that the optional part needs and that is missing takes only that part away."""
+    import builtins
+    import importlib
+
+    entry, made = importlib.import_module("__spark_entry__"), builtins.__import__
+
+    def refuse(name, globals=None, locals=None, fromlist=(), level=0):
+        if name == "custlytics.llm" or name.startswith("custlytics.llm."):
+            raise error(name)
+        return made(name, globals, locals, fromlist, level)
+
+    monkeypatch.setattr(builtins, "__import__", refuse)
+    assert set(entry.queries()) == set(QUERIES) and not set(entry.oracle_sql()) - set(QUERIES)
+
+
+def test_input_of_several_steps_is_read_once(spark):
+    from custlytics import session
+
+    session.release()
+    df = QUERIES["fitted_features"].plan(spark, SF_DIR)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "InMemoryTableScan" in plan and len(session._reused) == 1
+    session.release()
+    assert not session._reused
