@@ -38,13 +38,32 @@ _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 _HOLDERS = frozenset("ul ol menu dl table tbody thead tfoot select".split())
 _ENDED = frozenset().union(*_CLOSES.values())
 
-# Words in class, id or role of parts that are not content.
+# Roles of parts that are not content. Names (classes and ids) are read word by word: a name tells such a part if one of
+# these words stands in it, only words of _LEADS before it and only words of _PARTS after it. So ``site-nav`` and
+# ``comment-list`` do, but not states of a wrapper (``has-sidebar``, ``nav-fixed``) or subjects (``cookie-recipe``).
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar form".split())
-_BOILERPLATE = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert[a-z]*|sponsor[a-z]*|promo[a-z]*|banner|cookies?[a-z-]*|consent|gdpr|notices?|popup|modal|overlay"
-    r"|sidebar|side-bar|nav[a-z]*|menu|breadcrumbs?|footer|masthead|site-header|page-header|comments?|disqus|repl(?:y|ies)"
-    r"|respond|share|sharing|social|related|recommend[a-z]*|newsletter|subscribe|signup|login|widget|toolbar|pagination|pager)(?:$|[^a-z])"
+_NAMES = re.compile(
+    r"ads?|adsbygoogle|advert(?:s|isements?|ising)?|sponsor(?:s|ed|ship)?|promo(?:s|tions?)?|banners?|cookies?(?:bar|banner|notice|consent)?"
+    r"|consent|gdpr|notices?|popups?|modal|overlay|sidebars?|side(?:nav|menu)|nav(?:bar|igation|menu|links|list)?|menus?|breadcrumbs?"
+    r"|footers?|masthead|(?:site|page)header|comments?(?:list|form|area|section|box|thread|wrapper|body)?|disqus|repl(?:y|ies)|respond"
+    r"|shares?|share(?:bar|box|buttons?|links|this)|sharing|social|related|recommend(?:ed|ations?)?|newsletter|subscribe|subscription"
+    r"|signup|login|widgets?|toolbar|pagination|pager"
 )
+_LEADS = frozenset(
+    "article block blog bottom button c col column desktop dfp email entry facebook fb fixed floating global google header js l latest left "
+    "main mobile module more page popular post posts primary privacy reader recent region right secondary section single site "
+    "sticky story sub tag the top twitter user wp your".split()
+)
+_PARTS = frozenset(
+    "area articles bar block body bottom box btn button buttons card code col column container content count div element foot form group "
+    "head header holder icon icons inner item items label left link links list lists message messages module news outer panel "
+    "parent part placeholder posts products reading region right row section sections slot space stories tab tabs text "
+    "this thread title toggle top topics trail ul unit wrap wrapper zone".split()
+)
+#: Their ids name what they say, for links to them.
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup p".split())
+#: Texts shorter than this are no prose; parts left out by name come back with most of a page's prose.
+PROSE_CHARS = 25
 
 _TAG = re.compile(r"""<(?:!--|([!?])|(/?)([a-zA-Z][^\s/>]*+)((?:[^<>"']|"[^"<]*+"|'[^'<]*+')*+)(>)?)""")
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -63,12 +82,12 @@ class Element:
     ``_CLOSES`` since the nearest holder: with them no tag has to walk up, however deep the elements lie."""
 
     __slots__ = (
-        "tag", "parent", "children", "dropped", "points", "chars", "link_chars", "commas", "depth", "holds_block", "holds_main",
+        "tag", "parent", "children", "dropped", "named", "points", "chars", "link_chars", "commas", "depth", "holds_block", "holds_main",
         "in_main", "block", "opened",
     )
 
-    def __init__(self, tag: str, parent: Element | None, dropped: bool = False):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Element | None, dropped: bool = False, named: bool = False):
+        self.tag, self.parent, self.dropped, self.named = tag, parent, dropped or named, named
         self.children: list[Element | str] = []
         self.points, self.chars, self.link_chars, self.commas = 0.0, 0, 0, 0
         self.holds_block, self.holds_main = tag in BLOCKS, tag in MAIN
@@ -87,18 +106,58 @@ class Element:
             at = at.parent
 
 
-def _boilerplate(tag: str, attributes: str) -> bool:
+def _names_boilerplate(name: str) -> bool:
+    """Whether a class or an id names a part that is not content."""
+    words = [w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", name).lower()) if w]
+    told = [bool(_NAMES.fullmatch(w)) for w in words]
+    for k, is_name in enumerate(told):
+        if is_name and all(t or w in _LEADS for w, t in zip(words[:k], told)) and all(t or w in _PARTS for w, t in zip(words[k + 1 :], told[k + 1 :])):
+            return True
+    return words in (["site", "header"], ["page", "header"], ["side", "bar"])
+
+
+def _boilerplate(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element is never content, and whether it only is left out by its name."""
+    if tag == "form":
+        return False, True
     if tag in DROPPED:
-        return True
-    if not attributes.strip() or tag in ("body", "html", *MAIN):
-        return False
+        return True, False
+    named = False
+    if not attributes.strip() or tag in ("body", "html", "main"):
+        return False, False
     for m in _ATTRIBUTE.finditer(attributes):
-        name, value = m.group(1).lower(), (m.group(2) or m.group(3) or m.group(4) or "").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name == "role" and value in _ROLES or name in ("class", "id") and _BOILERPLATE.search(value.replace("_", "-")):
-            return True
-    return False
+        name, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
+        if tag != "article" and (name == "hidden" or name == "aria-hidden" and value.lower() == "true"):
+            return True, False
+        if name == "role" and tag != "article":
+            named = named or value.lower() in _ROLES
+        elif name == "class" or name == "id" and tag not in _HEADINGS:
+            named = named or any(map(_names_boilerplate, value.split()))
+    return False, named
+
+
+def _restore(root: Element) -> None:
+    """Takes back what is left out by its name alone but is what the page is about: a part with half of the page's
+    prose or more that holds a main, an h1 or an article (or is a form, as some sites put whole pages into one), or, on a
+    page without any of these, a part without which there is no prose."""
+    elements, todo = [], [root]
+    while todo:
+        e = todo.pop()
+        if not e.dropped or e.named:
+            elements.append(e)
+            todo += [c for c in e.children if isinstance(c, Element)]
+    if not any(e.named for e in elements):
+        return
+    prose, holds = {}, {}
+    for e in reversed(elements):
+        below = [c for c in e.children if isinstance(c, Element) and c in prose]
+        own = 0 if e.tag == "a" else sum(n for c in e.children if isinstance(c, str) and (n := len(c.strip())) >= PROSE_CHARS)
+        prose[e] = own + (0 if e.tag == "a" else sum(prose[c] for c in below))
+        holds[e] = e.tag in ("main", "h1") or e.tag == "article" and not e.named or any(holds[c] for c in below)
+    for e in elements:
+        if e.named and prose[e]:
+            most = 2 * prose[e] >= prose[root] and (holds[e] or e.tag == "form")
+            e.dropped = not (most or prose[e] == prose[root] and not holds[root])
 
 
 def parse(page: str) -> Element:
@@ -130,19 +189,20 @@ def parse(page: str) -> Element:
             here = _leave(here, here.block, still_open)
         if tag in _CLOSES and (ended := [here.opened[t] for t in _CLOSES[tag] if t in here.opened]):
             here = _leave(here, min(ended, key=lambda e: e.depth), still_open)
-        element = Element(tag, here, _boilerplate(tag, m.group(4)))
+        element = Element(tag, here, *_boilerplate(tag, m.group(4)))
         here.children.append(element)
         if tag in RAW:
             low = low if low is not None else page.lower() if len(page.lower()) == len(page) else _ascii_lower(page)
             end = low.find("</" + tag, at)
             element.children.append(page[at : len(page) if end < 0 else end])
-            element.dropped = True
+            element.dropped, element.named = True, False
             at = len(page) if end < 0 else end
         elif tag not in VOID and not m.group(4).rstrip().endswith("/"):
             here = element
             still_open[tag] += 1
     if at < len(page):
         here.children.append(page[at:])
+    _restore(root)
     return root
 
 
@@ -331,7 +391,8 @@ def extract_text(pages: DataFrame) -> DataFrame:
     The text is that of the best container and of what stands around it without being mostly links: blocks in
     page order joined by newlines, white space inside a block as one space, character references decoded. Around
     the outermost article or main, only others of these and what scores well is kept. Elements for navigation, notices, adverts, forms,
-    scripts, sidebars, comments and the like are left out by their names, roles and classes.
+    scripts, sidebars, comments and the like are left out by their names, roles and classes, unless they
+    hold what the page is about.
 
     No shuffle; one page at a time. A null or empty page, or one without content, gives an empty text;
     broken markup is read as far as it goes; null or repeated ids are rows like any other; an empty table
