@@ -26,7 +26,7 @@ HEADLINE = [
     "percentile_table", "describe_numeric", "null_profile", "corr_pairs", "iqr_cap", "impute_median",
     "standard_scale", "fitted_features", "anova_topk", "text_tokens", "extract_functions", "triage", "recipe_rank",
     "conversion_order", "strip_fence", "json_roundtrip", "income_rank_split", "rolling_stats_split",
-    "percentile_table_split",
+    "percentile_table_split", "one_hot_wide", "category_stats_merged", "json_array_parts", "dependency_cycles",
 ]
 
 
