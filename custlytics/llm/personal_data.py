@@ -24,7 +24,10 @@ LEAST_SCORE = 0.6
 CONTEXT_CHARS = 40
 #: Score of a pattern alone, and what a checksum or a context word adds.
 PATTERN_SCORE = {"iban": 0.3, "national_phone": 0.4, "ssn": 0.4, "secret": 0.4}
+#: A mark is something of the span's own: an area code in brackets, the prefix of a kind of key, the name it is given to.
 CHECKED, IN_CONTEXT, MARKED = 0.5, 0.4, 0.3
+#: What a word nearby takes that speaks against it.
+AGAINST = 0.55
 
 # Words that stand near such data.
 CONTEXT_WORDS = {
@@ -37,6 +40,13 @@ CONTEXT_WORDS = {
     "ssn": ("ssn", "social security", "social-security"),
     "secret": ("token", "secret", "password", "passwd", "api key", "api_key", "api-key", "apikey", "access key", "access_key", "bearer"),
 }
+# Words that stand near what only looks like such data.
+OTHER_WORDS = {
+    "national_phone": ("order", "invoice", "isbn", "tracking", "serial", "part no", "version"),
+    "ssn": ("order", "invoice", "isbn", "tracking", "serial", "part no", "version"),
+    "secret": ("example", "sample", "dummy", "placeholder", "redacted", "changeme", "checksum", "sha256", "sha-256", "sha1", "md5", "commit", "isbn", "version"),
+}
+_AGAINST = {kind: re.compile("|".join(rf"(?<![a-z]){re.escape(w)}" for w in words)) for kind, words in OTHER_WORDS.items()}
 _CONTEXT = {kind: re.compile("|".join(rf"(?<![a-z]){re.escape(w)}" for w in words)) for kind, words in CONTEXT_WORDS.items()}
 
 _DIGITS = re.compile(r"[0-9][0-9 ().-]*+")
@@ -60,6 +70,16 @@ _ALNUM = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ01234567
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _NATIONAL = re.compile(r"(?<![0-9])(?:\(?[2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])")
 _SECRET = re.compile(r"""[=:]\s{0,3}["']?([A-Za-z0-9_/+-]{20,}+)""")
+# Keys that tell their kind by how they begin, and values given to a name that says what they are.
+_PREFIXED = re.compile(
+    r"(?<![A-Za-z0-9])((?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{20,}+|github_pat_[A-Za-z0-9_]{20,}+|glpat-[A-Za-z0-9_-]{16,}+"
+    r"|xox[abeprs]-[A-Za-z0-9-]{10,}+|[prs]k_(?:live|test)_[A-Za-z0-9]{16,}+|sk-[A-Za-z0-9_-]{20,}+|AIza[A-Za-z0-9_-]{35}"
+    r"|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]++)"
+)
+_NAMED = re.compile(
+    r"""(?i:(?<![a-z])(?:pass(?:word|wd|phrase|code)|pwd|secret|token|(?:api|access|aws|private|secret)[ _-]?key|bearer)["']?\s{0,3}(?:[=:]|\bis\b|(?<=bearer)\s))"""
+    r"""\s{0,3}["']?([^\s"',;<>]{8,}+)"""
+)
 
 
 class Span(NamedTuple):
@@ -169,15 +189,30 @@ def added(text: str) -> Iterator[tuple[str, int, int, float]]:
                 first = start + m.start() - bool(opened)
                 marked = MARKED if m.group().startswith("(") and ")" in m.group() else 0
                 yield "national_phone", first, start + m.end() - bool(opened), PATTERN_SCORE["national_phone"] + marked
-    for m in _SECRET.finditer(text):
-        value = m.group(1)
-        if any(c.isdigit() for c in value) and any(c.isalpha() for c in value):
-            yield "secret", m.start(1), m.end(1), PATTERN_SCORE["secret"]
+    upto = 0
+    for start, end, marked in secrets(text):
+        if end > upto:
+            yield "secret", start, end, PATTERN_SCORE["secret"] + marked
+            upto = end
+
 
+def secrets(text: str) -> list[tuple[int, int, float]]:
+    """(start, end, score of the mark) of keys, tokens and passwords, from left to right, the longest first. All hold
+    digits and other characters."""
+    found = []
+    for pattern, marked in ((_PREFIXED, MARKED), (_NAMED, MARKED), (_SECRET, 0.0)):
+        for m in pattern.finditer(text):
+            value = m.group(1).rstrip(".)]}")
+            if any(c.isdigit() for c in value) and any(c.isalpha() for c in value):
+                found.append((m.start(1), m.start(1) + len(value), marked))
+    return sorted(found, key=lambda s: (s[0], -s[1], -s[2]))
 
-def in_context(text: str, kind: str, start: int, end: int) -> bool:
-    near = text[max(0, start - CONTEXT_CHARS) : start] + "\n" + text[end : end + CONTEXT_CHARS]
-    return bool(_CONTEXT[kind].search(near.lower()))
+
+def context_score(text: str, kind: str, start: int, end: int) -> float:
+    """What the words nearby add to a span's score or take from it."""
+    near = (text[max(0, start - CONTEXT_CHARS) : start] + "\n" + text[end : end + CONTEXT_CHARS]).lower()
+    against = kind in _AGAINST and _AGAINST[kind].search(near)
+    return IN_CONTEXT * bool(_CONTEXT[kind].search(near)) - AGAINST * bool(against)
 
 
 def spans(text: str | None) -> list[Span]:
@@ -187,11 +222,11 @@ def spans(text: str | None) -> list[Span]:
     order = {kind: k for k, kind in enumerate((*BASE_KINDS, *ADDED_KINDS))}
     found = []
     for kind, start, end in (*(("email", a, b) for a, b in emails(text)), *numbers(text)):
-        score = 0.6 + IN_CONTEXT * in_context(text, kind, start, end)
+        score = 0.6 + context_score(text, kind, start, end)
         found.append(Span(kind, start, end, round(score, 2), True))
     for kind, start, end, score in added(text):
-        score += IN_CONTEXT * in_context(text, kind, start, end)
-        if score >= LEAST_SCORE:
+        score += context_score(text, kind, start, end)
+        if score >= LEAST_SCORE - 1e-9:
             found.append(Span(kind, start, end, round(min(score, 1.0), 2), False))
     return sorted(found, key=lambda s: (s.start, order[s.kind], s.end))
 
@@ -203,9 +238,9 @@ def find_personal_data(docs: DataFrame, column: str = "personal_data") -> DataFr
     IPv4 addresses with parts up to 255, card numbers of 14 to 19 digits that pass the Luhn check, phones
     with a plus sign and 10 to 15 digits. Added spans: IBANs that pass the mod-97 check, and national
     phones, social security numbers and secrets whose shape and context words together reach
-    ``LEAST_SCORE``.
+    ``LEAST_SCORE``; words that speak against it (an example, a checksum, an order number) lower a score.
 
-    No shuffle. Null and empty texts have no spans; other columns pass through, ``column`` replaces one of
+    No shuffle. Repeated rows and null ids are rows like any other. Null and empty texts have no spans; other columns pass through, ``column`` replaces one of
     that name; an empty table gives no rows.
     """
     others = [f for f in docs.schema.fields if f.name != column]
@@ -222,7 +257,9 @@ def find_personal_data(docs: DataFrame, column: str = "personal_data") -> DataFr
 def masked(docs: DataFrame, column: str = "personal_data") -> DataFrame:
     """``docs`` with each span of ``column`` in the text replaced by its kind in angle brackets.
 
-    Of overlapping spans the first, and of these the longest, is replaced with all it overlaps."""
+    Of overlapping spans the first, and of these the longest, is replaced with all it overlaps. A null text
+    stays null, and a text whose ``column`` is null stays as it is."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             texts = []

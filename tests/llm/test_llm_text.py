@@ -6,6 +6,7 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
 
 import brute
 import numpy as np
@@ -226,3 +227,108 @@ def after(counts, level, length):
     counts[level] -= level > 0
     counts[level + length] += 1
     return counts[1:10]
+
+
+LONG = "<p>A long paragraph, with commas, of real content that goes on for a while, and on and on.</p>" * 2
+TWO = [LONG[3 : LONG.index("</p>")]] * 2
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<div class="site-content has-sidebar">{LONG}</div>', f'<div class="post no-comments">{LONG}</div>',
+        f'<body><form id="aspnetForm">{LONG}</form></body>', f'<form><h1 class=x></h1>{LONG}</form><div>{LONG[: len(LONG) // 2]}</div>',
+        f'<article><div class="cookie-recipe">{LONG}</div></article>', f'<div class="nav-fixed"><main>{LONG}</main></div>',
+        f'<body class="modal-open"><div class="modal-open"><article>{LONG}</article></div>', f'<div id="related">{LONG}</div>',
+        f"<article>{LONG}</article><ol class=commentlist><li>{LONG * 5}</ol>",
+        f"<article>{LONG}</article><div id=comments><article class=comment-body>{LONG * 5}</article></div>",
+        f"<div class=post>{LONG}</div><div class=post-comments>{LONG}</div><div class=siteNav>{LONG}</div><div class='ad_slot-3'>{LONG}</div>",
+        f"<div>{LONG}</div><div class=cookie-notice>{LONG}</div><ul class=breadcrumb-trail><li>{LONG}</ul><div class='c-newsletter__signup'>{LONG}</div>",
+    ],
+)
+def test_names_tell_parts_but_not_states(page):
+    found = html_text.main_text(page).split("\n")
+    assert found[:2] == TWO and found[2:] in ([], TWO[:1]) and (len(found) == 2 or page.startswith("<form><h1"))
+
+
+def test_ids_of_headings_and_paragraphs_are_no_names():
+    page = f'<article><h2 id="social-history">Social</h2><p id="share-prices">Prices</p><p id="comments">Said</p>{LONG}</article>'
+    assert html_text.main_text(page).split("\n") == ["Social", "Prices", "Said", *TWO]
+
+
+def test_pages_of_any_kind(spark):
+    rows = [(1, "u", None, 7, "t"), (1, "u", "", 7, "t"), (None, None, f"<div>{LONG}</div>", 7, "t"), (2, "v", LONG, 8, None), (2, "v", LONG, 8, None)]
+    schema = "page_id bigint, url string, html string, n_chars int, text string"
+    got = html_text.extract_text(spark.createDataFrame(rows, schema)).collect()
+    text = "\n".join(TWO)
+    wanted = [(1, "u", "", 0)] * 2 + [(None, None, text, len(text))] + [(2, "v", text, len(text))] * 2
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, wanted))
+    assert html_text.extract_text(spark.createDataFrame([], schema)).collect() == []
+
+
+def planted(seed, n):
+    """Texts with one piece of personal data each: (kind, text, start, end)."""
+    r = random.Random(seed)
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+    def chars(n, of=alnum):
+        return "".join(r.choice(of) for _ in range(n - 1)) + r.choice("0123456789")
+
+    def iban(country, n):
+        body = chars(n - 4, "0123456789")
+        check = 98 - int(body + str(int(country[0], 36)) + str(int(country[1], 36)) + "00") % 97
+        whole = f"{country}{check:02d}{body}"
+        return whole if r.random() < 0.5 else " ".join(whole[k : k + 4] for k in range(0, n, 4))
+
+    def phone():
+        a, b, c = r.randint(200, 999), r.randint(200, 999), r.randint(0, 9999)
+        return r.choice([f"({a}) {b}-{c:04d}", f"{a}-{b}-{c:04d}", f"{a}.{b}.{c:04d}"])
+
+    makers = {
+        "iban": (lambda: iban(*r.choice([("DE", 22), ("FR", 27), ("NO", 15), ("GB", 22)])), ["IBAN {}", "pay to {} please", "account: {}."]),
+        "national_phone": (phone, ["call {}", "Tel. {} at any time", "my phone is {}", "contact us: {}"]),
+        "ssn": (lambda: f"{r.randint(1, 665):03d}-{r.randint(1, 99):02d}-{r.randint(1, 9999):04d}", ["SSN {}", "social security number: {}", "his ssn is {}"]),
+        "secret": (lambda: chars(r.randint(12, 60)), ["password: {}", "api_key={}", 'token = "{}"', "Authorization: Bearer {}", "the passwd is {}", "secret: {}"]),
+        "secret ": (
+            lambda: r.choice(["AKIA" + chars(16, "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), "ghp_" + chars(36), "sk_live_" + chars(24), f"eyJ{chars(20)}.eyJ{chars(30)}.{chars(40)}"]),
+            ["{}", "aws key {} here", "use {}", "as in ({})"],
+        ),
+    }
+    for kind, (value, frames) in makers.items():
+        for _ in range(n):
+            v, frame = value(), r.choice(frames)
+            head = " ".join(r.choice(["lorem", "ipsum", "dolor"]) for _ in range(r.randint(0, 9)))
+            text = f"{head} {frame.format(v)} and more"
+            yield kind.strip(), text, text.index(v), text.index(v) + len(v)
+
+
+def test_recall_of_planted_data():
+    found, all_of = Counter(), Counter()
+    for kind, text, start, end in planted(1, 200):
+        all_of[kind] += 1
+        found[kind] += any(s.kind == kind and (s.start, s.end) == (start, end) for s in personal_data.spans(text))
+    assert all(found[k] >= 0.9 * all_of[k] for k in all_of), (found, all_of)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "commit: 3f2a9c0d4e5b6a7f8c9d0e1f2a3b4c5d6e7f8a9b token", "an example password: hunter2hunter2", "sha256 checksum: 9f86d081884c7d659a2feaa0c55ad015",
+        "order 212-555-0123", "invoice 219-09-9999", "password: required", "the token is mandatory", "GB82WEST12345698765431", "version 212.555.0123",
+    ],
+)
+def test_words_against_lower_the_score(text):
+    assert [s for s in personal_data.spans(text) if not s.base] == []
+
+
+def test_personal_data_of_odd_tables(spark):
+    docs = brute.table(spark, [*brute.odd_rows(), (None, "password: hunter2hunter2"), (3, "a@b.cd"), (3, "a@b.cd")])
+    docs = docs.withColumnRenamed("keep", "personal_data").withColumnRenamed("rest", "kind")
+    found = personal_data.find_personal_data(docs)
+    assert set(found.columns) == set(docs.columns)
+    kinds = [(r.doc_id, s.kind) for r in found.collect() for s in r.personal_data or []]
+    assert sorted(map(str, kinds)) == sorted(map(str, [(None, "secret"), (3, "email"), (3, "email")]))
+    texts = [r.text for r in personal_data.masked(found).collect()]
+    assert texts.count("<email>") == 2 and texts.count("password: <secret>") == 1 and texts.count(None) == 1
+    empty = brute.empty(spark)
+    assert personal_data.masked(personal_data.find_personal_data(empty)).collect() == []
