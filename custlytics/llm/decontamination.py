@@ -11,15 +11,17 @@ import math
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import astuple, dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from custlytics.llm.common import map_batches, word_codes
 from custlytics.llm.fm_index import FmIndex
-from custlytics.session import checkpointed
+from custlytics.operators.joins import broadcast_if_small
+from custlytics.session import stored
 
 WINDOW = 13
 #: Document words in one shard.
@@ -76,7 +78,7 @@ def phrases(items: list[tuple], window: int = WINDOW) -> Phrases:
     for (name, _), a, b in zip(items, starts[:-1], starts[1:], strict=True):
         item = [int(c) + 1 for c in codes[a:b]]
         for k in range(max(1, len(item) - window + 1) if item else 0):
-            of.setdefault(tuple(item[k : k + window]), set()).add(str(name))
+            of.setdefault(tuple(item[k : k + window]), set()).add("" if name is None else str(name))
     array = np.zeros((len(of), window), np.int64)
     lengths = np.array([len(w) for w in of], np.int64)
     for row, w in zip(array, of, strict=True):
@@ -175,39 +177,66 @@ def find_passages(
     benchmark item (an item of fewer words is one window), ``items`` the sorted ids, as strings, of the
     items whose windows occur.
 
-    No shuffle. A benchmark above ``block_bytes`` is searched in blocks of about that size, one pass over
-    the documents each, with a checkpoint between. Memory per task: one block, and a shard of
-    ``shard_words`` words (or one longer text).
+    A benchmark of up to ``block_bytes`` needs no shuffle. A larger one is searched in blocks of about that size, one pass
+    over the texts each, of which only what is found is written, by a digest of the text; the documents
+    meet it in the end (the smaller side is broadcast if it is measured to be small). Memory per task: one block, and
+    a shard of ``shard_words`` words (or one longer text).
 
-    Null texts have no words; items without words or with a null text have no windows; equal rows and ids
-    are rows like any other; empty tables give no rows or no hits. Other columns pass through; ``column``
-    replaces one of that name.
+    Null texts have no words; items without words or with a null text have no windows; items of null id are
+    one item with an empty name; equal rows and ids are rows like any other; empty tables give no rows or no
+    hits. Other columns pass through; ``column`` replaces one of that name.
     """
     if column in docs.columns:
         docs = docs.drop(column)
-    out = None
+    hits = first = None
     for block in _blocks_of(benchmark, block_bytes):
         wanted = docs.sparkSession.sparkContext.broadcast(astuple(phrases(block, window)))
-        found = _searched(docs if out is None else checkpointed(out), column, wanted, shard_words)
-        out = found
-    return out
+        if first is None:
+            first = wanted
+            continue
+        found = _searched(docs.select("text"), "found", wanted, shard_words).filter(F.size("found.items") > 0)
+        found = stored(found.select(*_digest(), "found.spans", "found.items").distinct())
+        hits = found if hits is None else hits.unionByName(found)
+    searched = _searched(docs, column, first, shard_words)
+    return searched if hits is None else _with_hits(searched, column, hits)
+
+
+def _digest() -> list[Column]:
+    """The numbers that stand for a text; equal texts have equal hits."""
+    return [F.xxhash64("text").alias("_t1"), F.xxhash64(F.lit(1), "text").alias("_t2")]
+
+
+def _with_hits(docs: DataFrame, column: str, hits: DataFrame) -> DataFrame:
+    """``docs`` with what further blocks found added to ``column``."""
+    no_column = "_" * max(len(name) for name in docs.columns)  # begins no name of the table
+    t1, t2, more_spans, more_items = (no_column + end for end in ("_t1", "_t2", "_spans", "_items"))
+    lists = [F.flatten(F.collect_list(c)).alias(name) for c, name in (("spans", more_spans), ("items", more_items))]
+    more = broadcast_if_small(hits.groupBy(F.col("_t1").alias(t1), F.col("_t2").alias(t2)).agg(*lists))
+    keyed = docs.select("*", *[d.alias(name) for d, name in zip(_digest(), (t1, t2), strict=True)]).join(more, [t1, t2], "left")
+    own = F.col(column)
+    spans = F.array_sort(F.concat(own["spans"], more_spans))
+
+    def add(so_far: Column, span: Column) -> Column:
+        last = F.element_at(so_far, -1)
+        grown = F.array(last[0], F.greatest(last[1], span[1]))
+        joined = F.concat(F.slice(so_far, F.lit(1), F.size(so_far) - 1), F.array(grown))
+        return F.when((F.size(so_far) > 0) & (span[0] <= F.try_element_at(so_far, F.lit(-1))[1]), joined).otherwise(F.concat(so_far, F.array(span)))
+
+    merged_spans = F.aggregate(spans, F.array().cast("array<array<bigint>>"), add)
+    items = F.array_sort(F.array_distinct(F.concat(own["items"], more_items)))
+    whole = F.struct(own["n_words"].alias("n_words"), merged_spans.alias("spans"), items.alias("items"))
+    added = F.when(F.col(more_spans).isNotNull(), whole).otherwise(own)
+    return keyed.withColumn(column, added).select(*docs.columns)
 
 
 def _searched(docs: DataFrame, column: str, wanted, shard_words: int) -> DataFrame:
-    again = column in docs.columns
-    others = [f for f in docs.schema.fields if f.name != column]
+    others = docs.schema.fields
     schema = T.StructType([*others, T.StructField(column, FOUND)])
 
     def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = iter(search_shard([b.column("text") for b in held], Phrases(*wanted.value)))
         for rows in held:
-            values = []
-            before = rows.column(column).to_pylist() if again else [None] * rows.num_rows
-            for old, (n, spans, items) in zip(before, found):
-                if old:
-                    spans = merged([*old["spans"], *spans])
-                    items = sorted({*old["items"], *items})
-                values.append({"n_words": n, "spans": spans, "items": items})
+            values = [{"n_words": n, "spans": spans, "items": items} for n, spans, items in islice(found, rows.num_rows)]
             columns = [rows.column(f.name) for f in others]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(values, _PA_FOUND)], names=[f.name for f in others] + [column])
 
@@ -226,17 +255,6 @@ def _searched(docs: DataFrame, column: str, wanted, shard_words: int) -> DataFra
     return map_batches(docs, run, schema)
 
 
-def merged(spans: Iterable) -> list[list[int]]:
-    """Overlapping or touching [start, end) ranges as one."""
-    out: list[list[int]] = []
-    for start, end in sorted(map(tuple, spans)):
-        if out and start <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], end)
-        else:
-            out.append([start, end])
-    return out
-
-
 def word_ranges(text: str, spans: Iterable) -> list[tuple[int, int]]:
     """Character ranges of word spans, to cut passages out of a text."""
     words = [m.span() for m in _WORD.finditer(text)]

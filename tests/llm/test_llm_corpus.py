@@ -132,6 +132,24 @@ def test_prefixes_of_similar_sets_meet():
                 assert len(first[0] & first[1]) >= least
 
 
+def test_blocks_of_the_benchmark_copy_no_texts(spark, monkeypatch):
+    """Three blocks and more: only hits are written; items without an id have an empty name."""
+    words = [f"w{k}" for k in range(60)]
+    items = [(None, " ".join(words[:20])), *((str(k), " ".join(words[k : k + 15])) for k in range(0, 40, 3))]
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    rows = [(1, " ".join(words)), (1, " ".join(words)), (2, "none of them"), (3, None), (None, " ".join(words[5:25]))]
+    docs = brute.table(spark, rows).withColumn("_t1", F.lit("clash")).withColumn("_spans", F.lit(1))
+    written = []
+    kept = decontamination.stored
+    monkeypatch.setattr(decontamination, "stored", lambda df: written.append(df.columns) or kept(df))
+    whole = decontamination.find_passages(docs, benchmark)
+    assert written == []
+    parts = decontamination.find_passages(docs, benchmark, block_bytes=200)
+    assert len(written) >= 3 and all(c == ["_t1", "_t2", "spans", "items"] for c in written)
+    assert parts.columns == whole.columns and as_text(map(tuple, parts.collect())) == as_text(map(tuple, whole.collect()))
+    assert {r.found["items"][0] for r in whole.collect() if r.doc_id == 1} == {""}
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(20)] + [(30, 31), (31, 31), (31, 30)]
     df = spark.createDataFrame(links, "a bigint, b bigint")
