@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml.feature import (
     PCA,
     Bucketizer,
@@ -170,6 +171,39 @@ def principal_components(df: DataFrame, vector: str, k: int, output: str = "pca_
     return PCA(k=k, inputCol=vector, outputCol=output).fit(df).transform(df)
 
 
+def covariances(columns: Sequence[str]) -> Column:
+    """The sample covariances of all pairs of columns as an array of rows, one aggregate."""
+    return F.array(*[F.array(*[F.covar_samp(a, b) for b in columns]) for a in columns])
+
+
+def principal_axes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(component, variance, loadings): all principal axes of the columns, the one of greatest variance first.
+
+    Covariances come from one aggregate; the driver solves a matrix as wide as the list of columns. Of an axis the
+    loading of greatest size is positive (of equal ones the first), so that it does not depend on the solver.
+    Rows with a null in a pair of columns do not count for it."""
+    rows = df.agg(covariances(columns).alias("c")).first().c
+    variances, axes = np.linalg.eigh(np.array(rows, float))
+    found = []
+    for k, (variance, axis) in enumerate(sorted(zip(variances.tolist(), axes.T, strict=True), key=lambda x: -x[0])):
+        largest = int(np.argmax(np.abs(axis) > np.abs(axis).max() - 1e-12))
+        found.append((k, variance, (axis * np.sign(axis[largest])).tolist()))
+    return df.sparkSession.createDataFrame(found, "component int, variance double, loadings array<double>")
+
+
+def axis_errors(axes: DataFrame, df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``axes`` with ``error``, how far the covariances times an axis are from its variance times the axis, as a part of
+    the greatest variance."""
+    matrix = df.agg(covariances(columns).alias("c")).scalar()
+
+    def product(row: Column) -> Column:
+        return F.aggregate(F.zip_with(row, "loadings", lambda c, v: c * v), F.lit(0.0), lambda a, b: a + b)
+
+    off = F.zip_with(F.transform("_c", product), "loadings", lambda image, v: F.abs(image - F.col("variance") * v))
+    greatest = axes.agg(F.max("variance")).scalar()
+    return axes.withColumn("_c", matrix).withColumn("error", F.array_max(off) / greatest).drop("_c")
+
+
 def components_for_variance(
     df: DataFrame, vector: str, size: int, share: float = fixed.PCA_VARIANCE, output: str = "pca_features"
 ) -> DataFrame:

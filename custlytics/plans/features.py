@@ -358,3 +358,40 @@ select customer_id, case when cast('0x' || substring(md5(cast(customer_id as var
 )
 def hash_split(spark, sf_dir):
     return features.split_by_key(customers(spark, sf_dir), "customer_id").select("customer_id", "part")
+
+
+@query(
+    C_SQL
+    + """,
+cov as (
+  select covar_samp(years_employed, years_employed) as a, covar_samp(years_employed, num_accounts) as b,
+         covar_samp(num_accounts, num_accounts) as d from customers),
+variances as (
+  select *, unnest([0, 1]) as component,
+         unnest([(a + d + sqrt((a - d) ** 2 + 4 * b * b)) / 2, (a + d - sqrt((a - d) ** 2 + 4 * b * b)) / 2]) as variance from cov),
+axes as (select *, b / sqrt(b * b + (variance - a) ** 2) as x, (variance - a) / sqrt(b * b + (variance - a) ** 2) as y from variances),
+signed as (select *, sign(case when abs(x) >= abs(y) then x else y end) as s from axes)
+select cast(component as integer) as component, round(variance, 6) as variance, round(x * s, 6) as x, round(y * s, 6) as y from signed"""
+)
+def pca_axes(spark, sf_dir):
+    """Values and signs of the principal axes of two columns."""
+    axes = features.principal_axes(customers(spark, sf_dir), ["years_employed", "num_accounts"])
+    return axes.select("component", rounded("variance", 6), *[F.round(F.col("loadings")[k], 6).alias(c) for k, c in enumerate("xy")])
+
+
+@query(
+    C_SQL
+    + FILLED_SQL
+    + f""",
+moments as (select {" + ".join(f"var_samp({c})" for c in SCALED)} as total from filled)
+select cast(unnest(range({len(SCALED)})) as integer) as component, true as solves, true as signed, round(total, 4) as total from moments"""
+)
+def pca_residuals(spark, sf_dir):
+    """Every axis of the numeric columns solves the covariances, has its sign by the rule, and all variances add up to
+    the columns' own."""
+    filled = cleaning.impute(customers(spark, sf_dir), ["income", "credit_score"])
+    axes = features.axis_errors(features.principal_axes(filled, SCALED), filled, SCALED)
+    total = axes.agg(F.sum("variance")).scalar()
+    largest = F.array_max(F.transform("loadings", F.abs))
+    signed = F.array_max("loadings") >= largest - 1e-12
+    return axes.select("component", (F.col("error") < 1e-6).alias("solves"), signed.alias("signed"), F.round(total, 4).alias("total"))

@@ -84,3 +84,14 @@ def test_vectors_of_few_labels(spark):
     assert one.x_encoded == SparseVector(1, {0: 1.0}) and rows["a", "k"].x_encoded == SparseVector(1, {})
     assert one.y_encoded == SparseVector(0, {}) and other.y_encoded is None and other.y_indexed is None
     assert one.z_encoded is None and one.w_encoded == SparseVector(1, {0: 1.0})
+
+
+def test_principal_axes(spark):
+    rows = [(float(i % 7), float(i % 3) - i % 7, 5.0) for i in range(60)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    axes = features.axis_errors(features.principal_axes(df, ["a", "b", "c"]), df, ["a", "b", "c"]).orderBy("component").collect()
+    assert [r.component for r in axes] == [0, 1, 2] and all(r.error < 1e-9 for r in axes)
+    assert axes[0].variance > axes[1].variance > abs(axes[2].variance) < 1e-9 and [abs(x) for x in axes[2].loadings] == [0.0, 0.0, 1.0]
+    assert all(max(r.loadings) == max(map(abs, r.loadings)) for r in axes)
+    one = features.principal_axes(df, ["a"]).first()
+    assert one.loadings == [1.0]
