@@ -2,12 +2,12 @@
 
 Documents with equal sets are one class. Under any global order of the n-grams, two sets that are similar
 enough share one of their first few n-grams, and several of some more. The first order puts rare n-grams
-first (counts of hash buckets over all documents) and makes candidates of classes that share such an n-gram;
-candidates must then share enough of a longer prefix under two more, independent orders before their sets
-are compared.
+first (counts of hash buckets over all documents) and makes candidates of classes that share such an n-gram
+so early in both that enough n-grams can follow; candidates must then share enough of a longer prefix under
+two more, independent orders before their sets are compared.
 
-Components do not need all links: where many classes share an n-gram, each is first compared with one
-pivot, and only pairs that are still in different components go on.
+Components do not need all links: the classes of an n-gram are first compared with one pivot, the class that
+has it earliest, and only pairs that are still in different components go on.
 """
 
 from __future__ import annotations
@@ -30,18 +30,18 @@ SIMILARITY = 85
 BUCKET_BITS, COUNT_PARTS = 22, 64
 #: Rows of one n-gram that may meet in one task; more are dealt out by a second key.
 ROWS_PER_TASK = 200_000
-#: Pairs per row of shared n-grams up to which all open pairs are compared at once, and the most rounds
+#: Pairs per row of the first round up to which all open pairs are compared at once, and the most rounds
 #: of comparisons with pivots before that.
-PAIRS_PER_ROW, PIVOT_ROUNDS = 8, 8
+PAIRS_PER_ROW, PIVOT_ROUNDS = 1, 8
 
 _BASE = 0x9E3779B97F4A7C15
 #: Odd factors that give the second and third order.
 _ORDERS = (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 _MASK = 2**64 - 1
 
-CLASSES = "doc_id bigint, c bigint, c2 bigint, n bigint, second array<int>, third array<int>, part int, counts binary"
-PREFIXES = "token bigint, salts int, c bigint, n int"
-SETS = "c bigint, c2 bigint, n int, grams array<bigint>"
+CLASSES = "doc_id bigint, c bigint, c2 bigint, n bigint, part int, counts binary"
+PREFIXES = "token bigint, salts int, c bigint, n int, reach int"
+SETS = "c bigint, c2 bigint, n int, second array<int>, third array<int>, grams array<bigint>"
 
 
 def shingle_sets(texts: pa.Array, k: int = SHINGLE_WORDS) -> list[np.ndarray]:
@@ -74,6 +74,13 @@ def prefix_length(n: int, similarity: int = SIMILARITY, shared: int = 1) -> int:
     return min(n, n - (similarity * n + 99) // 100 + shared) if n else 0
 
 
+def reaches(n: int, similarity: int = SIMILARITY) -> np.ndarray:
+    """For each place of the prefix of a set of ``n``, the largest set that can be similar to it and share no
+    earlier n-gram: all that they share lies from there on."""
+    left = n - np.arange(prefix_length(n, similarity))
+    return left * (100 + similarity) // similarity - n
+
+
 #: Under the second and third order two similar sets share one n-gram more for each so many of the
 #: smaller set.
 GRAMS_PER_SHARED = 20
@@ -85,11 +92,10 @@ def _other_prefixes(grams: np.ndarray, similarity: int) -> list[np.ndarray]:
     return [(np.sort(grams * np.uint64(f))[:first] >> np.uint64(32)).astype(np.uint32).view(np.int32) for f in _ORDERS]
 
 
-def _classes(k: int, similarity: int):
-    """Rows of (doc_id, class, size, prefixes under two orders), and each task's counts of n-gram buckets."""
+def _classes(k: int):
+    """Rows of (doc_id, class, size), and each task's counts of n-gram buckets."""
     names = [c.split()[0] for c in CLASSES.split(", ")]
-    ints = pa.list_(pa.int32())
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), ints, ints, pa.int32(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
     def made(*columns) -> pa.RecordBatch:
         filled = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(columns, kinds, strict=True)]
@@ -104,12 +110,11 @@ def _classes(k: int, similarity: int):
                 continue
             counts += np.bincount((np.concatenate(sets) >> shift).astype(np.int64), minlength=len(counts))
             c, c2 = zip(*map(class_of, sets), strict=True)
-            second, third = zip(*(_other_prefixes(s, similarity) for s in sets), strict=True)
             none = [None] * len(sets)
-            yield made(rows.column("doc_id"), c, c2, [len(s) for s in sets], second, third, none, none)
+            yield made(rows.column("doc_id"), c, c2, [len(s) for s in sets], none, none)
         if counts.any():
             none = [None] * COUNT_PARTS
-            yield made(*[none] * 6, range(COUNT_PARTS), [zlib.compress(p.astype("<i8").tobytes(), 1) for p in np.split(counts, COUNT_PARTS)])
+            yield made(*[none] * 4, range(COUNT_PARTS), [zlib.compress(p.astype("<i8").tobytes(), 1) for p in np.split(counts, COUNT_PARTS)])
 
     return run
 
@@ -129,38 +134,39 @@ def _prefixes(k: int, similarity: int, counts, rows_per_task: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_bucket, shift = counts.value, np.uint64(64 - BUCKET_BITS)
         for rows in batches:
-            tokens, ids, sizes = [], [], []
+            tokens, ids, sizes, reach = [], [], [], []
             for grams in shingle_sets(rows.column("text"), k):
                 first = prefix_length(len(grams), similarity)
                 order = np.lexsort((grams, of_bucket[(grams >> shift).astype(np.int64)]))[:first]
                 tokens.append(grams[order])
                 ids.append(np.full(first, class_of(grams)[0], np.int64))
                 sizes.append(np.full(first, len(grams), np.int32))
+                reach.append(reaches(len(grams), similarity).astype(np.int32))
             if tokens:
                 tokens = np.concatenate(tokens)
                 salts = -(-of_bucket[(tokens >> shift).astype(np.int64)].astype(np.int64) // rows_per_task)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(tokens.view(np.int64)), pa.array(salts.astype(np.int32)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes))],
-                    names=["token", "salts", "c", "n"],
+                    [pa.array(tokens.view(np.int64)), pa.array(salts.astype(np.int32)), *(pa.array(np.concatenate(x)) for x in (ids, sizes, reach))],
+                    names=["token", "salts", "c", "n", "reach"],
                 )
 
     return run
 
 
-def _sets(k: int):
-    """Whole sets; a class met again is left out."""
+def _sets(k: int, similarity: int):
+    """Whole sets and their prefixes under the other two orders; a class met again is left out."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for rows in batches:
-            columns: list[list] = [[] for _ in range(4)]
+            columns: list[list] = [[] for _ in range(6)]
             for grams in shingle_sets(rows.column("text"), k):
                 key = class_of(grams)
                 if key not in seen:
                     seen.add(key)
-                    for column, value in zip(columns, (*key, len(grams), grams.view(np.int64)), strict=True):
+                    for column, value in zip(columns, (*key, len(grams), *_other_prefixes(grams, similarity), grams.view(np.int64)), strict=True):
                         column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.list_(pa.int32())] * 2, pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in SETS.split(", ")])
 
     return run
@@ -184,22 +190,18 @@ def _shared(prefixes: DataFrame) -> DataFrame:
         .withColumn("least", F.min("c").over(within))
         .withColumn("most", F.max("c").over(within))
         .filter((F.col("least") != F.col("most")) | (F.col("salts") > 1))
-        .select("token", "c", "n")
+        .select("token", "c", "n", "reach")
         .distinct()
     )
 
 
-def _similar_size(similarity: int):
-    return 100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")
-
-
 def _side(table: DataFrame, name: str, *columns: str) -> DataFrame:
     return table.select(F.col("id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
 
 
-def _candidates(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _candidates(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes that share enough of their prefixes under the other two orders as well."""
-    left, right = (_side(classes, name, "n", "second", "third") for name in "ab")
+    left, right = (_side(sets, name, "n", "second", "third") for name in "ab")
     least = F.floor(F.least("n_a", "n_b") / GRAMS_PER_SHARED) + 1
 
     def enough(order: str) -> Column:
@@ -220,13 +222,23 @@ def _links(candidates: DataFrame, sets: DataFrame, similarity: int) -> DataFrame
 
 
 def _open_rows(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Rows (token, id, n, comp) of n-grams whose classes are still in different components."""
+    """Rows (token, id, n, reach, comp) that can pair with a row of their n-gram in another component: the
+    smallest set there is within their reach, and they are within the longest reach there."""
     if labels is not None:
         named = labels.select(F.col("node").alias("id"), "component")
-        rows = rows.select("token", "id", "n").join(named, "id", "left")
+        rows = rows.select("token", "id", "n", "reach").join(named, "id", "left")
         rows = rows.withColumn("comp", F.coalesce("component", "id")).drop("component")
-    spread = rows.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
-    return rows.join(spread, "token", "left_semi").select("token", "id", "n", "comp")
+    per = rows.groupBy("token", "comp").agg(F.min("n").alias("n"), F.max("reach").alias("reach"))
+    ends = per.groupBy("token").agg(F.min(F.struct("n", "comp")).alias("low"), F.max(F.struct("reach", "comp")).alias("high"))
+    # An end may be the row's own component; then the end of the others counts.
+    others = per.join(ends, "token").groupBy("token", "low", "high").agg(
+        F.min(F.when(F.col("comp") != F.col("low.comp"), F.col("n"))).alias("low_n"),
+        F.max(F.when(F.col("comp") != F.col("high.comp"), F.col("reach"))).alias("high_reach"),
+    )
+    least = F.when(F.col("comp") != F.col("low.comp"), F.col("low.n")).otherwise(F.col("low_n"))
+    most = F.when(F.col("comp") != F.col("high.comp"), F.col("high.reach")).otherwise(F.col("high_reach"))
+    met = rows.join(others.filter("low_n is not null"), "token").filter((F.col("reach") >= least) & (F.col("n") <= most))
+    return met.select("token", "id", "n", "reach", "comp")
 
 
 def _open_pairs(rows: DataFrame) -> tuple[int, int]:
@@ -237,42 +249,44 @@ def _open_pairs(rows: DataFrame) -> tuple[int, int]:
     return int(found[0] or 0), int(found[1] or 0)
 
 
-def _pairs(left: DataFrame, right: DataFrame, similarity: int) -> DataFrame:
-    """Distinct pairs (a, b) of classes of one n-gram in different components, of similar size."""
-    a = left.select("token", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"))
-    b = right.select("token", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"))
-    both = a.join(b, "token").filter((F.col("comp_a") != F.col("comp_b")) & _similar_size(similarity))
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _pivots(rows: DataFrame, attempt: int) -> DataFrame:
+    """One row of each n-gram: first that with the longest reach for its size, which has the n-gram earliest,
+    then another in each round."""
+    rank = F.struct(F.lit(0.0) if attempt else -F.col("reach") / F.col("n"), F.xxhash64("id", F.lit(attempt)))
+    chosen = rows.groupBy("token").agg(F.min(F.struct(rank.alias("rank"), "id", "n", "reach", "comp")).alias("p"))
+    return chosen.select("token", "p.id", "p.n", "p.reach", "p.comp")
+
+
+def _pairs(left: DataFrame, right: DataFrame, once: bool) -> DataFrame:
+    """Distinct pairs (a, b) of classes of one n-gram in different components, each within the other's reach.
+    ``once``: both sides are the same rows, of which each pair is made once."""
+    a, b = (side.select("token", *[F.col(c).alias(f"{c}_{name}") for c in ("id", "n", "reach", "comp")]) for side, name in ((left, "a"), (right, "b")))
+    fits = (F.col("comp_a") != F.col("comp_b")) & (F.col("n_b") <= F.col("reach_a")) & (F.col("n_a") <= F.col("reach_b"))
+    both = a.join(b, "token").filter(fits & (F.col("id_a") < F.col("id_b")) if once else fits)
+    return both.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
 def similar_classes(
-    rows: DataFrame, classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: int, pairs_per_row: int, pivot_rounds: int
+    rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: int, pairs_per_row: int, pivot_rounds: int
 ) -> DataFrame | None:
-    """(node, component) of the classes that have a link. ``sets_of`` fetches the sets of some classes."""
-    links = labels = sets = None
+    """(node, component) of the classes that have a link. ``sets_of`` fetches the sets of some classes; it is
+    asked once, for the classes that can pair at all."""
+    labels = sets = None
     rows = rows.withColumn("comp", F.col("id"))
     for attempt in range(pivot_rounds + 1):
         rows = settled(_open_rows(rows, labels))
         n_rows, n_pairs = _open_pairs(rows)
         if not n_rows:
             break
-        last = n_pairs <= pairs_per_row * n_rows or attempt == pivot_rounds
-        if last:
-            pairs = _pairs(rows, rows, similarity)
-        else:
-            # Another pivot for each n-gram in each round.
-            chosen = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("id", F.lit(attempt)), "id", "n", "comp")).alias("p"))
-            pairs = _pairs(rows, chosen.select("token", "p.id", "p.n", "p.comp"), similarity)
-        candidates = settled(_candidates(pairs, classes))
-        wanted = candidates.select(F.col("a").alias("id")).union(candidates.select("b")).distinct()
-        if sets is not None:
-            wanted = wanted.join(sets.select("id"), "id", "left_anti")
-        fetched = settled(sets_of(wanted))
-        sets = fetched if sets is None else sets.union(fetched)
-        found = settled(_links(candidates, sets, similarity))
-        links = found if links is None else links.union(found)
+        if sets is None:
+            sets, most = settled(sets_of(rows.select("id").distinct())), pairs_per_row * n_rows
+        last = n_pairs <= most or attempt == pivot_rounds
+        pairs = _pairs(rows, rows, True) if last else _pairs(rows, _pivots(rows, attempt), False)
+        found = settled(_links(_candidates(pairs, sets), sets, similarity))
         released(rows.sparkSession)
-        labels = components(links)
+        if not found.isEmpty():
+            # What is known already goes on as a star around the least class of each component.
+            labels = components(found if labels is None else found.union(labels.select("node", "component")))
         if last:
             break
     return labels
@@ -293,12 +307,12 @@ def near_duplicates(
     their own. Equal rows and repeated ids are fine. A null doc_id can link like any other; a component
     is named by its least id that is not null. An empty table gives no rows; other columns are not read.
 
-    Nothing is capped: an n-gram of very many classes is compared with pivots, round by round, and what
-    is still open after ``pivot_rounds`` rounds pair by pair.
+    Nothing is capped: the classes of an n-gram are compared with pivots, round by round, while more than
+    ``pairs_per_row`` pairs per row are open, and what is still open after ``pivot_rounds`` rounds pair by pair.
     """
     slim = docs.select("doc_id", "text")
     session, node = docs.sparkSession, F.struct("c", "c2")
-    first = settled(map_batches(slim, _classes(words, similarity), CLASSES))
+    first = settled(map_batches(slim, _classes(words), CLASSES))
     counts = _bucket_counts(first.filter("part is not null").select("part", "counts"))
     each = first.filter("part is null")
     of_doc = each.select("doc_id", "c", "c2", "n")
@@ -306,17 +320,16 @@ def near_duplicates(
     shared = settled(_shared(map_batches(slim, _prefixes(words, similarity, sent, rows_per_task), PREFIXES)))
 
     some = each.join(shared.select("c").distinct(), "c", "left_semi").groupBy("c", "c2")
-    prefixes = [F.any_value(name).alias(name) for name in ("second", "third")]
-    classes = settled(some.agg(F.min("doc_id").alias("reader"), F.min("n").alias("n"), *prefixes).withColumn("id", node))
-    rows = shared.join(classes.select("c", "id"), "c").select("token", "id", "n")
+    classes = settled(some.agg(F.min("doc_id").alias("reader")).withColumn("id", node))
+    rows = shared.join(classes.select("c", "id"), "c").select("token", "id", "n", "reach")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         """Read from one document of each class."""
         readers = classes.join(wanted, "id", "left_semi").select("reader").distinct()
         read = slim.join(readers.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("reader")), "left_semi")
-        return map_batches(read, _sets(words), SETS).withColumn("id", node)
+        return map_batches(read, _sets(words, similarity), SETS).withColumn("id", node)
 
-    labels = similar_classes(rows, classes, sets_of, similarity, pairs_per_row, pivot_rounds)
+    labels = similar_classes(rows, sets_of, similarity, pairs_per_row, pivot_rounds)
 
     per_class = of_doc.filter("n > 0").groupBy("c", "c2").agg(F.min("doc_id").alias("class_id")).withColumn("id", node)
     if labels is not None:

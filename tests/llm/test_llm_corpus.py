@@ -132,6 +132,38 @@ def test_prefixes_of_similar_sets_meet():
                 assert len(first[0] & first[1]) >= least
 
 
+def test_reach_holds_every_similar_set():
+    r = random.Random(8)
+    for _ in range(400):
+        a = r.sample(range(400), r.randint(1, 60))
+        b = list({*a[r.randint(0, 6) :], *r.sample(range(400), r.randint(0, 6))})
+        both = {*a} & {*b}
+        if both and 100 * len(both) >= 85 * (len(a) + len(b) - len(both)):
+            for one, other in ((a, b), (b, a)):
+                assert ngram_join.reaches(len(one))[sorted(one).index(min(both))] >= len(other)
+
+
+def test_large_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
+    """Copies with one change each are linked by the pivot; what differs too much from all is never paired."""
+    r = random.Random(9)
+    base, rows = [f"w{k}" for k in range(100)], []
+    for i in range(300):
+        words = list(base)
+        for k in r.sample(range(96), 1 if i % 3 else 12):
+            words[k] = f"own{i}x{k}"
+        rows.append((i, " ".join(words)))
+    made, pairs = [], ngram_join._pairs
+
+    def counted(*args):
+        made.append(pairs(*args))
+        return made[-1]
+
+    monkeypatch.setattr(ngram_join, "_pairs", counted)
+    got = ngram_join.near_duplicates(brute.table(spark, rows)).collect()
+    assert as_text((x.doc_id, x.n_shingles, x.component_id) for x in got) == as_text(brute.near(rows))
+    assert made and sum(x.count() for x in made) < 5 * len(rows)
+
+
 def test_blocks_of_the_benchmark_copy_no_texts(spark, monkeypatch):
     """Three blocks and more: only hits are written; items without an id have an empty name."""
     words = [f"w{k}" for k in range(60)]
