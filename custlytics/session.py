@@ -134,6 +134,17 @@ def clear_scratch(spark: SparkSession) -> None:
         _delete(spark, _scratch.pop())
 
 
+#: Scripts in one batch for Python: what a worker holds at once does not grow with its partition.
+SCRIPT_ROWS = 128
+
+
+def script_batches(spark: SparkSession) -> None:
+    """Set the session's ``spark.sql.execution.arrow.maxRecordsPerBatch`` down to ``SCRIPT_ROWS``."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= SCRIPT_ROWS:
+        spark.conf.set(key, str(SCRIPT_ROWS))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from there.
 
