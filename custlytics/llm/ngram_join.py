@@ -181,15 +181,34 @@ def _bucket_counts(parts: DataFrame) -> np.ndarray:
     return np.minimum(counts.reshape(-1), 2**31 - 1).astype(np.int32)
 
 
+def _can_meet(own: str) -> Column:
+    """Whether a row can pair with a row of its n-gram that has another ``own``: the smallest set among those
+    is within its reach, and it is within the longest reach among those."""
+    least = F.when(F.col(own) != F.col(f"low.{own}"), F.col("low.n")).otherwise(F.col("low_n"))
+    most = F.when(F.col(own) != F.col(f"high.{own}"), F.col("high.reach")).otherwise(F.col("high_reach"))
+    return (F.col("reach") >= least) & (F.col("n") <= most)
+
+
+def _ends(own: str) -> list[Column]:
+    return [F.min(F.struct("n", own)), F.max(F.struct("reach", own))]
+
+
+def _other_ends(own: str) -> list[Column]:
+    """An end may be the row's own; then the end of the others counts."""
+    return [F.min(F.when(F.col(own) != F.col(f"low.{own}"), F.col("n"))), F.max(F.when(F.col(own) != F.col(f"high.{own}"), F.col("reach")))]
+
+
 def _shared(prefixes: DataFrame) -> DataFrame:
-    """Prefix rows whose n-gram another class has in its prefix too. Very frequent n-grams are dealt out
-    by class as well, and kept without that test."""
+    """Prefix rows whose n-gram is in the prefix of another class that they can pair with. Very frequent n-grams
+    are dealt out by class as well, and kept without that test."""
     within = Window.partitionBy("token", "salt")
+    low, high = (end.over(within) for end in _ends("c"))
+    low_n, high_reach = (end.over(within) for end in _other_ends("c"))
     return (
         prefixes.withColumn("salt", F.pmod("c", "salts"))
-        .withColumn("least", F.min("c").over(within))
-        .withColumn("most", F.max("c").over(within))
-        .filter((F.col("least") != F.col("most")) | (F.col("salts") > 1))
+        .withColumns({"low": low, "high": high})
+        .withColumns({"low_n": low_n, "high_reach": high_reach})
+        .filter(_can_meet("c") | (F.col("salts") > 1))
         .select("token", "c", "n", "reach")
         .distinct()
     )
@@ -222,22 +241,17 @@ def _links(candidates: DataFrame, sets: DataFrame, similarity: int) -> DataFrame
 
 
 def _open_rows(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Rows (token, id, n, reach, comp) that can pair with a row of their n-gram in another component: the
-    smallest set there is within their reach, and they are within the longest reach there."""
+    """Rows (token, id, n, reach, comp) that can pair with a row of their n-gram in another component."""
     if labels is not None:
         named = labels.select(F.col("node").alias("id"), "component")
         rows = rows.select("token", "id", "n", "reach").join(named, "id", "left")
         rows = rows.withColumn("comp", F.coalesce("component", "id")).drop("component")
     per = rows.groupBy("token", "comp").agg(F.min("n").alias("n"), F.max("reach").alias("reach"))
-    ends = per.groupBy("token").agg(F.min(F.struct("n", "comp")).alias("low"), F.max(F.struct("reach", "comp")).alias("high"))
-    # An end may be the row's own component; then the end of the others counts.
-    others = per.join(ends, "token").groupBy("token", "low", "high").agg(
-        F.min(F.when(F.col("comp") != F.col("low.comp"), F.col("n"))).alias("low_n"),
-        F.max(F.when(F.col("comp") != F.col("high.comp"), F.col("reach"))).alias("high_reach"),
-    )
-    least = F.when(F.col("comp") != F.col("low.comp"), F.col("low.n")).otherwise(F.col("low_n"))
-    most = F.when(F.col("comp") != F.col("high.comp"), F.col("high.reach")).otherwise(F.col("high_reach"))
-    met = rows.join(others.filter("low_n is not null"), "token").filter((F.col("reach") >= least) & (F.col("n") <= most))
+    low, high = _ends("comp")
+    low_n, high_reach = _other_ends("comp")
+    ends = per.groupBy("token").agg(low.alias("low"), high.alias("high"))
+    others = per.join(ends, "token").groupBy("token", "low", "high").agg(low_n.alias("low_n"), high_reach.alias("high_reach"))
+    met = rows.join(others.filter("low_n is not null"), "token").filter(_can_meet("comp"))
     return met.select("token", "id", "n", "reach", "comp")
 
 
@@ -274,7 +288,7 @@ def similar_classes(
     labels = sets = None
     rows = rows.withColumn("comp", F.col("id"))
     for attempt in range(pivot_rounds + 1):
-        rows = settled(_open_rows(rows, labels))
+        rows = settled(_open_rows(rows, labels) if attempt else rows)
         n_rows, n_pairs = _open_pairs(rows)
         if not n_rows:
             break
