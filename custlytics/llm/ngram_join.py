@@ -206,6 +206,7 @@ def _shared(prefixes: DataFrame) -> DataFrame:
     low_n, high_reach = (end.over(within) for end in _other_ends("c"))
     return (
         prefixes.withColumn("salt", F.pmod("c", "salts"))
+        .repartition("token", "salt")  # before the windows' structs are made, which need not travel
         .withColumns({"low": low, "high": high})
         .withColumns({"low_n": low_n, "high_reach": high_reach})
         .filter(_can_meet("c") | (F.col("salts") > 1))
