@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from custlytics.session import checkpointed
+from custlytics.llm.common import settled
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
@@ -19,7 +19,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round ties the larger neighbours of every node to its least neighbour, and then the smaller
     ones, until nothing changes; rounds grow with the logarithm of the number of nodes. One checkpoint
-    per round. Repeated links and links of a node with itself are allowed; no links give no rows.
+    per round, before which the steps of the round before are released. Repeated links and links of a node with itself are allowed; no links give no rows.
     """
     edges = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     mark = None
@@ -28,7 +28,7 @@ def components(links: DataFrame) -> DataFrame:
         tied = _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         small = _with_least(tied)
         down = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = checkpointed(down.union(small.select("u", F.col("m").alias("v"))).distinct())
+        edges = settled(down.union(small.select("u", F.col("m").alias("v"))).distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == mark:
             break

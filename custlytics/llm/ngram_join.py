@@ -4,7 +4,8 @@ Documents with equal sets are one class. Under any global order of the n-grams,
 enough share one of their first few n-grams, and several of some more. The first order puts rare n-grams
 first (counts of hash buckets over all documents) and makes candidates of classes that share such an n-gram
 so early in both that enough n-grams can follow; candidates must then share enough of a longer prefix under
-two more, independent orders before their sets are compared.
+two more, independent orders before their sets are compared. Only candidates whose sketches (parities of hash
+buckets) differ in no more bits than similar sets can differ in n-grams have their sets read at all.
 
 Components do not need all links: the classes of an n-gram are first compared with one pivot, the class that
 has it earliest, and only pairs that are still in different components go on.
@@ -22,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from custlytics.llm.common import gathered, hash_words, map_batches, released, settled, word_codes
 from custlytics.llm.components import components
+from custlytics.session import forget, stored
 
 SHINGLE_WORDS = 4
 #: Least similarity, in hundredths.
@@ -33,13 +35,17 @@ ROWS_PER_TASK = 200_000
 #: Pairs per row of the first round up to which all open pairs are compared at once, and the most rounds
 #: of comparisons with pivots before that.
 PAIRS_PER_ROW, PIVOT_ROUNDS = 1, 8
+#: Bits of a sketch per n-gram at least (the next power of two), and places in the map of the documents to read.
+SKETCH_BITS, READER_PLACES = 2, 1 << 25
 
 _BASE = 0x9E3779B97F4A7C15
 #: Odd factors that give the second and third order.
 _ORDERS = (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+#: The factor that gives the places of a sketch.
+_SKETCH = 0xFF51AFD7ED558CCD
 _MASK = 2**64 - 1
 
-CLASSES = "doc_id bigint, c bigint, c2 bigint, n bigint, part int, counts binary"
+CLASSES = "doc_id bigint, c bigint, c2 bigint, n bigint, sketch array<bigint>, part int, counts binary"
 PREFIXES = "token bigint, salts int, c bigint, n int, reach int"
 SETS = "c bigint, c2 bigint, n int, second array<int>, third array<int>, grams array<bigint>"
 
@@ -69,6 +75,17 @@ def class_of(grams: np.ndarray) -> tuple[int, int]:
     return tuple(int(x) for x in np.frombuffer(xxhash.xxh3_128_digest(grams.tobytes()), np.int64))
 
 
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """The parity of the number of n-grams in each of 64, 128, ... hash buckets, 64 of them to a number.
+
+    Each n-gram that only one of two sets has changes one bit: sketches of one length differ in at most as many
+    bits. The halves of a sketch, xor-ed, are the sketch of half the length."""
+    bits = max(64, 1 << (SKETCH_BITS * len(grams) - 1).bit_length())
+    places = (grams * np.uint64(_SKETCH) >> np.uint64(32)) & np.uint64(bits - 1)
+    odd = np.bincount(places.astype(np.int64), minlength=bits).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view("<i8")
+
+
 def prefix_length(n: int, similarity: int = SIMILARITY, shared: int = 1) -> int:
     """So many n-grams, under any order, that two similar sets share ``shared`` of them."""
     return min(n, n - (similarity * n + 99) // 100 + shared) if n else 0
@@ -93,9 +110,9 @@ def _other_prefixes(grams: np.ndarray, similarity: int) -> list[np.ndarray]:
 
 
 def _classes(k: int):
-    """Rows of (doc_id, class, size), and each task's counts of n-gram buckets."""
+    """Rows of (doc_id, class, size, sketch), and each task's counts of n-gram buckets."""
     names = [c.split()[0] for c in CLASSES.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
 
     def made(*columns) -> pa.RecordBatch:
         filled = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(columns, kinds, strict=True)]
@@ -111,10 +128,10 @@ def _classes(k: int):
             counts += np.bincount((np.concatenate(sets) >> shift).astype(np.int64), minlength=len(counts))
             c, c2 = zip(*map(class_of, sets), strict=True)
             none = [None] * len(sets)
-            yield made(rows.column("doc_id"), c, c2, [len(s) for s in sets], none, none)
+            yield made(rows.column("doc_id"), c, c2, [len(s) for s in sets], [sketch(s) if len(s) else None for s in sets], none, none)
         if counts.any():
             none = [None] * COUNT_PARTS
-            yield made(*[none] * 4, range(COUNT_PARTS), [zlib.compress(p.astype("<i8").tobytes(), 1) for p in np.split(counts, COUNT_PARTS)])
+            yield made(*[none] * 5, range(COUNT_PARTS), [zlib.compress(p.astype("<i8").tobytes(), 1) for p in np.split(counts, COUNT_PARTS)])
 
     return run
 
@@ -219,6 +236,29 @@ def _side(table: DataFrame, name: str, *columns: str) -> DataFrame:
     return table.select(F.col("id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in columns])
 
 
+def _differing_bits(one: Column, other: Column) -> Column:
+    """Bits in which two sketches differ, the longer one folded to the length of the other. Sizes of similar sets
+    are so near that one is at most twice as long."""
+
+    def xor(x: Column, y: Column) -> Column:
+        return x.bitwiseXOR(y)
+
+    def fitted(x: Column, to: Column) -> Column:
+        half = F.floor(F.size(x) / 2).cast("int")
+        return F.when(F.size(x) > F.size(to), F.zip_with(F.slice(x, 1, half), F.slice(x, half + 1, half), xor)).otherwise(x)
+
+    return F.aggregate(F.zip_with(fitted(one, other), fitted(other, one), xor), F.lit(0), lambda n, x: n + F.bit_count(x))
+
+
+def _near(pairs: DataFrame, sketches: DataFrame, similarity: int) -> DataFrame:
+    """The pairs (a, b) of classes whose sketches do not tell that their sets differ in too many n-grams."""
+    left, right = (_side(sketches, name, "n", "sketch") for name in "ab")
+    both = F.col("n_a") + F.col("n_b")
+    most = both - 2 * F.floor((similarity * both + 99 + similarity) / (100 + similarity))
+    near = _differing_bits(F.col("sketch_a"), F.col("sketch_b")) <= most
+    return pairs.join(left, "a").join(right, "b").filter(near).select("a", "b")
+
+
 def _candidates(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes that share enough of their prefixes under the other two orders as well."""
     left, right = (_side(sets, name, "n", "second", "third") for name in "ab")
@@ -241,12 +281,15 @@ def _links(candidates: DataFrame, sets: DataFrame, similarity: int) -> DataFrame
     return candidates.join(left, "a").join(right, "b").filter(similar).select("a", "b")
 
 
-def _open_rows(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _named(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` with the components known by now; the rows of a class meet its label as one."""
+    of_class = rows.groupBy("id", "n").agg(F.collect_list(F.struct("token", "reach")).alias("prefix"))
+    named = of_class.join(labels.select(F.col("node").alias("id"), "component"), "id", "left")
+    return named.select("id", "n", F.coalesce("component", "id").alias("comp"), F.inline("prefix"))
+
+
+def _open_rows(rows: DataFrame) -> DataFrame:
     """Rows (token, id, n, reach, comp) that can pair with a row of their n-gram in another component."""
-    if labels is not None:
-        named = labels.select(F.col("node").alias("id"), "component")
-        rows = rows.select("token", "id", "n", "reach").join(named, "id", "left")
-        rows = rows.withColumn("comp", F.coalesce("component", "id")).drop("component")
     per = rows.groupBy("token", "comp").agg(F.min("n").alias("n"), F.max("reach").alias("reach"))
     low, high = _ends("comp")
     low_n, high_reach = _other_ends("comp")
@@ -281,27 +324,49 @@ def _pairs(left: DataFrame, right: DataFrame, once: bool) -> DataFrame:
     return both.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
+def _readers(docs: DataFrame, readers: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is a ``reader``. A map of bits, of a fixed size whatever the number of
+    readers, leaves out most others before they are dealt out."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(READER_PLACES))
+    places = readers.select(F.pmod(F.xxhash64("reader"), F.lit(READER_PLACES)).alias("place"))
+    maps = places.groupBy(F.bitmap_bucket_number("place").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    some = docs.join(F.broadcast(maps), (F.bitmap_bucket_number(place) == F.col("block")) & (F.getbit(byte, (at % 8).cast("int")) == 1), "left_semi")
+    return some.join(readers.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("reader")), "left_semi")
+
+
 def similar_classes(
-    rows: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: int, pairs_per_row: int, pivot_rounds: int
+    rows: DataFrame, sketches: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: int, pairs_per_row: int, pivot_rounds: int
 ) -> DataFrame | None:
-    """(node, component) of the classes that have a link. ``sets_of`` fetches the sets of some classes; it is
-    asked once, for the classes that can pair at all."""
-    labels = sets = None
+    """(node, component) of the classes that have a link. ``sketches`` are (id, n, sketch) of all classes;
+    ``sets_of`` fetches the sets of some, and is asked in each round for those with a pair that may link."""
+    labels = most = None
     rows = rows.withColumn("comp", F.col("id"))
     for attempt in range(pivot_rounds + 1):
-        rows = settled(_open_rows(rows, labels) if attempt else rows)
+        if attempt:
+            if labels is not None:
+                named = stored(_named(rows, labels))
+            rows = settled(_open_rows(rows if labels is None else named))
+            if labels is not None:
+                forget(named)
+        else:
+            rows = settled(rows)
         n_rows, n_pairs = _open_pairs(rows)
         if not n_rows:
             break
-        if sets is None:
-            sets, most = settled(sets_of(rows.select("id").distinct())), pairs_per_row * n_rows
+        most = pairs_per_row * n_rows if most is None else most
         last = n_pairs <= most or attempt == pivot_rounds
         pairs = _pairs(rows, rows, True) if last else _pairs(rows, _pivots(rows, attempt), False)
-        found = settled(_links(_candidates(pairs, sets), sets, similarity))
-        released(rows.sparkSession)
-        if not found.isEmpty():
-            # What is known already goes on as a star around the least class of each component.
-            labels = components(found if labels is None else found.union(labels.select("node", "component")))
+        pairs = settled(_near(pairs, sketches, similarity))
+        if not pairs.isEmpty():
+            sets = settled(sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()))
+            found = settled(_links(_candidates(pairs, sets), sets, similarity))
+            del sets
+            released(rows.sparkSession)
+            if not found.isEmpty():
+                # What is known already goes on as a star around the least class of each component.
+                labels = components(found if labels is None else found.union(labels.select("node", "component")))
         if last:
             break
     return labels
@@ -327,24 +392,25 @@ def near_duplicates(
     """
     slim = docs.select("doc_id", "text")
     session, node = docs.sparkSession, F.struct("c", "c2")
-    first = settled(map_batches(slim, _classes(words), CLASSES))
+    first = stored(map_batches(slim, _classes(words), CLASSES))
     counts = _bucket_counts(first.filter("part is not null").select("part", "counts"))
     each = first.filter("part is null")
-    of_doc = each.select("doc_id", "c", "c2", "n")
+    of_doc = settled(each.select("doc_id", "c", "c2", "n"))
     sent = session.sparkContext.broadcast(counts)  # of a fixed size
     shared = settled(_shared(map_batches(slim, _prefixes(words, similarity, sent, rows_per_task), PREFIXES)))
 
     some = each.join(shared.select("c").distinct(), "c", "left_semi").groupBy("c", "c2")
-    classes = settled(some.agg(F.min("doc_id").alias("reader")).withColumn("id", node))
+    classes = some.agg(F.min("doc_id").alias("reader"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = settled(classes.withColumn("id", node))
+    forget(first)
     rows = shared.join(classes.select("c", "id"), "c").select("token", "id", "n", "reach")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         """Read from one document of each class."""
         readers = classes.join(wanted, "id", "left_semi").select("reader").distinct()
-        read = slim.join(readers.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("reader")), "left_semi")
-        return map_batches(read, _sets(words, similarity), SETS).withColumn("id", node)
+        return map_batches(_readers(slim, readers), _sets(words, similarity), SETS).withColumn("id", node)
 
-    labels = similar_classes(rows, sets_of, similarity, pairs_per_row, pivot_rounds)
+    labels = similar_classes(rows, classes.select("id", "n", "sketch"), sets_of, similarity, pairs_per_row, pivot_rounds)
 
     per_class = of_doc.filter("n > 0").groupBy("c", "c2").agg(F.min("doc_id").alias("class_id")).withColumn("id", node)
     if labels is not None:

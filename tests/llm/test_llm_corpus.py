@@ -275,3 +275,51 @@ def test_label_model():
     assert [model.odds(votes) > 0 for votes, _ in alone] == [False, True, True]
     assert model.accuracy["lines"] < 0.6 < 0.75 < model.accuracy["symbols"]
     assert quality_rules.solve([]).odds(none) == 0
+
+
+def test_sketches_differ_in_no_more_bits_than_sets(spark):
+    r = random.Random(12)
+    rows, pairs = [], []
+    for i in range(300):
+        a = np.array([r.getrandbits(64) for _ in range(r.choice([1, 2, 16, 30, 33, 60, 64, 66, 500]))], np.uint64)
+        b = np.concatenate((a[r.choice([0, 0, 1, len(a) // 12, len(a) // 3]) :], np.array([r.getrandbits(64) for _ in range(r.randint(0, 3))], np.uint64)))
+        both = len(np.intersect1d(a, b))
+        if len(b):
+            rows += [(k, len(x), ngram_join.sketch(x).tolist()) for k, x in ((2 * i, a), (2 * i + 1, b))]
+            pairs.append((2 * i, 2 * i + 1, 100 * both >= 85 * (len(a) + len(b) - both), both * 2 < len(a)))
+    sketches = spark.createDataFrame(rows, "id int, n int, sketch array<bigint>")
+    near = ngram_join._near(spark.createDataFrame(pairs, "a int, b int, similar boolean, far boolean"), sketches, 85)
+    got = {(x.a, x.b) for x in near.collect()}
+    assert {p[:2] for p in pairs if p[2]} <= got
+    assert sum(p[:2] in got for p in pairs if p[3]) < sum(p[3] for p in pairs) / 10
+
+
+def test_only_sets_that_may_be_similar_are_read(spark, monkeypatch):
+    """Documents that share rare shingles, but not enough of all, cost no sets and no texts dealt out."""
+    rows = [(i, " ".join([*(f"rare{i // 2}x{k}" for k in range(30)), *(f"own{i}x{k}" for k in range(70))])) for i in range(60)]
+    rows += [(100 + i, " ".join(["alpha" if i and k == 50 else f"w{k}" for k in range(100)])) for i in range(2)]
+    rows += [(None, "no id"), (None, rows[-1][1])]
+    read, readers = [], ngram_join._readers
+
+    def counted(*args):
+        read.append(readers(*args))
+        return read[-1]
+
+    monkeypatch.setattr(ngram_join, "_readers", counted)
+    got = ngram_join.near_duplicates(brute.table(spark, rows)).collect()
+    assert as_text((x.doc_id, x.n_shingles, x.component_id) for x in got) == as_text(brute.near(rows))
+    assert sum(x.count() for x in read) <= 4
+
+
+def test_rows_of_a_class_meet_its_label_as_one(spark):
+    one = [(t, {"c": 1, "c2": 1}, 9, t) for t in range(5)] + [(7, {"c": 2, "c2": 2}, 8, 3)]
+    rows = spark.createDataFrame(one, "token bigint, id struct<c:bigint,c2:bigint>, n int, reach int")
+    labels = spark.createDataFrame([({"c": 2, "c2": 2}, {"c": 0, "c2": 0})], "node struct<c:bigint,c2:bigint>, component struct<c:bigint,c2:bigint>")
+    named = ngram_join._named(rows, labels)
+    assert sorted((x.token, x.n, x.reach, x.comp.c) for x in named.collect()) == [(0, 9, 0, 1), (1, 9, 1, 1), (2, 9, 2, 1), (3, 9, 3, 1), (4, 9, 4, 1), (7, 8, 3, 0)]
+
+
+def test_readers_are_found_by_bits(spark):
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(-500, 500)] + [(None, "t")], "doc_id bigint, text string")
+    readers = spark.createDataFrame([(i,) for i in (-500, -7, 0, 1, 255, 499, None)], "reader bigint")
+    assert sorted(x.text for x in ngram_join._readers(docs, readers).collect()) == ["t", "t-500", "t-7", "t0", "t1", "t255", "t499"]
