@@ -35,6 +35,8 @@ ROWS_PER_TASK = 200_000
 #: Pairs per row of the first round up to which all open pairs are compared at once, and the most rounds
 #: of comparisons with pivots before that.
 PAIRS_PER_ROW, PIVOT_ROUNDS = 1, 8
+#: So many times as many may be compared at once after a round that found no link: pivots no longer help.
+AFTER_NO_LINK = 8
 #: Bits of a sketch per n-gram at least (the next power of two), and places in the map of the documents to read.
 SKETCH_BITS, READER_PLACES = 2, 1 << 25
 
@@ -358,7 +360,7 @@ def similar_classes(
         most = pairs_per_row * n_rows if most is None else most
         last = n_pairs <= most or attempt == pivot_rounds
         pairs = _pairs(rows, rows, True) if last else _pairs(rows, _pivots(rows, attempt), False)
-        pairs = settled(_near(pairs, sketches, similarity))
+        pairs, known = settled(_near(pairs, sketches, similarity)), labels
         if not pairs.isEmpty():
             sets = settled(sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()))
             found = settled(_links(_candidates(pairs, sets), sets, similarity))
@@ -369,6 +371,8 @@ def similar_classes(
                 labels = components(found if labels is None else found.union(labels.select("node", "component")))
         if last:
             break
+        if labels is known:
+            most *= AFTER_NO_LINK
     return labels
 
 
@@ -388,7 +392,8 @@ def near_duplicates(
     is named by its least id that is not null. An empty table gives no rows; other columns are not read.
 
     Nothing is capped: the classes of an n-gram are compared with pivots, round by round, while more than
-    ``pairs_per_row`` pairs per row are open, and what is still open after ``pivot_rounds`` rounds pair by pair.
+    ``pairs_per_row`` pairs per row are open (more after rounds without a link), and what is still open after
+    ``pivot_rounds`` rounds pair by pair.
     """
     slim = docs.select("doc_id", "text")
     session, node = docs.sparkSession, F.struct("c", "c2")

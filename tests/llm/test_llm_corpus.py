@@ -323,3 +323,13 @@ def test_readers_are_found_by_bits(spark):
     docs = spark.createDataFrame([(i, f"t{i}") for i in range(-500, 500)] + [(None, "t")], "doc_id bigint, text string")
     readers = spark.createDataFrame([(i,) for i in (-500, -7, 0, 1, 255, 499, None)], "reader bigint")
     assert sorted(x.text for x in ngram_join._readers(docs, readers).collect()) == ["t", "t-500", "t-7", "t0", "t1", "t255", "t499"]
+
+
+def test_rounds_without_a_link_end_soon(spark, monkeypatch):
+    """One n-gram of many classes that are not similar: pivots find nothing, so that few rounds are made."""
+    rounds, counted = [], ngram_join._open_pairs
+    monkeypatch.setattr(ngram_join, "_open_pairs", lambda rows: rounds.append(1) or counted(rows))
+    grams = spark.createDataFrame([(7, {"c": i, "c2": i}, 100, 100) for i in range(40)], "token bigint, id struct<c:bigint,c2:bigint>, n int, reach int")
+    sketches = grams.select("id", "n", F.array(F.hash("id").cast("bigint"), *[F.xxhash64("id", F.lit(k)) for k in range(3)]).alias("sketch"))
+    assert ngram_join.similar_classes(grams, sketches, lambda wanted: None, 85, 1, 8) is None
+    assert len(rounds) <= 4
